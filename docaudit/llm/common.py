@@ -73,3 +73,11 @@ def let(value: Column, body) -> Column:
 def keeping(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator's output columns would clash with."""
     return df.drop(*[c for c in df.columns if c in names])
+
+
+def unique_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df as (id_col, text_col) with each non-null id once: where ids repeat, the row with the greatest text."""
+    rows = df.select(id_col, text_col).filter(F.col(id_col).isNotNull())
+    if rows.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy(id_col).agg(F.max(text_col).alias(text_col))

@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = (
+    "op1_quality_rules",
+    "op2_quality_classifier",
     "op5_line_dedup",
     "op6_decontaminate",
+    "op9_ngram_jaccard",
+    "op10_language_id",
 )
 
 
