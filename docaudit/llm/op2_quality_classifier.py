@@ -16,6 +16,8 @@ from docaudit.llm.common import keeping, read
 
 #: Words and runs of other signs, each a token.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: Longest n-gram that is looked at for a repeated word.
+REACH = 6
 
 
 @dataclass(frozen=True)
@@ -23,13 +25,13 @@ class Settings:
     bits: int = 18
     #: Bound of the sample that is learned from; the share of labelled rows that meets it is taken by hash.
     max_rows: int = 20_000
-    #: The sample is learned in so many parts, and their weights are averaged; each part has max_rows / parts rows.
-    parts: int = 8
-    epochs: int = 3
-    alpha: float = 0.5
+    #: The sample is learned in parts of about so many rows, each by one task, and their weights are averaged.
+    part_rows: int = 2_500
+    epochs: int = 5
+    alpha: float = 8.0
     beta: float = 1.0
-    l1: float = 0.02
-    l2: float = 0.5
+    l1: float = 0.0
+    l2: float = 0.05
 
 
 class _Tokens(dict):
@@ -45,11 +47,13 @@ class _Tokens(dict):
 
 
 def features(text: str | None, known: _Tokens, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, value) of one text: hashed unigrams and bigrams, counts scaled to length one; bucket 0 is the intercept."""
+    """(bucket, value) of one text: hashed unigrams, bigrams and repeats, roots of counts scaled by the text; bucket 0 is the intercept."""
     tokens = TOKEN.findall(text or "")
     h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     two = (h[:-1] * np.uint64(0x85EBCA6B) + h[1:] * np.uint64(0xC2B2AE35) + np.uint64(1)) & np.uint64(0xFFFFFFFF)
-    every = np.concatenate([h, (two * np.uint64(0x27D4EB2F)) & np.uint64(0xFFFFFFFF)])
+    # An n-gram that ends in the word it starts with is the same feature whatever the word is.
+    again = [np.full(np.count_nonzero(h[k:] == h[:-k]), 0x9E3779B1 * k & 0xFFFFFFFF, np.uint64) for k in range(1, REACH + 1)]
+    every = np.concatenate([h, (two * np.uint64(0x27D4EB2F)) & np.uint64(0xFFFFFFFF), *again])
     at, counts = np.unique((every >> np.uint64(32 - bits)).astype(np.int64), return_counts=True)
     value = np.sqrt(counts)
     norm = np.sqrt(counts.sum()) or 1.0
@@ -96,9 +100,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, s.max_rows / max(n, 1))
     taken = labels.withColumn("_o", F.xxhash64("_id")).filter(F.pmod("_o", F.lit(1_000_000)) < int(share * 1_000_000))
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(taken.hint("shuffle_hash"), "_id")
-    rows = rows.withColumn("part", F.pmod(F.shiftright("_o", 20), F.lit(s.parts)))
+    parts = max(1, round(min(n, s.max_rows) / s.part_rows))
+    rows = rows.withColumn("part", F.pmod(F.shiftright("_o", 20), F.lit(parts)))
     learned = rows.groupBy("part").applyInPandas(_learn(s), "bucket long, w double")
-    mean = learned.groupBy("bucket").agg((F.sum("w") / s.parts).alias("w")).toPandas()
+    mean = learned.groupBy("bucket").agg((F.sum("w") / parts).alias("w")).toPandas()
     weights = np.zeros(1 << s.bits, np.float32)
     weights[mean["bucket"].to_numpy(np.int64)] = mean["w"].to_numpy()
     return weights

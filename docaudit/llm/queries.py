@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = (
     "op1_quality_rules",
     "op2_quality_classifier",
+    "op3_byte_bpe",
     "op5_line_dedup",
     "op6_decontaminate",
     "op9_ngram_jaccard",
