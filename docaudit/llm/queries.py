@@ -13,6 +13,7 @@ NAMES = (
     "op3_byte_bpe",
     "op5_line_dedup",
     "op6_decontaminate",
+    "op7_suffix_dedup",
     "op9_ngram_jaccard",
     "op10_language_id",
 )
