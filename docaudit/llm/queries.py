@@ -11,9 +11,11 @@ NAMES = (
     "op1_quality_rules",
     "op2_quality_classifier",
     "op3_byte_bpe",
+    "op4_warc",
     "op5_line_dedup",
     "op6_decontaminate",
     "op7_suffix_dedup",
+    "op8_pii",
     "op9_ngram_jaccard",
     "op10_language_id",
 )
