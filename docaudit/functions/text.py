@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
-from docaudit.functions.patterns import REASONS, compact, find_all, has, lines, reason, replace, trim
+from docaudit.functions.patterns import REASONS, compact, find_all, has, let, lines, reason, replace, trim
 
 # Cues; each has a pattern, and case is ignored.
 CUES = {
@@ -70,34 +70,63 @@ def presence_flags(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 # What each pattern adds to the score of a reading, and whether case is ignored.
 READ_BONUS = (
-    (r"[A-Z]{5}[0-9]{4}[A-Z]", 80, True),
-    (r"\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}", 80, False),
-    (r"P<[A-Z]{3}", 70, True),
-    (r"[UL]\d{5}[A-Z]{2}\d{4}[A-Z]{3}\d{6}", 50, True),
+    (r"[A-Z]{5}[0-9OISB]{4}[A-Z]", 80, True),
+    (r"\b\d{4}[\s\-]?\d{4}[\s\-]?\d{4}\b", 80, False),
+    (r"\bP<[A-Z]{3}|PASSPORT|REPUBLIC\s+OF|<<<<", 70, True),
+    (r"\b[A-Z]\d{7}\b", 50, True),
+    (r"SURNAME|GIVEN\s*NAME|PLACE\s*OF\s*BIRTH|NATIONALITY", 25, True),
+    (r"INCOME\s*TAX|GOVT\.?\s*OF\s*INDIA|GOVERNMENT\s*OF\s*INDIA|आयकर|भारत\s*सरकार", 40, True),
+    (r"PERMANENT\s*ACCOUNT|AADHAAR|आधार|UIDAI|FATHER|पिता|DOB|MALE|FEMALE", 30, True),
+    (r"\bNAME\b|नाम", 15, True),
+    (r"\b(MALE|FEMALE)\b", 25, True),
+    (r"\d{2}[/\-.]\d{2}[/\-.]\d{4}", 25, False),
+    (r"\b[A-Z]{2,}(?:\s+[A-Z]{1,}){1,3}\b", 15, True),
 )
+# What shows that a text with a scanner's mark holds an identity number or name of an authority.
+MARKED_ID = r"[A-Z]{5}[0-9OISB]{4}[A-Z]|\d{4}[\s\-]?\d{4}[\s\-]?\d{4}|INCOME|AADHAAR|GOVT|PAN|UIDAI"
+READABLE = r"SECURITY|PROGRAMME|PROGRAM|CLEARANCE|CERTIFICATE|COMPANY|AUTHORITY|ORGANI[SZ]ATION|DOCUMENT|VERSION|EMPLOYEE|VALID"
 
 
-def ocr_read_score(df: DataFrame, bonus: tuple = READ_BONUS, labels: tuple = (), text_col: str = "text") -> DataFrame:
-    """df with read_score: confidence, what the patterns add, and deductions for marks, symbols, sparse and choppy text."""
-    t, tokens = _text(text_col), F.filter(F.split(_text(text_col), r"\s+"), lambda x: x != "")
+def _shape(text: Column) -> Column:
+    """(alnum, letters, symbols, tokens, short, long) of a text: counts, and the shares of symbols and of short tokens."""
+    tokens = find_all(text, r"\S+")
+
+    def shaped(w: Column) -> Column:
+        return F.struct(
+            F.regexp_count(text, F.lit("[A-Za-z0-9]")).alias("alnum"),
+            F.regexp_count(text, F.lit("[A-Za-z]")).alias("letters"),
+            (F.char_length(replace(text, r"[A-Za-z0-9\s]", "")) / F.greatest(F.char_length(text), F.lit(1))).alias("symbols"),
+            F.size(w).alias("tokens"),
+            (F.size(F.filter(w, lambda x: F.char_length(x) <= 2)) / F.greatest(F.size(w), F.lit(1))).alias("short"),
+            F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]{4,}"))).alias("long"),
+        )
+
+    return let(tokens, shaped)
+
+
+def _points(when: Column, points: float) -> Column:
+    return F.when(when, points).otherwise(0)
+
+
+def ocr_read_score(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with read_score: a share of the confidence, what the patterns add, and deductions for marks, symbols, sparse and choppy text."""
+    t, x = _text(text_col), F.col("_x")
+    marked = has(t, CUES["hasCamScanner"])
     score = 0.4 * F.coalesce(F.col("ocr_confidence"), F.lit(0))
-    for pattern, points, fold in (*bonus, *labels):
-        score = score + F.when(has(t, pattern, fold), points).otherwise(0)
-    compacted = replace(t, r"\s", "")
-    symbols = F.char_length(F.regexp_replace(compacted, "[A-Za-z0-9]", "")) / F.greatest(F.char_length(compacted), F.lit(1))
-    short = F.size(F.filter(tokens, lambda x: F.char_length(x) <= 2)) / F.greatest(F.size(tokens), F.lit(1))
-    for when, points in ((has(t, CUES["hasCamScanner"]), 40), (symbols > 0.25, 40), (F.regexp_count(t, F.lit("[A-Za-z0-9]")) < 20, 30), ((F.size(tokens) > 30) & (short > 0.55), 35)):
-        score = score - F.when(when, points).otherwise(0)
-    return df.withColumn("read_score", score)
+    for pattern, points, fold in READ_BONUS:
+        score = score + _points(has(t, pattern, fold), points)
+    score = score - F.when(marked, F.when(has(t, MARKED_ID), 10).otherwise(80)).otherwise(0)
+    for when, points in ((x["symbols"] > 0.25, 40), (x["alnum"] < 20, 30), ((x["short"] > 0.55) & (x["tokens"] > 30), 35)):
+        score = score - _points(when, points)
+    return df.withColumn("_x", _shape(t)).withColumn("read_score", score).drop("_x")
 
 
 def readability_score(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with readability: half the confidence, letters and digits, long words; document words count, a scanner's mark deducts."""
-    t = _text(text_col)
-    alnum, long = F.regexp_count(t, F.lit("[A-Za-z0-9]")), F.size(find_all(t, r"[A-Za-z]{4,}"))
-    score = 0.5 * F.coalesce(F.col("ocr_confidence"), F.lit(0)) + 0.15 * F.least(alnum, F.lit(400)) + 2 * long
-    score = score + F.when(has(t, r"PASSPORT|REPUBLIC|INDIA|GOVERNMENT|CERTIFICATE|AUTHORITY|INCOME\s*TAX|SECURITY"), 35).otherwise(0)
-    return df.withColumn("readability", score - F.when(has(t, CUES["hasCamScanner"]), 50).otherwise(0))
+    """df with readability: half the confidence, letters and digits, long words and document words, less what garbles a text."""
+    t, x = _text(text_col), F.col("_x")
+    score = 0.5 * F.coalesce(F.col("ocr_confidence"), F.lit(0)) + 0.15 * F.least(x["alnum"], F.lit(400)) + 2 * x["long"]
+    score = score - _points(x["symbols"] > 0.2, 50) - _points((x["short"] > 0.5) & (x["tokens"] > 20), 60) - _points(x["letters"] < 40, 25)
+    return df.withColumn("_x", _shape(t)).withColumn("readability", score + _points(has(t, READABLE), 35)).drop("_x")
 
 
 def weak_reads(df: DataFrame, text_col: str = "text") -> DataFrame:
