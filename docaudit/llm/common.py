@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold at most so many rows and bytes, so that a worker's memory does not depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 class Workspace:
     """Tables written to the shared folder, to cut lineage; those no longer needed can go before the session ends."""
 

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import keeping, read
+from docaudit.llm.common import keeping, read, small_batches
 
 #: Code points of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -82,6 +82,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     Null and empty texts have no ids. Every row comes out, repeated ones too. The rank file lies at ranks_path on every
     machine. Only texts of more than `chunk` code points are moved, as chunks.
     """
+    small_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = keeping(df, "ids").withColumn("_row", F.monotonically_increasing_id())
     ids = _encoder(ranks_path, pattern)
