@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from docaudit.llm.common import keeping, read
 
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Runs of word characters but digits, which are letters nearly always; a text must have a letter in the strict sense too.
+LETTERS, LETTER = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}")
 WORDS = r"\p{L}[\p{L}\p{M}]*"
 #: What a language does not have counts as this part of one occurrence.
 UNSEEN = 0.5
@@ -41,8 +43,8 @@ class Model:
 
 
 def _counts(rows: DataFrame, key: str, most: int, least: int) -> DataFrame:
-    """(lang, key, n) of the keys with the highest total counts."""
-    each = rows.groupBy("lang", key).agg(F.count("*").alias("n"))
+    """(lang, key, n) of the keys with the highest total counts, of rows (lang, key, n)."""
+    each = rows.groupBy("lang", key).agg(F.sum("n").alias("n"))
     top = each.groupBy(key).agg(F.sum("n").alias("total")).filter(F.col("total") >= least).orderBy(F.desc("total"), key).limit(most)
     return each.join(top.select(key), key).select("lang", F.col(key).alias("key"), "n")
 
@@ -58,11 +60,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = min(1.0, s.max_rows / max(rows.count(), 1))
     rows = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("word"))
+    # N-grams are taken from the distinct words, each with its count.
+    words = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     parts = [_counts(words, "word", s.max_words, s.min_count).withColumn("size", F.lit(0))]
     for size in range(1, s.longest + 1):
         padded = F.concat(F.lit("_"), "word", F.lit("_"))
         grams = words.withColumn("p", padded).filter(F.char_length("p") >= size)
-        grams = grams.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("p") - size + 1), lambda i: F.substring("p", i, F.lit(size)))).alias("gram"))
+        grams = grams.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("p") - size + 1), lambda i: F.substring("p", i, F.lit(size)))).alias("gram"))
         parts.append(_counts(grams, "gram", s.max_grams, 1).withColumn("size", F.lit(size)))
     got = parts[0]
     for p in parts[1:]:
@@ -85,7 +89,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class _Known(dict):
     """Log frequencies of each word, remembered for up to so many words that the model lacks."""
 
-    MOST = 200_000
+    MOST = 400_000
 
     def __init__(self, model: Model):
         self.m, self.rows = model, np.concatenate([model.logs, np.zeros((self.MOST, len(model.langs)))])
@@ -133,7 +137,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in texts:
             langs, scores = [], []
             for text in batch:
-                words = LETTERS.findall(text.lower()) if text else []
+                words = LETTERS.findall(text.lower()) if text and LETTER.search(text) else []
                 if not words or not m.langs:
                     langs.append("und")
                     scores.append(0.0)
@@ -142,11 +146,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 for k in range(0, len(words), 50_000):
                     part = words[k : k + 50_000]
                     try:
-                        at = list(map(known.__getitem__, part))
+                        at = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
                     except OverflowError:
                         known.start()
-                        at = list(map(known.__getitem__, part))
-                    total += known.rows[at].sum(axis=0)
+                        at = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
+                    total += known.rows.take(at, axis=0).sum(axis=0)
                 best = int(np.argmax(total))
                 mean = total / len(words)
                 langs.append(m.langs[best])
