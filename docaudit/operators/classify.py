@@ -55,7 +55,7 @@ def keyword_scores_by_table(df: DataFrame, rules: DataFrame, id_col: str = "doc_
 
     Rules are a few dozen rows and are broadcast; counts combine before the shuffle.
     """
-    hits = df.select(id_col, text_col).join(F.broadcast(rules), F.col(text_col).rlike(F.col("pattern")))
+    hits = df.select(id_col, text_col).join(F.broadcast(rules), F.rlike(text_col, F.col("pattern")))
     return hits.groupBy(id_col, "type").agg(F.least(F.sum("score"), F.lit(100)).cast("int").alias("score"), F.count("*").cast("int").alias("match_count"))
 
 

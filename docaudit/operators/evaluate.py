@@ -13,7 +13,7 @@ def match_expected(results: DataFrame, expected: DataFrame) -> DataFrame:
     """
     actual = results.select("doc_id", F.explode_outer("fields").alias("field", "actual")).filter("field IS NOT NULL")
     rows = expected.join(actual, ["doc_id", "field"], "left")
-    met = F.when(F.col("kind") == "regex", F.col("actual").rlike(F.concat(F.lit("(?i)"), F.col("value")))).otherwise(F.contains(F.lower("actual"), F.lower("value")))
+    met = F.when(F.col("kind") == "regex", F.rlike("actual", F.concat(F.lit("(?i)"), F.col("value")))).otherwise(F.contains(F.lower("actual"), F.lower("value")))
     return rows.select("doc_id", "field", (F.col("value").isNull() | F.coalesce(met, F.lit(False))).alias("ok"))
 
 

@@ -125,7 +125,7 @@ STAGES = ("ocr", "classification", "extraction", "validation", "risk")
 
 def stage_timings(log: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
     """(doc_id, <stage>_ms..., total_ms) of a log (doc_id, stage, ts): from the first to the last entry of each stage, and of the document."""
-    ms = lambda c: F.unix_millis(c)
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     per = [(F.max(F.when(F.col("stage") == s, ms("ts"))) - F.min(F.when(F.col("stage") == s, ms("ts")))).alias(f"{s}_ms") for s in stages]
     return log.groupBy("doc_id").agg(*per, (F.max(ms("ts")) - F.min(ms("ts"))).alias("total_ms"))
 
