@@ -227,12 +227,22 @@ def classify(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     ).drop("_r", "_b")
 
 
-def matched_signals(df: DataFrame) -> DataFrame:
-    """df (classified) with matched_signals (id, weight, matched, detail), matched_keywords, and the first five reasons of each type."""
-    detail = lambda s: F.coalesce(F.get(F.filter("class_reasons", lambda r: F.contains(F.lower(r["message"]), F.lower(s))), F.lit(0))["message"], s)
-    rows = F.transform(F.array_distinct("signals"), lambda s: F.struct(s.alias("id"), F.lit(1.0).alias("weight"), F.lit(True).alias("matched"), detail(s).alias("detail")))
-    keywords = F.filter(F.transform("class_reasons", lambda r: r["message"]), lambda m: has(m, "keyword|matched|regex|pattern|logo|layout|mrz|pan|aadhaar|cin"))
-    return df.withColumns({"matched_signals": rows, "matched_keywords": keywords, "top_reasons": F.transform("type_scores", lambda s: F.struct(s["type"].alias("type"), F.slice(s["reasons"], 1, 5).alias("reasons")))})
+def matched_signals(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, id, weight, matched, detail): a row for each distinct signal of the classified rows of df, with the first message that names it."""
+    rows = df.select(id_col, "class_reasons", F.explode(F.array_distinct("signals")).alias("id"))
+    named = F.filter(F.transform("class_reasons", lambda r: r["message"]), lambda m: F.contains(F.lower(m), F.lower(F.col("id"))))
+    return rows.select(id_col, "id", F.lit(1.0).alias("weight"), F.lit(True).alias("matched"), F.coalesce(F.get(named, F.lit(0)), "id").alias("detail"))
+
+
+def matched_keywords(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, keywords): the messages of the classified rows of df that tell of keywords, patterns or cues."""
+    return df.select(id_col, F.filter(F.transform("class_reasons", lambda r: r["message"]), lambda m: has(m, "keyword|matched|regex|pattern|logo|layout|mrz|pan|aadhaar|cin")).alias("keywords"))
+
+
+def top_reasons(df: DataFrame, id_col: str = "doc_id", most: int = 5) -> DataFrame:
+    """(id_col, type, reasons): the first reasons of each type's score."""
+    out = df.select(id_col, F.explode("type_scores").alias("s"))
+    return out.select(id_col, "s.type", F.slice("s.reasons", 1, most).alias("reasons"))
 
 
 def resolve_unknown_type(attempts: DataFrame) -> DataFrame:

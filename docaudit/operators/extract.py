@@ -31,7 +31,6 @@ LENGTHS = {
     "PASSPORT": {},
 }
 DATES = {"incorporationDate", "validFrom", "validUntil", "effectiveDate", "reviewDate", "letterDate", "dateOfBirth", "dateOfIssue", "dateOfExpiry"}
-TEXT = F.coalesce
 
 
 def _labelled(t: Column, type_: str, strict: bool = False) -> dict[str, Column]:

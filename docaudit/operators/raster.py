@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.patterns import half_up
 
-#: A window holds one row or one column of an image, so that images of any size are cut among tasks.
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
+
+def _row():
+    """A window holds one row or one column of an image, so that images of any size are cut among tasks."""
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def _column():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def _neighbours(pixels: DataFrame) -> DataFrame:
     v = F.col("v")
-    return pixels.withColumns({"left": F.lag(v).over(ROW), "right": F.lead(v).over(ROW)}).withColumns({"up": F.lag(v).over(COLUMN), "down": F.lead(v).over(COLUMN)})
+    return pixels.withColumns({"left": F.lag(v).over(_row()), "right": F.lead(v).over(_row())}).withColumns({"up": F.lag(v).over(_column()), "down": F.lead(v).over(_column())})
 
 
 def _inner(pixels: DataFrame) -> DataFrame:
@@ -43,7 +48,7 @@ def raster_noise(pixels: DataFrame) -> DataFrame:
 
 def raster_skew(pixels: DataFrame) -> DataFrame:
     """(image_id, skew_angle): slope of the rows' edge centres, in degrees; 0 with fewer than 10 rows with edges, or beyond 20 degrees."""
-    step = pixels.withColumn("g", F.abs(F.lead("v").over(ROW) - F.lag("v").over(ROW))).filter("g > 40")
+    step = pixels.withColumn("g", F.abs(F.lead("v").over(_row()) - F.lag("v").over(_row()))).filter("g > 40")
     rows = step.groupBy("image_id", "y").agg((F.sum(F.col("x") * F.col("g")) / F.sum("g")).alias("cx"))
     out = rows.groupBy("image_id").agg(F.count("*").alias("n"), F.degrees(F.atan(F.regr_slope("cx", "y"))).alias("a"))
     out = out.select("image_id", F.when((F.col("n") < 10) | (F.abs("a") > 20), 0.0).otherwise(F.coalesce("a", F.lit(0.0))).alias("skew_angle"))
@@ -53,7 +58,7 @@ def raster_skew(pixels: DataFrame) -> DataFrame:
 def raster_edges(pixels: DataFrame, density: str | None = None) -> DataFrame:
     """(image_id, dpi, edge_density): share of pixels more than 30 from the one before them in reading order, rows following one another; dpi is the longer side over 8.5 inches."""
     width = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count("*").alias("n"))
-    inner = pixels.withColumn("p", F.lag("v").over(ROW))
+    inner = pixels.withColumn("p", F.lag("v").over(_row()))
     # The first pixel of a row follows the last one of the row above: only row ends meet in this window.
     ends = pixels.groupBy("image_id", "y").agg(F.min_by("v", "x").alias("first"), F.max_by("v", "x").alias("last"))
     turns = ends.withColumn("p", F.lag("last").over(Window.partitionBy("image_id").orderBy("y"))).groupBy("image_id").agg(F.sum((F.abs(F.col("first") - F.col("p")) > 30).cast("long")).alias("t"))

@@ -100,9 +100,9 @@ def detected(spark, sf_dir):
     return rows.select("doc_id", "name", F.round("score", 2).alias("score"), "passed")
 
 
-@query("d7_reading_quality", f"SELECT doc_id, round(CAST({_ONE['ocrQualityDetector'][0]} AS DOUBLE), 3) AS score FROM ({_DETECTED})")
+@query("d7_reading_quality", f"SELECT doc_id, round(CAST({_ONE['ocrQualityDetector'][0]} AS DOUBLE), 3) >= {_ONE['ocrQualityDetector'][1]} AS passed FROM ({_DETECTED})")
 def reading_quality(spark, sf_dir):
-    return de.all_detectors(image_meta(spark, sf_dir)).filter("name = 'ocrQualityDetector'").select("doc_id", "score")
+    return de.all_detectors(image_meta(spark, sf_dir)).filter("name = 'ocrQualityDetector'").select("doc_id", "passed")
 
 
 @query("d5_d11_d12_card_cues")
@@ -179,7 +179,7 @@ def stage_log(spark, sf_dir):
 
 @query(
     "a12_stage_timings",
-    "SELECT user_id AS doc_id, " + ", ".join(f"epoch_ms(max(ts) FILTER (WHERE {_STAGE} = '{s}')) - epoch_ms(min(ts) FILTER (WHERE {_STAGE} = '{s}')) AS {s}_ms" for s in sc.STAGES) + ", epoch_ms(max(ts)) - epoch_ms(min(ts)) AS total_ms FROM events GROUP BY user_id",
+    "SELECT user_id AS doc_id, " + ", ".join(f"epoch_us(max(ts) FILTER (WHERE {_STAGE} = '{s}')) // 1000 - epoch_us(min(ts) FILTER (WHERE {_STAGE} = '{s}')) // 1000 AS {s}_ms" for s in sc.STAGES) + ", epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS total_ms FROM events GROUP BY user_id",
 )
 def timings(spark, sf_dir):
     return sc.stage_timings(stage_log(spark, sf_dir))

@@ -335,11 +335,14 @@ def best_types(spark, sf_dir):
 
 @query(
     "c10_matched_signals",
-    f"SELECT id, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN k % 10 NOT IN (3, 4) THEN 'cinKeyword' END, CASE WHEN k % 10 <> 4 THEN 'mca' END, CASE WHEN k % 10 <> 4 THEN 'coi' END, CASE WHEN k % 10 NOT IN (1, 3, 4) THEN 'cinRegex' END, CASE WHEN k % 10 NOT IN (1, 3, 4) THEN 'cinNumber' END, CASE WHEN conf >= 70 THEN 'highOcrConfidence' WHEN conf < 45 THEN 'lowOcrConfidence' END], lambda x: x IS NOT NULL)) AS id FROM (SELECT c_custkey AS k, {_CONF} AS conf FROM customer)) GROUP BY id",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS id, count(*) AS n FROM (SELECT c_custkey AS k, {_CONF} AS conf FROM customer) WHERE {when}"
+        for name, when in (("cinKeyword", "k % 10 NOT IN (3, 4)"), ("mca", "k % 10 <> 4"), ("coi", "k % 10 <> 4"), ("cinRegex", "k % 10 NOT IN (1, 3, 4)"), ("cinNumber", "k % 10 NOT IN (1, 3, 4)"), ("highOcrConfidence", "conf >= 70"), ("lowOcrConfidence", "conf < 45"))
+    ),
 )
 def matched(spark, sf_dir):
     rows = co.planted(spark, sf_dir, co.PLANTED_CIN).withColumn("requested_type", F.lit("CIN"))
-    return cl.matched_signals(cl.classify(rows)).select(F.explode("matched_signals").alias("m")).groupBy("m.id").agg(F.count("*").alias("n"))
+    return cl.matched_signals(cl.classify(rows)).groupBy("id").agg(F.count("*").alias("n"))
 
 
 _TRIES = "SELECT doc_id, p AS try_pos, CASE p WHEN 1 THEN 'PASSPORT' WHEN 2 THEN 'PAN' WHEN 3 THEN 'AADHAAR' ELSE 'CIN' END AS type, CASE WHEN (doc_id * 7 + p * 3) % 4 < 2 THEN 'completed' ELSE 'stopped' END AS status, CAST((doc_id * 13 + p * 29) % 100 AS INT) AS confidence FROM documents CROSS JOIN (VALUES (1), (2), (3), (4)) AS v(p)"

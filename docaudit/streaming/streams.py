@@ -13,8 +13,9 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = DOCUMENTS) -> DataFrame:
-    """Document rows from Parquet files as they arrive under path."""
-    return spark.readStream.schema(schema).parquet(path)
+    """Rows from Parquet files as they arrive under path, which may also be a single file."""
+    # Written as a pattern, a path is not taken for the folder of a partitioned table.
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def audit_stream(stream: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
