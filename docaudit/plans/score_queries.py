@@ -243,7 +243,7 @@ def scrubbed(spark, sf_dir):
 def expected_fields(spark, sf_dir):
     rows = co.planted(spark, sf_dir, co.PLANTED_CIN).withColumn("requested_type", F.lit("CIN"))
     results = audit.audit_documents(rows, types=("CIN",))
-    wanted = rows.select("doc_id", F.explode(F.array(F.struct(F.lit("cinNumber").alias("field"), F.lit("literal").alias("kind"), F.col("cin").alias("value")), F.struct(F.lit("companyName"), F.lit("regex"), F.lit(r"^acme \d+ private")), F.struct(F.lit("roc"), F.lit("literal"), F.lit(None).cast("string")))).alias("e")).select("doc_id", "e.*")
+    wanted = rows.select("doc_id", F.explode(F.array(F.struct(F.lit("cinNumber").alias("field"), F.lit("literal").alias("kind"), F.col("cin").alias("value")), F.struct(F.lit("companyName").alias("field"), F.lit("regex").alias("kind"), F.lit(r"^acme \d+ private").alias("value")), F.struct(F.lit("roc").alias("field"), F.lit("literal").alias("kind"), F.lit(None).cast("string").alias("value")))).alias("e")).select("doc_id", "e.*")
     ok = ev.documents_ok(ev.match_expected(results, wanted), results, rows.select("doc_id", F.lit("CIN").alias("type")))
     kind = F.element_at(F.array(F.lit("pdf"), F.lit("png"), F.lit("jpg")), (F.col("doc_id") % 3 + 1).cast("int"))
     return ev.pass_by_format(ok.withColumn("format", kind))
