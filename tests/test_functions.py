@@ -45,7 +45,7 @@ def test_numbers(spark):
     cin = lambda c: checks.cin(c, DEFAULT.as_of)
     assert one(spark, "U72900MH2018PTC312456", cin)[0].passed
     assert {r.code for r in one(spark, "INVALID", cin)[0].reasons} == {"CIN_LENGTH_INVALID", "CIN_FORMAT_INVALID", "CIN_LISTING_INVALID", "CIN_YEAR_INVALID"}
-    assert one(spark, "5555 6666 77778888", checks.aadhaar_candidates)[0] == ["555566667777"]
+    assert one(spark, "5555 6666 77778888", checks.aadhaar_candidates)[0] == ["666677778888"]
     assert one(spark, "L898902C3", checks.mrz_check_digit)[0] == 6
 
 
