@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +33,12 @@ def audit_documents(df: DataFrame, settings: Settings = DEFAULT, blur_col: str |
     """One result row for each row of df (doc_id, requested_type, text, ocr_confidence): stopped at the reading, stopped at the type, or completed.
 
     doc_ids are distinct. Rows of a type that is not in `types` stop at the classification. Types are separate branches,
-    each of which extracts its own fields from its own rows only.
+    each of which extracts its own fields from its own rows only; what they share, the classified rows, is kept on disk by
+    Spark, which recomputes what a lost executor held. Each branch would classify all rows again otherwise.
     """
     gated = ocr_gate(df, settings, blur_col=blur_col)
     out = stopped_results(gated.filter("NOT gate_passed"), "ocr", "gate_reasons")
-    known = classify(gated.filter("gate_passed"), settings)
+    known = classify(gated.filter("gate_passed"), settings).persist(StorageLevel.DISK_ONLY)
     out = out.unionByName(stopped_results(known.filter(~F.col("classified") | ~F.col("requested_type").isin(*types)), "classification", "class_reasons"))
     for t in types:
         rows = validate(extract(known.filter(F.col("classified") & (F.col("requested_type") == t)), t, settings), t, settings)
