@@ -9,6 +9,7 @@ from docaudit.functions import checks, labels, mrz, names
 from docaudit.functions import entities as en
 from docaudit.functions.text import ocr_gate
 from docaudit.operators import extract as ex
+from docaudit.operators import passports as pp
 from docaudit.plans.registry import query
 from docaudit.sources import corpus as co
 
@@ -251,3 +252,20 @@ def label_parts(spark, sf_dir):
     t = F.col("text")
     pair = labels.issue_expiry(t)
     return rows.select("doc_id", F.array_join(F.slice(labels.labeled_list(t, ("Directors?",)), 1, 2), ";").alias("directors"), labels.date_near(t, "Issued").alias("near"), pair["issue"].alias("issue"), pair["expiry"].alias("expiry"))
+
+
+@query(
+    "x9_x10_x12_x14_passport_parts",
+    """SELECT c_custkey AS doc_id, concat('U', lpad(CAST(c_custkey AS VARCHAR), 7, '1')) AS number, c_custkey % 2 = 0 AS exact, 'P' AS type, 'IND' AS country, CASE c_custkey % 2 WHEN 0 THEN 'KOCHI, KERALA' ELSE 'PUNE' END AS place, '123456789012' AS personal FROM customer""",
+)
+def passport_parts(spark, sf_dir):
+    number = "concat('U', lpad(CAST(c_custkey AS STRING), 7, '1'))"
+    read = f"CASE WHEN c_custkey % 2 = 0 THEN {number} ELSE concat('UI', substr({number}, 3)) END"
+    rows = co.planted(spark, sf_dir, f"SELECT c_custkey AS doc_id, {number} AS number, concat('Type / Type', chr(10), 'P  IND', chr(10), 'Place: ', CASE c_custkey % 2 WHEN 0 THEN 'Kochi, Kerala' ELSE 'Pune' END, chr(10), {read}, chr(10), {number}, '<1IND8001011M3001015123456789012') AS text FROM customer")
+    t = F.col("text")
+    # Tokens of the line that holds the number; the rest of the text has none that could be one.
+    tokens = rows.select("doc_id", F.explode(pp.number_tokens(F.element_at(F.split(t, "\n"), 4))).alias("token"))
+    best = pp.passport_candidates(tokens).filter("rank = 1").select("doc_id", "candidate", "exact")
+    kind = pp.type_country(t)
+    out = rows.select("doc_id", kind["type"].alias("type"), kind["country"].alias("country"), pp.gazetteer_place(t).alias("place"), pp.personal_number(t, F.col("number")).alias("personal"))
+    return out.join(best, "doc_id").select("doc_id", F.col("candidate").alias("number"), "exact", "type", "country", "place", "personal")
