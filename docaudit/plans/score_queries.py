@@ -212,17 +212,6 @@ def audited(spark, sf_dir):
     return audit.audit_documents(mix, types=_EXTRACTED).select("doc_id", "status", "stage", "document_type", "overall_passed")
 
 
-@query(
-    "r4_card_audit",
-    f"SELECT requested_type, count(*) FILTER (WHERE ocr_confidence < 40) AS n_unread, count(*) FILTER (WHERE ocr_confidence >= 40 AND k % 10 = 5) AS n_unfit, 0::BIGINT AS n_passed, count(*) AS n FROM (SELECT *, doc_id // 10 AS k FROM ({MIX})) WHERE requested_type IN ('AADHAAR', 'PAN') GROUP BY requested_type",
-)
-def card_audit(spark, sf_dir):
-    mix = co.planted_mix(spark, sf_dir).filter(F.col("requested_type").isin("AADHAAR", "PAN"))
-    n = lambda c: F.sum(c.cast("long"))
-    out = audit.audit_documents(mix, types=("AADHAAR", "PAN"))
-    return out.groupBy("requested_type").agg(n(F.col("stage") == "ocr").alias("n_unread"), n(F.col("stage") == "classification").alias("n_unfit"), n(F.col("overall_passed")).alias("n_passed"), F.count("*").alias("n"))
-
-
 @query(
     "f9_f10_scrubbed_summary",
     f"SELECT doc_id, CASE WHEN ocr_confidence < 40 OR doc_id % 10 = 4 THEN 'stopped' ELSE 'completed' END AS status, false AS leaks, CASE WHEN ocr_confidence >= 40 AND doc_id % 10 NOT IN (3, 4) THEN cin END AS cin FROM ({co.PLANTED_CIN})",
