@@ -1,5 +1,7 @@
 """The single-row semantics that the corpus jobs are made of."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,22 @@ def test_entities(spark):
     assert one(spark, None, en.emails)[0] == []
 
 
+def test_document_tables_reads_all_texts(spark):
+    from docaudit.plans.text_queries import document_tables
+
+    def held(text):
+        run = 0
+        for line in [x.strip() for x in (text or "").split("\n") if x.strip()]:
+            cut = [[c for c in parts if c.strip()] for parts in (line.split("|"), re.split(r"\t+", line), re.split(r"\s{2,}", line))]
+            run = run + 1 if any(len(c) >= 2 for c in cut) else 0
+            if run == 2:
+                return True
+        return False
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert document_tables(spark, "/root/testdata/sf0.01").first().n_docs == sum(map(held, texts)) > 0
+
+
 def test_tables_are_runs_of_columns(spark):
     df = spark.createDataFrame([(1, "x | y\n1 | 2\nplain\nlone | row\nplain\na  b\nc  d\ne  f"), (2, None), (3, "")], "doc_id int, text string")
     assert [(r.doc_id, r.table_no, r.row_count) for r in en.tables(df).orderBy("doc_id", "table_no").collect()] == [(1, 1, 2), (1, 2, 3)]
