@@ -3,11 +3,15 @@
 A number is taken apart into its two halves, and each round adds to one half a keyed hash of the other, modulo the number
 of values of that half. This permutes the values of a format, needs no table, and gives equal values equal pseudonyms in
 every document. Only values that pass their format's check (checksum, ranges, calendar) are replaced; checksums, ranges and
-the calendar hold for the pseudonyms as well, but for the ranges of social security numbers.
+the calendar hold for the pseudonyms as well, but for the ranges of social security numbers. Where a match of a format of
+no fixed length fails its check, the text is read again with the longest valid cut at each place in the format's stead.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ KINDS = ("email", "secret", "iban", "ipv4", "date", "phone", "ssn", "card")
 ROUNDS = 8
 
 _FORMATS = dict(zip(KINDS, (EMAIL, SECRET, IBAN, IPV4, DATE, PHONE, SSN, CARD), strict=True))
+#: Formats whose longest match can take in what follows the value.
+OPEN = ("iban", "phone", "card")
 _STARTS = r"(?<![A-Za-z0-9._%+@-])"
 ANY = _STARTS + "(?:" + "|".join(f"(?:{p})" for p in _FORMATS.values()) + ")"
 
@@ -175,10 +181,41 @@ _NEW = {"email": _email, "secret": _secret, "iban": _iban, "ipv4": _ipv4, "date"
 
 def _replacement(value: Column, key: str) -> Column:
     """(kind, new) of a match: the first format that it has whole and whose check it passes; null kind where none is."""
-    tried = [F.when(value.rlike(rf"\A(?:{_FORMATS[kind]})\z"), _as(kind, _NEW[kind](value, key))) for kind in KINDS]
+    tried = [F.when(_is(kind, value), _as(kind, _NEW[kind](value, key))) for kind in KINDS]
     return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), value.alias("new")))
 
 
+def _is(kind: str, value: Column) -> Column:
+    return value.rlike(rf"\A(?:{_FORMATS[kind]})\z")
+
+
+def _cut(kind: str, value: Column, key: str) -> Column:
+    """The longest part of value, from its start to a separator or its end, that passes the check of kind; null where none does."""
+
+    def first(parts: Column) -> Column:
+        cuts = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), ""))
+        return F.get(F.filter(cuts, lambda c: _is(kind, c) & _NEW[kind](c, key).isNotNull()), 0)
+
+    return let(F.split(value, r"(?<=[A-Z0-9)])(?=[ .-])"), first)
+
+
+def _only_valid(text: Column, key: str) -> Column:
+    """ANY for one text: instead of the open formats it has the valid values of the text, the longest first.
+
+    A match then ends where a valid value does, and what fails its check takes nothing in, so what is left over is scanned.
+    """
+
+    def valid(kind: str) -> Column:
+        at = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{_STARTS}(?=({_FORMATS[kind]}))"), F.lit(1)))
+        cuts = F.array_distinct(F.array_compact(F.transform(at, lambda v: _cut(kind, v, key))))
+        ordered = F.sort_array(F.transform(cuts, lambda c: F.struct(F.char_length(c).alias("n"), c.alias("value"))), False)
+        quoted = F.array_join(F.transform(ordered, lambda x: F.concat(F.lit(r"\Q"), x["value"], F.lit(r"\E"))), "|")
+        return let(quoted, lambda q: F.when(q == "", "(?!)").otherwise(F.concat(F.lit("(?:"), q, F.lit(r")\b"))))
+
+    parts = [valid(k) if k in OPEN else F.lit(f"(?:{p})") for k, p in _FORMATS.items()]
+    return F.concat(F.lit(_STARTS + "(?:"), F.concat_ws("|", *parts), F.lit(")"))
+
+
 def _as(kind: str, new: Column) -> Column:
     return let(new, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("new"))))
 
@@ -191,7 +228,8 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """df with text_col rewritten, and n_<kind> for each of KINDS; input columns of these names are replaced.
 
     Whole texts are read, in one narrow step without a shuffle, so copies and hot sources cost what other rows do. Values
-    that fail their format's check stay. Null texts stay null with counts of 0. Phone numbers keep their country code,
+    that fail their format's check stay; of a longer match that fails, the longest valid cut at a separator goes, and the
+    rest is scanned. Null texts stay null with counts of 0. Phone numbers keep their country code,
     secrets their names. `key` must stay secret: with it pseudonyms can be undone.
     """
     text = F.col(text_col)
@@ -200,10 +238,14 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     values = F.when(text.rlike(r"[0-9@]|(?i:password|passwd|secret|token|key)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("_values", F.coalesce(values, F.array().cast("array<string>")))
     out = out.withColumn("_found", F.transform("_values", lambda v: _replacement(v, key)))
-    gaps = F.split(text, ANY, -1)
+    failed = F.exists("_found", lambda x: x["kind"].isNull() & reduce(or_, [_is(k, x["new"]) for k in OPEN]))
+    out = out.withColumn("_any", F.when(failed, _only_valid(text, key)))
+    out = out.withColumn("_values", F.when(F.col("_any").isNull(), F.col("_values")).otherwise(F.regexp_extract_all(text, F.col("_any"), F.lit(0))))
+    out = out.withColumn("_found", F.when(F.col("_any").isNull(), F.col("_found")).otherwise(F.transform("_values", lambda v: _replacement(v, key))))
+    gaps = F.when(F.col("_any").isNull(), F.split(text, ANY, -1)).otherwise(F.split(text, F.col("_any"), -1))
     joined = let(gaps, lambda g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_found"), i)["new"], F.lit("")))), ""))
     out = out.withColumns({f"n_{k}": _count(k) for k in KINDS})
-    return out.withColumn(text_col, F.when(F.size("_values") > 0, joined).otherwise(text)).drop("_values", "_found")
+    return out.withColumn(text_col, F.when(F.size("_values") > 0, joined).otherwise(text)).drop("_values", "_found", "_any")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

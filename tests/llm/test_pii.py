@@ -41,6 +41,21 @@ def test_invalid_values_stay(spark):
     assert [r.text for r in _one(spark, *values)] == [f"pre {v} post" for v in values]
 
 
+def test_values_end_before_what_follows(spark):
+    cards = ("4111 1111 1111 1111 12/25", "4111111111111111 123", "4111-1111-1111-1111 12/25 123", "REF DE12 4111 1111 1111 1111")
+    for v, r in zip(cards, _one(spark, *cards), strict=True):
+        assert r.n_card == 1 and not any(x in r.text for x in ("4111 1111", "4111-1111", "4111111111111111")), v
+        if v[0] == "4":
+            head, tail = (v[:16], v[16:]) if v[4] == "1" else (v[:19], v[19:])
+            new = r.text[4:-5]
+            assert new.endswith(tail) and len(new) == len(v) and new[: len(head)] != head and _luhn("".join(c for c in new[: len(head)] if c.isdigit()))
+    bic, compact, date, phone = _one(spark, "AT61 1904 3002 3457 3201 BIC RZBAATWW", "ES9121000418450200051332 CAIXESBB 4111111111111111 123", "4111 1111 1111 1111 12/05/2024", "+1 644 555 4442 2024 1111 2222 33")
+    assert bic.n_iban == 1 and bic.text.endswith(" BIC RZBAATWW post") and "3457" not in bic.text
+    assert compact.n_iban == compact.n_card == 1 and " CAIXESBB " in compact.text and "ES91" not in compact.text and "41111" not in compact.text
+    assert date.n_card == date.n_date == 1 and "4111 1111" not in date.text and "12/05/2024" not in date.text
+    assert phone.n_phone == 1 and "555 4442" not in phone.text
+
+
 def test_equal_values_stay_linked_and_others_do_not(spark):
     a, b, c = _one(spark, "4111111111111111", "x 4111111111111111 4111111111111111", "4012888888881881")
     value = a.text.split()[1]
