@@ -33,8 +33,8 @@ def _repeat_words(text: Column) -> Column:
     return let(words(text), count)
 
 
-def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each row; a narrow step."""
+def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[Column, ...] = ()) -> DataFrame:
+    """id_col with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each row, and the columns of also; a narrow step."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     with_word = F.filter(_lines(F.col(text_col)), lambda x: x.rlike(WORD))
     out = df.select(
@@ -44,6 +44,7 @@ def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col(text_col)).cast("long").alias("n_repeat_words"),
+        *also,
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -65,24 +66,35 @@ def boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
 
 def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_percent: int = 5, max_lost_percent: int = 50) -> DataFrame:
-    """base_rules() with n_lost_words, n_lost_lines (what the removal of boilerplate lines takes), depleted and kept.
+    """base_rules() with text_col without its boilerplate lines, n_lost_words, n_lost_lines (what that takes), depleted and kept.
 
     A document is depleted when boilerplate lines hold more than max_lost_percent of its words; it is kept when neither
-    base_failed nor depleted. Null and empty texts have no words and fail. A null host is the host "". Distinct ids are
-    counted, so repeated rows of an id do not make a line frequent; each row comes out, with the words its id loses
-    in all its rows together.
+    base_failed nor depleted. base_rules() and max_lost_percent are about the text as it came; the lines that stay are
+    joined in their order. Null and empty texts have no words, stay as they are and fail. A null host is the host "".
+    Distinct ids are counted, so repeated rows of an id do not make a line frequent; each row comes out, with what it
+    loses itself. Texts move once, to the set of lines that their id loses.
     """
     rows, bad = boilerplate(df, id_col, text_col, host_col, min_docs, min_percent)
-    lost = rows.join(bad, ["host", "h1", "h2"]).groupBy("_id").agg(F.sum("n_words").alias("n_lost_words"), F.count("*").alias("n_lost_lines"))
-    base = base_rules(df, id_col, text_col)
-    out = base.join(lost, base[id_col] == lost["_id"], "left").drop("_id")
-    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_lost_words", "n_lost_lines")})
+    lost = rows.join(bad, ["host", "h1", "h2"]).groupBy("_id").agg(F.collect_set(F.struct("host", "h1", "h2")).alias("_lost"))
+    base = base_rules(df, id_col, text_col, (F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(text_col).alias("_text")))
+    out = base.join(lost.hint("shuffle_hash"), base[id_col] == lost["_id"], "left").drop("_id")
+
+    def stays(line: Column) -> Column:
+        a, b = key128(line_key(line))
+        return ~F.array_contains(F.col("_lost"), F.struct(F.col("_host").alias("host"), a.alias("h1"), b.alias("h2")))
+
+    every = _lines(F.col("_text"))
+    out = out.withColumn("_left", F.when(F.col("_lost").isNotNull(), F.filter(every, stays)))
+    gone = lambda n: F.when(F.col("_left").isNotNull(), n).otherwise(0).cast("long")
+    out = out.withColumn("_clean", F.when(F.col("_left").isNull(), F.col("_text")).otherwise(F.array_join("_left", "\n")))
+    out = out.withColumn("n_lost_words", gone(F.col("n_words") - F.regexp_count("_clean", F.lit(WORD))))
+    out = out.withColumn("n_lost_lines", gone(F.size(every) - F.size("_left"))).withColumn(text_col, F.col("_clean")).drop("_lost", "_host", "_text", "_left", "_clean")
     out = out.withColumn("depleted", 100 * F.col("n_lost_words") > max_lost_percent * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
 
 
 SQL = r"""

@@ -43,6 +43,17 @@ def test_documents_of_boilerplate_are_depleted(spark):
     assert not any(r.depleted for r in rules.apply_rules(df, min_docs=7, min_percent=10).collect())
 
 
+def test_boilerplate_lines_leave_the_text(spark):
+    own = [" ".join(f"v{k}x{i}" for i in range(60)) for k in range(4)]
+    texts = [f"Home About\n{x}\n\n \thome ABOUT \nend {k}" for k, x in enumerate(own)]
+    df = documents(spark, [*texts, None, ""]).withColumn("source", rules.F.lit("host"))
+    got = table(rules.apply_rules(df, min_docs=3, min_percent=10))
+    assert [got[k].text for k in range(6)] == [f"{x}\n\nend {k}" for k, x in enumerate(own)] + [None, ""]
+    assert all((got[k].n_lost_words, got[k].n_lost_lines, got[k].kept) == (4, 2, True) for k in range(4))
+    other = df.withColumn("source", rules.F.when(rules.F.col("doc_id") == 3, "other").otherwise("host"))
+    assert table(rules.apply_rules(other, min_docs=3, min_percent=10))[3].text == texts[3]
+
+
 def test_rules_on_empty_and_repeated_rows(spark):
     df = documents(spark)
     assert rules.apply_rules(df.filter("false")).count() == 0
