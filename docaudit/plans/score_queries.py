@@ -212,6 +212,16 @@ def audited(spark, sf_dir):
     return audit.audit_documents(mix, types=_EXTRACTED).select("doc_id", "status", "stage", "document_type", "overall_passed")
 
 
+@query(
+    "r1_r2_r4_audit_programme",
+    f"""SELECT doc_id, CASE WHEN NOT readable THEN 'stopped' ELSE 'completed' END AS status, CASE WHEN NOT readable THEN 'ocr' ELSE 'completed' END AS stage, CASE WHEN readable THEN requested_type END AS document_type, readable AND doc_id // 10 % 10 <> 1 AS overall_passed
+  FROM (SELECT *, ocr_confidence >= 40 AND len(regexp_extract_all(text, '[A-Za-z0-9]')) >= 25 AS readable FROM ({MIX})) WHERE requested_type = 'SECURITY_PROGRAMME'""",
+)
+def audited_programmes(spark, sf_dir):
+    mix = co.planted_mix(spark, sf_dir).filter("requested_type = 'SECURITY_PROGRAMME'")
+    return audit.audit_documents(mix, types=("SECURITY_PROGRAMME",)).select("doc_id", "status", "stage", "document_type", "overall_passed")
+
+
 @query(
     "f9_f10_scrubbed_summary",
     f"SELECT doc_id, CASE WHEN ocr_confidence < 40 OR doc_id % 10 = 4 THEN 'stopped' ELSE 'completed' END AS status, false AS leaks, CASE WHEN ocr_confidence >= 40 AND doc_id % 10 NOT IN (3, 4) THEN cin END AS cin FROM ({co.PLANTED_CIN})",

@@ -24,6 +24,16 @@ def test_every_row_has_one_result(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/rows").count() == rows.count()
 
 
+def test_programmes_are_audited(spark):
+    from docaudit.plans.all_queries import QUERIES
+
+    got = QUERIES["r1_r2_r4_audit_programme"](spark, SF).collect()
+    done = [r for r in got if r.status == "completed"]
+    assert 0 < len(done) < len(got) == spark.read.parquet(f"{SF}/customer.parquet").count()
+    # Of keys that end in 1 the effective date lies in the future.
+    assert all(r.overall_passed == (r.doc_id // 10 % 10 != 1) and r.document_type == "SECURITY_PROGRAMME" for r in done)
+
+
 def test_wrong_and_unknown_types_stop(spark):
     rows = [(1, "PAN", "REPUBLIC OF X PASSPORT P<UTO surname", 90), (2, "NONE", "CERTIFICATE OF INCORPORATION", 90), (3, "CIN", None, None)]
     got = {r.doc_id: r for r in classify(spark.createDataFrame(rows, "doc_id int, requested_type string, text string, ocr_confidence int")).collect()}
