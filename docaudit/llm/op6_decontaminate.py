@@ -1,10 +1,11 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows against documents.
 
-A window is a run of `width` consecutive item words (the whole item where it has fewer). Its tokens are its words, ordered
-by rarity over the documents. For containment of the whole window its rarest token is the necessary prefix: a document
-that holds the window holds that token, at the window's start plus the token's offset. So document words are joined with
-the prefix tokens alone, positions outside the document are left out (length and positional bounds), and what is left is
-verified word by word over a window of the document as long as the item's.
+A window is a run of `width` consecutive item words (the whole item where it has fewer). Its tokens are its shingles of
+GRAM words, ordered by rarity over the documents. For containment of the whole window its rarest shingle is the necessary
+prefix: a document that holds the window holds that shingle, at the window's start plus the shingle's offset. Documents
+are tokenised in one scan, which leaves only the places of shingles that some window has, each with the words around it;
+rarity is counted there, the places are joined with the prefixes alone, windows that would start before the text or end
+after it are left out (length and positional bounds), and what is left is verified word by word.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import keeping, lower_ascii, read
+from docaudit.llm.common import Workspace, lower_ascii, read
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows joined at once; that many rows of some 300 bytes are broadcast. More of them are joined block by block.
-BLOCK = 100_000
+#: Runs of anything but ASCII signs, spaces and controls. Written as what it holds: the same class negated is ten times slower.
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
+#: Words of a shingle; a shorter window is one shingle.
+GRAM = 4
+#: Shingles (8 bytes each) that are broadcast; where windows have more, places are shuffled by their shingle instead.
+BLOCK = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -30,52 +34,71 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return rows.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), F.lit(width)).alias("window")).distinct()
 
 
-def _blocks(windows: DataFrame) -> list[DataFrame]:
-    """windows in blocks of about BLOCK rows, by hash."""
-    n = max(1, -(-windows.count() // BLOCK))
-    return [windows] if n == 1 else [windows.filter(F.pmod(F.hash("window"), F.lit(n)) == k) for k in range(n)]
-
-
-def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(_id, start, len, items): each occurrence of a window of one block; start counts from 1."""
-    by_window = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
-    tokens = by_window.select(F.explode("window").alias("token")).distinct()
-    # Rarity over all documents; what is counted is combined before it is shuffled, and bounded by the block's words.
-    counted = docs.select(F.explode("_w").alias("token")).join(F.broadcast(tokens), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = (
-        by_window.select("window", "items", F.posexplode("window").alias("off", "token"))
-        .join(counted, "token", "left")
-        .groupBy("window")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("first"), F.first("items").alias("items"))
-        .filter("first.n > 0")
-        .select(F.col("first.token").alias("token"), F.col("first.off").alias("off"), "window", F.size("window").alias("len"), "items")
-    )
-    at = docs.select("_id", "_w", F.posexplode("_w").alias("pos", "token")).join(F.broadcast(ranked), "token")
-    start = F.col("pos") - F.col("off") + 1
-    fits = (start >= 1) & (start + F.col("len") - 1 <= F.size("_w"))
-    same = F.when(fits, F.slice("_w", F.greatest(start, F.lit(1)), F.col("len")) == F.col("window")).otherwise(False)
-    return at.filter(same).select("_id", start.alias("start"), "len", "items")
+def _shingles(w: Column, size: Column) -> Column:
+    """Hashes of the shingles of `size` words, in order; none where w is shorter."""
+    at = F.sequence(F.lit(1), F.size(w) - size + 1)
+    return F.when(F.size(w) >= size, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<long>"))
+
+
+def _places(docs: DataFrame, sizes: list[int], *also: str) -> DataFrame:
+    """(_id, pos, token) and the columns of also: every shingle of the documents; pos counts from 1."""
+    w = F.col("_w")
+    each = docs.select("_id", *also, F.posexplode(F.concat(*[_shingles(w, F.lit(k)) for k in sizes])).alias("pos", "token"), F.size(w).alias("_n"))
+    pos, before = F.lit(None).cast("int"), F.lit(0)
+    for k in sizes:
+        pos = F.when(F.col("pos") >= before, F.col("pos") - before + 1).otherwise(pos)
+        before = before + F.greatest(F.lit(0), F.col("_n") - k + 1)
+    return each.withColumn("pos", pos).drop("_n")
+
+
+def _matches(docs: DataFrame, tokens: DataFrame, sizes: list[int], width: int, few: bool) -> DataFrame:
+    """(_id, pos, token, lead, around): each place of a shingle that a window has; around holds the words from lead before it to width - 1 after it."""
+    if few:
+        found = _places(docs, sizes, "_w").join(F.broadcast(tokens), "token")
+    else:
+        # Places alone are shuffled; texts move only where they have one that counts.
+        found = _places(docs, sizes).join(tokens.hint("shuffle_hash"), "token").groupBy("_id").agg(F.collect_set(F.struct("pos", "token")).alias("x"))
+        found = found.withColumnRenamed("_id", "_key").join(docs, F.col("_key").eqNullSafe(docs["_id"])).select("_id", "_w", F.explode("x").alias("x")).select("_id", "_w", "x.pos", "x.token")
+        found = found.filter(F.col("pos") <= F.size("_w"))
+    lead = F.least(F.col("pos"), F.lit(width)) - 1
+    return found.select("_id", "pos", "token", lead.alias("lead"), F.slice("_w", F.col("pos") - lead, lead + width).alias("around"))
+
+
+def _hits(ws: Workspace, df: DataFrame, items: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, start, len, window) of each occurrence of a window, start counted from 1; and the windows of the items."""
+    windows = ws.keep(item_windows(items, width=width), "windows")
+    parts = windows.select("window").distinct()
+    parts = ws.keep(parts.select("window", F.posexplode(_shingles(F.col("window"), F.least(F.size("window"), F.lit(GRAM)))).alias("off", "token")), "parts")
+    tokens = parts.select("token").distinct()
+    sizes = sorted(r[0] for r in parts.select(F.least(F.size("window"), F.lit(GRAM))).distinct().collect())  # GRAM at most
+    docs = df.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w"))
+    matches = ws.keep(_matches(docs, tokens, sizes or [GRAM], width, tokens.count() <= BLOCK), "matches")
+
+    # Counts are combined before they are shuffled, and written, so that the joins can be split where a shingle is hot.
+    counts = ws.keep(matches.groupBy("token").agg(F.count("*").alias("n")), "counts")
+    rarest = parts.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("first"))
+    prefixes = ws.keep(rarest.filter("first.n > 0").select(F.col("first.token").alias("token"), F.col("first.off").alias("off"), "window", F.size("window").alias("len")), "prefixes")
+    start = F.col("lead") - F.col("off") + 1
+    fits = (start >= 1) & (start + F.col("len") - 1 <= F.size("around"))
+    same = F.when(fits, F.slice("around", F.greatest(start, F.lit(1)), F.col("len")) == F.col("window")).otherwise(False)
+    hits = matches.join(prefixes, "token").filter(same).select("_id", (F.col("pos") - F.col("off")).alias("start"), "len", "window").distinct()
+    return ws.keep(hits, "hits"), windows
 
 
 def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10) -> DataFrame:
     """One row a document: id_col, n_words, n_hit, n_items, item_ids (array of strings in string order), contaminated.
 
     Null and empty texts have no words and are never hit. Items without words and items with a null id are left out.
-    Rows that repeat an id are one document whose words are the sum and whose hits are the union. Without items nothing
-    is hit. Occurrences never leave the row that found them before they are verified, so that texts are not shuffled.
+    Rows that repeat an id are one document whose words are the sum and whose hits are the union; rows without an id are
+    one document too. Without items nothing is hit. Other columns, whatever their names, are not read.
     """
-    docs = df.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w"))
-    hits = None
-    for block in _blocks(item_windows(items, width=width)):
-        found = _hits(docs, block)
-        hits = found if hits is None else hits.unionByName(found)
+    ws = Workspace(df.sparkSession, "leaks")
+    hits, windows = _hits(ws, df, items, id_col, text_col, width)
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
-    by_doc = (
-        hits.groupBy("_id")
-        .agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")).cast("array<string>"))).alias("item_ids"))
-        .select("_id", F.size(covered).cast("long").alias("n_hit"), "item_ids")
-    )
-    sizes = df.groupBy(F.col(id_col).alias("_id")).agg(F.sum(F.regexp_count(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD))).cast("long").alias("n_words"))
+    spans = hits.groupBy("_id").agg(F.collect_set(F.struct("start", "len")).alias("spans")).select("_id", F.size(covered).cast("long").alias("n_hit"))
+    held = hits.select("_id", "window").distinct().join(windows, "window").groupBy("_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    by_doc = ws.keep(spans.join(held.withColumnRenamed("_id", "_key"), F.col("_id").eqNullSafe(F.col("_key")), "left").drop("_key"), "documents")
+    sizes = df.groupBy(F.col(id_col).alias("_id")).agg(F.sum(F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))).cast("long").alias("n_words"))
     return sizes.join(by_doc, sizes["_id"].eqNullSafe(by_doc["_id"]), "left").select(
         sizes["_id"].alias(id_col),
         "n_words",
@@ -86,10 +109,11 @@ def find_contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id",
     )
 
 
-def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows of contaminated documents; rows with a null id stay."""
-    bad = find_contamination(df, items, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bad"))
-    return df.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10) -> DataFrame:
+    """df, with all its columns, without the rows of contaminated documents; rows with a null id stay."""
+    hits, _ = _hits(Workspace(df.sparkSession, "leaks"), df, items, id_col, text_col, width)
+    bad = hits.select(F.col("_id").alias(id_col)).distinct()
+    return df.join(bad, id_col, "left_anti").select(*df.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
