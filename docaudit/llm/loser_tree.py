@@ -1,9 +1,7 @@
-"""Merging of sorted runs by a loser tree, and runs spooled to a task's scratch file."""
+"""Merging of sorted runs by a loser tree."""
 
 from __future__ import annotations
 
-import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -38,25 +36,3 @@ def merged(runs: list[Iterator[Any]], key: Callable[[Any], Any]) -> Iterator[Any
             if beats(losers[node], top):
                 top, losers[node] = losers[node], top
             node //= 2
-
-
-class Spool:
-    """Sorted runs in one scratch file, which goes when the task ends; a run is read back some rows at a time."""
-
-    ROWS = 2_000
-
-    def __init__(self) -> None:
-        self.file, self.runs = tempfile.TemporaryFile(), []
-
-    def add(self, rows: list[Any]) -> None:
-        blocks = []
-        for at in range(0, len(rows), self.ROWS):
-            data = pickle.dumps(rows[at : at + self.ROWS], pickle.HIGHEST_PROTOCOL)
-            blocks.append((self.file.seek(0, 2), len(data)))
-            self.file.write(data)
-        self.runs.append(blocks)
-
-    def read(self, run: int) -> Iterator[Any]:
-        for start, size in self.runs[run]:
-            self.file.seek(start)
-            yield from pickle.loads(self.file.read(size))

@@ -1,31 +1,42 @@
-"""WARC archives: a record for each page, revisits of equal payloads, and an external merge of the index into capture histories."""
+"""WARC archives: a record for each page, revisits of equal payloads, and an external merge of the index into capture histories.
+
+Every record is a gzip member of its own, so offset and length of the index address it in its file. The rows of a file,
+sorted, are a run of the index. Runs are written to the shared folder and cut by ranges of the key; each range gets a
+slice of every run that has rows there, and merges the slices k ways by a loser tree. Ranges hold a bounded number of
+rows and follow one another, so the histories are in global order and no task's memory grows with the index.
+"""
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docaudit.llm.common import Workspace, read
-from docaudit.llm.loser_tree import Spool, merged
+from docaudit.llm.common import Workspace, read, small_batches
+from docaudit.llm.loser_tree import merged
 
 # Line ends of the format, the profile of a revisit, the alphabet of base32.
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records of one archive file, which a task reads at once.
-FILE_RECORDS = 1_000
-#: Rows of a run that a task sorts in memory before it spools them, and rows of a merged partition.
-RUN_ROWS, MERGE_ROWS = 50_000, 500_000
+#: Payload bytes of an archive file on average, and records of one at most; a task reads a file at once.
+FILE_BYTES, FILE_RECORDS = 64 << 20, 100_000
+#: Index rows of a range that a task merges, some 300 bytes each.
+MERGE_ROWS = 200_000
 INDEX = "url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, length long"
 #: Page n is captured so many seconds after this time where a table has no times.
 EPOCH = 1_700_000_000
+#: The last byte of a gzip member is the highest of the content's length, which is this one below 16 MiB.
+MEMBER_END = "\0"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -38,17 +49,22 @@ def base32_sha1(data: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, payload, captured) with payload_bytes, payload_digest and refers_to.
+def plan_records(ws: Workspace, pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """pages (page_id, url, payload, captured) with payload_bytes, payload_digest and refers_to, dealt out in partitions of about file_bytes.
 
     Of pages with equal payloads of at least min_bytes bytes, refers_to of all but the smallest page_id is that page_id.
-    The smallest ids combine before they are shuffled; adaptive execution splits the join where one payload is hot.
+    Digests alone are grouped, and joined as written tables, which adaptive execution splits where one payload is hot;
+    payloads are dealt out by page and digest, so that copies do not meet in one task.
     """
     data = F.col("payload").cast("binary")
     rows = pages.withColumns({"payload_bytes": F.octet_length(data).cast("long"), "payload_digest": base32_sha1(data)})
-    firsts = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"))
-    out = rows.join(firsts.hint("shuffle_hash"), ["payload_digest", "payload_bytes"], "left")
-    return out.withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
+    keys = ["page_id", "payload_digest", "payload_bytes"]
+    digests = ws.keep(rows.select(*keys), "digests")
+    firsts = ws.keep(digests.filter(F.col("payload_bytes") >= min_bytes).groupBy(*keys[1:]).agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").drop("last"), "firsts")
+    revisits = ws.keep(digests.join(firsts, keys[1:]).filter("page_id <> first").select(*keys, F.col("first").alias("refers_to")).distinct(), "revisits")
+    total = digests.agg(F.sum("payload_bytes")).first()[0] or 0
+    parts = max(-(-total // file_bytes), int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *keys).join(revisits.hint("shuffle_hash"), keys, "left")
 
 
 def _record(r: str = "record") -> Column:
@@ -73,16 +89,30 @@ def _record(r: str = "record") -> Column:
     return F.concat(head, block).alias(r)
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
-    """Gzipped WARC files of at most file_records records each under path, which any Spark file system can hold.
+@F.pandas_udf(T.BinaryType())
+def _member(records: pd.Series) -> pd.Series:
+    """Each record as a gzip member without its last byte; from 16 MiB on an empty member follows, so that MEMBER_END is right."""
+
+    def packed(record: str) -> bytes:
+        data = record.encode("utf-8")
+        return (gzip.compress(data, 6, mtime=0) + (gzip.compress(b"", mtime=0) if len(data) >> 24 else b""))[:-1]
+
+    return records.map(packed)
 
-    pages has page_id, url and html, and captured (ISO 8601 text) or none. Null html is an empty payload, a null url an
-    empty one; rows without a page_id are left out. A page_id that repeats is written again for each row.
+
+def write_archives(ws: Workspace, pages: DataFrame, name: str, min_bytes: int = 0, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
+    """WARC files, a gzip member for each record, in the table `name` of ws, which any Spark file system can hold.
+
+    pages has page_id, url and html, and captured (ISO 8601 text) or none; other columns are not read. Null html is an
+    empty payload, a null url an empty one; rows without a page_id are left out. A page_id that repeats is written again
+    for each row. Files are bounded by file_records, and by file_bytes of payload on average.
     """
+    small_batches(ws.spark)
     captured = F.coalesce(F.col("captured"), F.lit("")) if "captured" in pages.columns else F.date_format(F.timestamp_seconds(F.col("page_id") % 1_000_000_000 + EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.filter("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"), captured.alias("captured"))
-    out = plan_records(rows, min_bytes).select(_record())
-    out.write.mode("overwrite").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    out = plan_records(ws, rows, min_bytes, file_bytes).select(F.concat(_record(), F.lit(CRLF + CRLF)).alias("record"))
+    # Spark's text writer writes strings as the bytes they are.
+    out.select(_member("record").cast("string").alias("member")).write.mode("overwrite").option("lineSep", MEMBER_END).option("compression", "none").option("maxRecordsPerFile", file_records).text(ws.path(name))
 
 
 def url_key(url: str) -> str:
@@ -95,22 +125,36 @@ def url_key(url: str) -> str:
     return ",".join(reversed(name.split("."))) + (f":{port}" if port else "") + ")" + (m[2] or "/")
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, block, offset, length) of each record of an archive that is no longer compressed."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in data[at:end].decode("utf-8").split(CRLF)[1:])
-        start, size = end + 4, int(head["Content-Length"])
-        yield head, data[start : start + size], at, start + size - at
-        if data[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        at = start + size + 4
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that is not empty, one after another."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, pos, parts = zlib.decompressobj(wbits=31), at, []
+        while not member.eof:
+            if pos >= len(view):
+                raise ValueError(f"the member at byte {at} does not end")
+            parts.append(member.decompress(view[pos : pos + 8_192]))
+            pos = min(pos + 8_192, len(view))
+        end = pos - len(member.unused_data)
+        if content := b"".join(parts):
+            yield at, end - at, content
+        at = end
+
 
+def record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of a record."""
+    if data[:5] != b"WARC/":
+        raise ValueError("no record")
+    end = data.index(b"\r\n\r\n")
+    head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in data[:end].decode("utf-8").split(CRLF)[1:])
+    start, size = end + 4, int(head["Content-Length"])
+    if data[start + size :] != b"\r\n\r\n":
+        raise ValueError("the record does not end where its length says")
+    return head, data[start : start + size]
 
-_ORDER = ("url_key", "captured", "page_id")
+
+#: File and offset make the key of every row its own, so that ranges can be cut anywhere.
+_ORDER = ("url_key", "captured", "page_id", "file", "offset")
 
 
 def _page(urn: str) -> int:
@@ -120,7 +164,8 @@ def _page(urn: str) -> int:
 def _index(file: str, data: bytes) -> list[tuple]:
     """The records of one archive in the order of the index: a sorted run."""
     rows = []
-    for head, block, offset, length in records(zlib.decompress(data, wbits=47) if data else b""):
+    for offset, length, content in members(data):
+        head, block = record(content)
         http, _, payload = block.partition(b"\r\n\r\n")
         digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(http.rpartition(b"Content-Length: ")[2])
         revisit = head["WARC-Type"] == "revisit"
@@ -128,23 +173,11 @@ def _index(file: str, data: bytes) -> list[tuple]:
             raise ValueError(f"{file}: the payload at byte {offset} is not what its digest says")
         url = head["WARC-Target-URI"]
         rows.append((url_key(url), head["WARC-Date"], _page(head["WARC-Record-ID"]), url, head["WARC-Type"], size, digest, _page(head["WARC-Refers-To"]) if revisit else None, file, offset, length))
-    return sorted(rows, key=lambda r: r[:3])
-
-
-def _frames(rows: Iterator[tuple] | list[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
-    part: list[tuple] = []
-    for row in rows:
-        part.append(row)
-        if len(part) == 10_000:
-            yield _frame(part, names)
-            part = []
-    if part:
-        yield _frame(part, names)
+    return sorted(rows, key=lambda r: (*r[:3], r[9]))
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"refers_to": "Int64"})
+    return pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
 
 
 NAMES = [c.split()[0] for c in INDEX.split(", ")]
@@ -156,44 +189,46 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"], strict=True):
-                yield from _frames(_index(file.rpartition("/")[2], data), NAMES)
+                rows = _index(file.rpartition("/")[2], data)
+                for k in range(0, len(rows), 10_000):
+                    yield _frame(rows[k : k + 10_000], NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInPandas(run, INDEX)
+    small_batches(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, INDEX)
 
 
-def merge_index(ws: Workspace, runs: DataFrame, merge_rows: int = MERGE_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
-    """The rows of runs in global order of URL key, time and page: partitions hold ranges of keys, one after another.
+def merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one range in the order of the index, and runs, the number of slices they came in.
 
-    A partition spools the runs it receives to a scratch file and merges them k ways by a loser tree, so its memory does
-    not grow with it. A URL with a third of all captures is cut by time and page into many ranges.
+    A slice goes on as long as rows come from one file and in order.
+    """
+    got = list(batches)
+    if not got:
+        return
+    rows = pa.Table.from_batches(got).combine_chunks()
+    keys = list(zip(*[rows[c].to_pylist() for c in _ORDER], strict=True))
+    cuts = [0, *[k for k in range(1, len(keys)) if keys[k][3] != keys[k - 1][3] or keys[k] < keys[k - 1]], len(keys)]
+    slices = [iter(range(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    order = pa.array(merged(slices, keys.__getitem__), pa.int64())
+    out = rows.take(order).append_column("runs", pa.array([len(slices)] * len(keys), pa.int32()))
+    yield from out.to_batches(max_chunksize=10_000)
+
+
+def merge_index(ws: Workspace, runs: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
+    """The rows of runs in global order of URL key, time and page, with runs (slices merged in the row's range).
+
+    Partitions hold ranges of keys, one after another, of about merge_rows rows each. A URL with a third of all captures
+    is cut by time and page into many ranges; repeated pages are cut by file and offset.
     """
     kept = ws.keep(runs, "runs")  # the ranges are sampled from it
     parts = max(1, -(-kept.count() // merge_rows), int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
+    return kept.repartitionByRange(parts, *_ORDER).mapInArrow(merge_range, f"{INDEX}, runs int")
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spool, run = Spool(), []
-        for batch in batches:
-            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
-                # A run goes on as long as rows come in order, and a short one takes rows in any order.
-                if len(run) >= run_rows and row[:3] < run[-1][:3]:
-                    spool.add(sorted(run, key=lambda r: r[:3]))
-                    run = []
-                elif len(run) >= 4 * run_rows:
-                    spool.add(sorted(run, key=lambda r: r[:3]))
-                    run = []
-                run.append(row)
-        if run:
-            spool.add(sorted(run, key=lambda r: r[:3]))
-        yield from _frames(merged([spool.read(k) for k in range(len(spool.runs))], lambda r: r[:3]), NAMES)
-
-    return kept.repartitionByRange(parts, *_ORDER).mapInPandas(merge, INDEX)
-
-
-def archive_pages(pages: DataFrame, min_bytes: int = 0, file_records: int = FILE_RECORDS) -> DataFrame:
+
+def archive_pages(pages: DataFrame, min_bytes: int = 0, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Pages written as WARC archives to the shared folder, read back, and their index in capture order."""
     ws = Workspace(pages.sparkSession, "warc")
-    write_archives(pages, ws.path("archives"), min_bytes, file_records)
+    write_archives(ws, pages, "archives", min_bytes, file_records, file_bytes)
     return merge_index(ws, read_archives(ws.spark, ws.path("archives")))
 
 

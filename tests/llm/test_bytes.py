@@ -9,7 +9,7 @@ from docaudit.llm import op3_byte_bpe as bpe
 from docaudit.llm import op4_warc as warc
 from docaudit.llm import op7_suffix_dedup as repeats
 from docaudit.llm.common import Workspace
-from docaudit.llm.loser_tree import Spool, merged
+from docaudit.llm.loser_tree import merged
 from tests.llm.fixtures import documents, odd_texts
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -94,7 +94,7 @@ def test_small_payloads_are_responses_and_empty_tables_have_no_records(spark):
 def test_merge_of_many_runs(spark):
     rows = [(f"k{random.Random(k).randrange(9)}", f"t{k % 4}", k, "u", "response", 1, "d", None, "f", 0, 1) for k in range(500)]
     random.Random(1).shuffle(rows)
-    out = warc.merge_index(Workspace(spark, "test"), spark.createDataFrame(rows, warc.INDEX), run_rows=10).collect()
+    out = warc.merge_index(Workspace(spark, "test"), spark.createDataFrame(rows, warc.INDEX), merge_rows=100).collect()
     assert [tuple(r[:3]) for r in out] == sorted(r[:3] for r in rows)
 
 
@@ -103,7 +103,33 @@ def test_loser_tree():
     for k in (0, 1, 2, 3, 7, 8):
         runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(0, 30))) for _ in range(k)]
         assert list(merged([iter(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
-    spool = Spool()
-    spool.add(list(range(5_000)))
-    spool.add([1])
-    assert list(merged([spool.read(0), spool.read(1)], lambda x: x)) == sorted([*range(5_000), 1])
+
+
+def test_registered_query_merges_runs(spark, monkeypatch):
+    """The merge of op4_warc itself has several runs in each range, as files are as many as partitions at least."""
+    seen = []
+    whole = warc.archive_pages
+    monkeypatch.setattr(warc, "archive_pages", lambda pages: seen.append(whole(pages)) or seen[-1])
+    assert warc.op4_warc(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+    assert all(r.runs > 1 for r in seen[0].select("runs").distinct().collect())
+
+
+def test_records_can_be_read_at_their_offsets(spark):
+    import gzip
+
+    ws = Workspace(spark, "test")
+    big = "é" * (9 << 20)  # more than 16 MiB in UTF-8
+    warc.write_archives(ws, _pages(spark, ["aa", None, big, "aa"]), "archives")
+    content = {r.path.rpartition("/")[2]: bytes(r.content) for r in spark.read.format("binaryFile").load(ws.path("archives")).collect()}
+    index = warc.read_archives(spark, ws.path("archives")).collect()
+    assert len(index) == 4
+    for r in index:
+        data = gzip.decompress(content[r.file][r.offset : r.offset + r.length])
+        assert data.startswith(b"WARC/1.1\r\n") and f"<urn:page:{r.page_id}>".encode() in data
+    assert {r.page_id: r.payload_bytes for r in index}[2] == len(big.encode())
+
+
+def test_repeated_and_null_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "x"), (1, "http://a/", "x"), (2, None, "x"), (None, "http://b/", "x")], "page_id long, url string, html string").withColumn("refers_to", warc.F.lit("clash")).withColumn("payload", warc.F.lit(1))
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.url) for r in warc.archive_pages(pages).collect())
+    assert got == [(1, "response", None, "http://a/"), (1, "response", None, "http://a/"), (2, "revisit", 1, "")]
