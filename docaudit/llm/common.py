@@ -81,6 +81,17 @@ def keeping(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in names])
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that df does not have, for columns that an operator needs on the way."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in used:
+            stem += "_"
+        out.append(stem)
+    return out
+
+
 def unique_ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df as (id_col, text_col) with each non-null id once: where ids repeat, the row with the greatest text."""
     rows = df.select(id_col, text_col).filter(F.col(id_col).isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import keeping, key128, lower_ascii, read
+from docaudit.llm.common import Workspace, fresh, keeping, key128, let, lower_ascii, read
 
 BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
 
@@ -19,11 +19,11 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def _occurrences(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """A row (id, h1, h2) for each document and distinct long key of it."""
-    keys = F.array_distinct(F.filter(F.transform(_lines(text_col), line_key), lambda k: F.char_length(k) >= min_chars))
+def _places(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """A row (_id, _t, pos, h1, h2) for each line with a long key; _t tells apart the texts of an id that repeats."""
+    rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.posexplode(F.transform(_lines(text_col), line_key)).alias("pos", "key"))
     a, b = key128(F.col("key"))
-    return df.select(F.col(id_col).alias("_id"), F.explode(keys).alias("key")).select("_id", a.alias("h1"), b.alias("h2"))
+    return rows.filter((F.char_length("key") >= min_chars) & F.col("_id").isNotNull()).select("_id", "_t", "pos", a.alias("h1"), b.alias("h2"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -32,26 +32,26 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     A key of at least min_chars code points that at least min_docs distinct ids hold loses its lines everywhere but in
     the largest id that holds it (within that document all its lines stay). Null and empty texts are one empty line and
     come out empty. Rows that repeat an id count as one document for the threshold and each come out. A null id never
-    holds a key. Input columns named n_lines or n_dropped are replaced.
+    holds a key. Input columns named n_lines or n_dropped are replaced; all others come out, whatever their names.
 
-    The counts combine before the shuffle, so a line of every document costs one row a task; the join that brings them
-    back is an ordinary equi-join, which adaptive execution splits where one key is hot. Texts move once, at the end.
+    The counts combine before the shuffle, so a line of every document costs one row a task; they are written, so that
+    the join that brings them back is one of plain tables, which adaptive execution splits where one key is hot. Lines
+    are told by their positions from there on, and texts move once, at the end.
     """
-    rows = _occurrences(df, id_col, text_col, min_chars).filter("_id IS NOT NULL")
+    ws = Workspace(df.sparkSession, "lines")
+    rows = _places(df, id_col, text_col, min_chars)
     common = rows.groupBy("h1", "h2").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("owner")).filter(F.col("n") >= min_docs).drop("n")
-    lost = rows.join(common, ["h1", "h2"]).filter("_id <> owner").groupBy("_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
-
-    out = keeping(df, "n_lines", "n_dropped").join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left").drop("_id")
-    a, b = key128(F.col("k"))
-    marked = F.transform(_lines(text_col), lambda line: F.struct(line.alias("line"), line_key(line).alias("k")))
-
-    def stays(x: Column) -> Column:
-        a, b = key128(x["k"])
-        return (F.char_length(x["k"]) < min_chars) | ~F.array_contains(F.col("_lost"), F.struct(a.alias("h1"), b.alias("h2")))
-
-    left = F.when(F.col("_lost").isNull(), _lines(text_col)).otherwise(F.transform(F.filter(marked, stays), lambda x: x["line"]))
-    out = out.withColumn("_left", left).withColumn("n_lines", F.size(_lines(text_col)).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("_left"))
-    return out.withColumn(text_col, F.array_join("_left", "\n")).drop("_left", "_lost")
+    lost = rows.join(ws.keep(common, "common"), ["h1", "h2"]).filter("_id <> owner").groupBy("_id", "_t").agg(F.collect_set("pos").alias("lost"))
+
+    df = keeping(df, "n_lines", "n_dropped")
+    key, t, gone, left = fresh(df, "_id", "_t", "_lost", "_left")
+    lost = ws.keep(lost, "lost").toDF(key, t, gone)
+    out = df.join(lost.hint("shuffle_hash"), (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(t)), "left").drop(key, t)
+    lines = _lines(text_col)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    whole = let(lines, lambda every: F.transform(kept, lambda k: F.get(every, k)))
+    out = out.withColumn(left, F.when(F.col(gone).isNull(), lines).otherwise(whole)).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size(left))
+    return out.withColumn(text_col, F.array_join(left, "\n")).drop(left, gone)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
