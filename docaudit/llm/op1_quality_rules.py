@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import WORD, key128, let, read, words
+from docaudit.llm.common import WORD, Workspace, key128, let, read, words
 from docaudit.llm.op5_line_dedup import line_key
 
 SYMBOL = r"[#*$%&|<>]"
@@ -50,15 +50,15 @@ def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
 
 
 def boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_percent: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(lines, limits passed): (_id, host, h1, h2, n_words) of each line with a word, and (host, h1, h2) of boilerplate lines.
+    """(lines, limits passed): (_id, _t, host, pos, h1, h2) of each line with a word, and (host, h1, h2) of boilerplate lines.
 
-    A line of a host is boilerplate when at least min_docs of its documents and at least min_percent of them hold it.
+    A line of a host is boilerplate when at least min_docs of its documents and at least min_percent of them hold it. _t
+    tells apart the texts of an id that repeats.
     """
     host = F.coalesce(F.col(host_col), F.lit("")).alias("host")
-    rows = df.select(F.col(id_col).alias("_id"), host, F.explode(_lines(F.col(text_col))).alias("line"))
-    rows = rows.select("_id", "host", line_key(F.col("line")).alias("key"), F.regexp_count("line", F.lit(WORD)).alias("n_words")).filter("n_words > 0")
+    rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), host, F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
     a, b = key128(F.col("key"))
-    rows = rows.select("_id", "host", a.alias("h1"), b.alias("h2"), "n_words")
+    rows = rows.filter(F.col("line").rlike(WORD)).withColumn("key", line_key(F.col("line"))).select("_id", "_t", "host", "pos", a.alias("h1"), b.alias("h2"))
     # Distinct documents are counted in two steps, each combined before its shuffle: no host or line meets in one task.
     held = rows.groupBy("host", "h1", "h2").agg(F.countDistinct("_id").alias("n")).filter(F.col("n") >= min_docs)
     sizes = df.select(F.col(id_col).alias("_id"), host).groupBy("host").agg(F.countDistinct("_id").alias("host_docs"))
@@ -72,23 +72,24 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     base_failed nor depleted. base_rules() and max_lost_percent are about the text as it came; the lines that stay are
     joined in their order. Null and empty texts have no words, stay as they are and fail. A null host is the host "".
     Distinct ids are counted, so repeated rows of an id do not make a line frequent; each row comes out, with what it
-    loses itself. Texts move once, to the set of lines that their id loses.
+    loses itself. Rows without an id lose nothing. Other columns are not read and do not come out.
+
+    Boilerplate lines and the positions that each text loses are written tables: joins with them can be split where a
+    line or a host is hot, and their shuffles are gone before the texts move, once, to the positions they lose.
     """
+    ws = Workspace(df.sparkSession, "rules")
     rows, bad = boilerplate(df, id_col, text_col, host_col, min_docs, min_percent)
-    lost = rows.join(bad, ["host", "h1", "h2"]).groupBy("_id").agg(F.collect_set(F.struct("host", "h1", "h2")).alias("_lost"))
-    base = base_rules(df, id_col, text_col, (F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(text_col).alias("_text")))
-    out = base.join(lost.hint("shuffle_hash"), base[id_col] == lost["_id"], "left").drop("_id")
-
-    def stays(line: Column) -> Column:
-        a, b = key128(line_key(line))
-        return ~F.array_contains(F.col("_lost"), F.struct(F.col("_host").alias("host"), a.alias("h1"), b.alias("h2")))
+    lost = ws.keep(rows.join(ws.keep(bad, "bad"), ["host", "h1", "h2"]).groupBy("_id", "_t").agg(F.collect_set("pos").alias("_lost")), "lost")
+    base = base_rules(df, id_col, text_col, (F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key")))
+    out = base.join(lost.hint("shuffle_hash"), (base[id_col] == lost["_id"]) & (F.col("_key") == F.col("_t")), "left").drop("_id", "_t", "_key")
 
     every = _lines(F.col("_text"))
-    out = out.withColumn("_left", F.when(F.col("_lost").isNotNull(), F.filter(every, stays)))
-    gone = lambda n: F.when(F.col("_left").isNotNull(), n).otherwise(0).cast("long")
-    out = out.withColumn("_clean", F.when(F.col("_left").isNull(), F.col("_text")).otherwise(F.array_join("_left", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("_lost"))
+    clean = let(every, lambda lines: F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))
+    out = out.withColumn("_clean", F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(clean))
+    gone = lambda n: F.when(F.col("_lost").isNotNull(), n).otherwise(0).cast("long")
     out = out.withColumn("n_lost_words", gone(F.col("n_words") - F.regexp_count("_clean", F.lit(WORD))))
-    out = out.withColumn("n_lost_lines", gone(F.size(every) - F.size("_left"))).withColumn(text_col, F.col("_clean")).drop("_lost", "_host", "_text", "_left", "_clean")
+    out = out.withColumn("n_lost_lines", gone(F.size("_lost"))).withColumn(text_col, F.col("_clean")).drop("_lost", "_text", "_clean")
     out = out.withColumn("depleted", 100 * F.col("n_lost_words") > max_lost_percent * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
