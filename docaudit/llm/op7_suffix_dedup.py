@@ -112,8 +112,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema["id"].dataType.simpleString()
 
     every = docs.mapInArrow(_segments, f"id {kind}, place long, mh long, sh long")
-    common = every.groupBy("mh").agg(F.count("*").alias("n")).filter("n > 1").select("mh")
-    repeated = ws.keep(every.join(common.hint("shuffle_hash"), "mh"), "repeated")
+    # Aggregates are written before they are joined: a join of plain tables is split where one suffix is hot.
+    common = ws.keep(every.groupBy("mh").agg(F.count("*").alias("n")).filter("n > 1").select("mh"), "common")
+    repeated = ws.keep(every.join(common, "mh"), "repeated")
+    ws.drop("common")
 
     firsts = repeated.groupBy("mh", "sh").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
     firsts = ws.keep(firsts.select("mh", "sh", F.col("first.id").alias("id"), F.col("first.place").alias("place"), "n"), "firsts")
@@ -122,15 +124,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     start = F.shiftright("place", 20)
     whole = later.select("id", start.alias("s"), (start + F.shiftright("place", 10).bitwiseAND(1023)).alias("e"))
 
-    mixed = firsts.groupBy("mh").agg(F.count("*").alias("n")).filter("n > 1").select("mh")
+    mixed = ws.keep(firsts.groupBy("mh").agg(F.count("*").alias("n")).filter("n > 1").select("mh"), "mixed")
     wanted = firsts.join(mixed, "mh").groupBy("id").agg(F.collect_list(F.struct("place", "mh")).alias("wanted"))
     fetched = docs.join(wanted.hint("shuffle_hash"), "id").select("id", F.explode(_fetch("text", "wanted")).alias("x")).select("id", "x.*")
     windows = ws.keep(_windows(ws.keep(fetched, "fetched")), "windows")
+    ws.drop("fetched", "mixed")
     earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    earliest = ws.keep(earliest, "earliest")
     again = windows.join(earliest, ["w1", "w2"]).filter("id <> first.id OR pos <> first.pos").select("id", F.col("pos").alias("s"), (F.col("pos") + WINDOW).alias("e"))
 
     covers = whole.unionByName(again).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
     covers = ws.keep(covers, "covers")
+    ws.drop("repeated", "firsts", "windows", "earliest")
     out = docs.join(covers.hint("shuffle_hash"), "id", "left").select(F.col("id").alias(id_col), _remove("text", "spans").alias("x"))
     return out.select(id_col, "x.*")
 
