@@ -146,7 +146,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         labels = components(ws, links, f"labels-{k}")
 
     named = reps.join(labels, reps["rep"] == labels["id"], "left").select("c1", "c2", F.coalesce("comp", "rep").alias("component_id"))
-    out = base.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
+    # Written, so that the join can be split where one text has very many copies.
+    out = base.select("id", "n", "c1", "c2").join(ws.keep(named, "named"), ["c1", "c2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
