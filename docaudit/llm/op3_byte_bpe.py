@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import keeping, read, small_batches
+from docaudit.llm.common import Workspace, fresh, keeping, read, small_batches
 
 #: Code points of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -80,17 +80,20 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     """df with ids (array<int>), which replaces a column of that name: the tokens of each whole text, no special tokens.
 
     Null and empty texts have no ids. Every row comes out, repeated ones too. The rank file lies at ranks_path on every
-    machine. Only texts of more than `chunk` code points are moved, as chunks.
+    machine. Only texts of more than `chunk` code points are moved, as chunks; they are written to the shared folder first.
+    Other columns come out as they are, whatever their names.
     """
     small_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = keeping(df, "ids").withColumn("_row", F.monotonically_increasing_id())
+    rows = keeping(df, "ids")
+    row, r = fresh(rows, "_row", "_r")
     ids = _encoder(ranks_path, pattern)
-    short = rows.filter(F.char_length(text) <= chunk).withColumn("ids", ids(text)).drop("_row")
-    far = rows.filter(F.char_length(text) > chunk)
-    pieces = _pieces(far.select("_row", F.col(text_col).alias("_text")), pattern, chunk, overlap).select(F.col("_row").alias("_r"), "at", ids("piece").alias("piece_ids"))
-    joined = pieces.groupBy("_r").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece_ids"))), lambda x: x["piece_ids"])).alias("ids"))
-    return short.unionByName(far.join(joined, F.col("_row") == F.col("_r")).drop("_row", "_r"))
+    short = rows.filter(F.char_length(text) <= chunk).withColumn("ids", ids(text))
+    # Written with their numbers: both sides of the join below read the same ones, whatever executors are lost.
+    far = Workspace(df.sparkSession, "long").keep(rows.filter(F.char_length(text) > chunk).withColumn(row, F.monotonically_increasing_id()), "texts")
+    pieces = _pieces(far.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")), pattern, chunk, overlap).select(F.col("_row").alias(r), "at", ids("piece").alias("piece_ids"))
+    joined = pieces.groupBy(r).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece_ids"))), lambda x: x["piece_ids"])).alias("ids"))
+    return short.unionByName(far.join(joined, F.col(row) == F.col(r)).drop(row, r))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
