@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import keeping, read
+from docaudit.llm.common import fresh, keeping, read
 
-#: Runs of word characters but digits, which are letters nearly always; a text must have a letter in the strict sense too.
-LETTERS, LETTER = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}")
+#: A letter and the letters and combining marks that follow it; learned and scored are the same words.
 WORDS = r"\p{L}[\p{L}\p{M}]*"
 #: What a language does not have counts as this part of one occurrence.
 UNSEEN = 0.5
@@ -25,7 +22,7 @@ UNSEEN = 0.5
 class Settings:
     #: Bound of the sample that is learned from; the share of labelled rows that meets it is taken by hash.
     max_rows: int = 20_000
-    #: Bounds of the model: so many words, and n-grams of each length, with the highest counts over all languages.
+    #: Bounds of the model: so many words, and n-grams of each length, shared out evenly among the languages; each has its most frequent.
     max_words: int = 60_000
     max_grams: int = 20_000
     #: A word is known from so many occurrences on.
@@ -42,32 +39,42 @@ class Model:
     longest: int
 
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+
+
 def _counts(rows: DataFrame, key: str, most: int, least: int) -> DataFrame:
-    """(lang, key, n) of the keys with the highest total counts, of rows (lang, key, n)."""
+    """(lang, key, n) of the keys that are among the `most` most frequent of some language, ties in key order, of rows (lang, key, n).
+
+    The best of each part of a language come first, so that the vocabulary of a hot one does not meet in one task.
+    """
     each = rows.groupBy("lang", key).agg(F.sum("n").alias("n"))
-    top = each.groupBy(key).agg(F.sum("n").alias("total")).filter(F.col("total") >= least).orderBy(F.desc("total"), key).limit(most)
-    return each.join(top.select(key), key).select("lang", F.col(key).alias("key"), "n")
+    often = each.groupBy(key).agg(F.sum("n").alias("total")).filter(F.col("total") >= least).select(key)
+    best = each.join(often, key).withColumn("part", F.pmod(F.hash(key), F.lit(64)))
+    for by in (("lang", "part"), ("lang",)):
+        best = best.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), key))).filter(F.col("r") <= most)
+    return each.join(best.select(key).distinct(), key).select("lang", F.col(key).alias("key"), "n")
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """The model of the rows of df that have a language and a text; the caller leaves held-out rows out.
 
     At most about max_rows rows are learned from, taken by the hash of their id. What reaches the driver is bounded by
-    max_words and max_grams a language, whatever the input.
+    max_words and max_grams in all, whatever the input; a rare language has the same share of them as a frequent one.
     """
     s = settings
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     share = min(1.0, s.max_rows / max(rows.count(), 1))
     rows = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("word"))
     # N-grams are taken from the distinct words, each with its count.
-    words = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    parts = [_counts(words, "word", s.max_words, s.min_count).withColumn("size", F.lit(0))]
+    counted = rows.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    n_langs = max(1, rows.select("lang").distinct().count())
+    parts = [_counts(counted, "word", max(1, s.max_words // n_langs), s.min_count).withColumn("size", F.lit(0))]
     for size in range(1, s.longest + 1):
         padded = F.concat(F.lit("_"), "word", F.lit("_"))
-        grams = words.withColumn("p", padded).filter(F.char_length("p") >= size)
+        grams = counted.withColumn("p", padded).filter(F.char_length("p") >= size)
         grams = grams.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("p") - size + 1), lambda i: F.substring("p", i, F.lit(size)))).alias("gram"))
-        parts.append(_counts(grams, "gram", s.max_grams, 1).withColumn("size", F.lit(size)))
+        parts.append(_counts(grams, "gram", max(1, s.max_grams // n_langs), 1).withColumn("size", F.lit(size)))
     got = parts[0]
     for p in parts[1:]:
         got = got.unionByName(p)
@@ -126,7 +133,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     lang_pred is the language with the greatest sum of log frequencies over all words of the whole text, the first in
     string order where several are equal, and score its share among the languages by the mean over the words. Null texts
-    and texts without a letter, and every text where the model has no language, are "und" with score 0.
+    and texts without a letter, and every text where the model has no language, are "und" with score 0. Rows that repeat
+    come out each; other columns come out as they are, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by Settings
 
@@ -137,7 +145,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in texts:
             langs, scores = [], []
             for text in batch:
-                words = LETTERS.findall(text.lower()) if text and LETTER.search(text) else []
+                words = text.split(" ") if text else []
                 if not words or not m.langs:
                     langs.append("und")
                     scores.append(0.0)
@@ -157,8 +165,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 scores.append(float(1.0 / np.exp(mean - mean[best]).sum()))
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    out = keeping(df, "lang_pred", "score").withColumn("_found", found(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    out = keeping(df, "lang_pred", "score")
+    (got,) = fresh(out, "_found")
+    # The words come from the JVM, cut and lower-cased as those that were learned.
+    out = out.withColumn(got, found(F.array_join(words(F.col(text_col)), " ")))
+    return out.withColumns({"lang_pred": F.col(got)["lang_pred"], "score": F.col(got)["score"]}).drop(got)
 
 
 def held_out(id_col: str = "doc_id"):
