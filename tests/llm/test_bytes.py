@@ -34,7 +34,8 @@ def test_encoding_is_that_of_the_whole_text(spark, chunk, overlap):
 
 
 def test_encoding_keeps_repeated_rows(spark):
-    docs = documents(spark, ["w " * 100] * 3)
+    docs = documents(spark, ["w " * 100] * 3).withColumns({"_row": bpe.F.lit("r"), "_r": bpe.F.lit("s")})
+    assert {(r["_row"], r["_r"], len(r.ids)) for r in bpe.encode(docs, RANKS, PATTERN, chunk=50, overlap=10).collect()} == {("r", "s", len(bpe.encoding(RANKS, PATTERN).encode_ordinary("w " * 100)))}
     assert bpe.encode(docs.unionByName(docs), RANKS, PATTERN, chunk=50, overlap=10).count() == 6
     assert bpe.encode(docs.filter("false"), RANKS, PATTERN).count() == 0
 

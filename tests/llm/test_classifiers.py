@@ -53,3 +53,151 @@ def test_unseen_words_back_off(spark):
     assert known["known"] == 0
     assert np.allclose(known.rows[known["abx"]], [-1.0, -3.0])
     assert np.allclose(known.rows[known["ax"]], [-2.0, -2.0])
+
+
+def _plain_features(text, bits=18):
+    """{bucket: value} in plain Python."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    h = [zlib.crc32(t.encode()) * 0x9E3779B1 % 2**32 for t in re.findall(r"\w+|[^\w\s]+", text or "")]
+    every = list(h)
+    every += [((a * 0x85EBCA6B + b * 0xC2B2AE35 + 1) % 2**32) * 0x27D4EB2F % 2**32 for a, b in zip(h, h[1:], strict=False)]
+    every += [0x9E3779B1 * k % 2**32 for k in range(1, 7) for a, b in zip(h, h[k:], strict=False) if a == b]
+    counts = Counter(x >> (32 - bits) for x in every)
+    norm = math.sqrt(sum(counts.values())) or 1.0
+    return {0: 1.0} | {k: math.sqrt(n) / norm for k, n in counts.items() if k}
+
+
+def test_learning_and_scores_match_plain_python(spark):
+    """An independent learner and scorer over all of sf0.001."""
+    import math
+    import struct
+
+    import xxhash
+
+    at = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{at}/labels.parquet").filter(~quality.held_out())
+    got = table(quality.score(docs, quality.train(docs, labels)).select("doc_id", "score", "predicted"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    order = lambda k: struct.unpack("<q", xxhash.xxh64(struct.pack("<q", k), seed=42).digest()[::-1])[0]
+    rows = sorted((order(r.doc_id), _plain_features(texts[r.doc_id]), r.quality) for r in labels.collect() if r.quality is not None and r.doc_id in texts)
+    s = quality.Settings()
+    z, n = {}, {}
+    weight = lambda k: -z.get(k, 0.0) / ((s.beta + math.sqrt(n.get(k, 0.0))) / s.alpha + s.l2)
+    squash = lambda x: 1 / (1 + math.exp(-max(-35, min(35, x))))
+    for _ in range(s.epochs):
+        for _, x, y in rows:
+            w = {k: weight(k) for k in x}
+            p = squash(sum(w[k] * v for k, v in x.items()))
+            for k, v in x.items():
+                g = (p - y) * v
+                was = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / s.alpha * w[k]
+                n[k] = was + g * g
+    assert len(got) == len(texts)
+    for k, text in texts.items():
+        want = squash(sum(weight(b) * v for b, v in _plain_features(text).items()))
+        assert abs(got[k].score - want) < 1e-5 and (got[k].predicted == int(want >= 0.3) or abs(want - 0.3) < 1e-5), k
+
+
+def test_scores_at_the_threshold_are_predicted(spark):
+    docs = documents(spark, ["a", None])
+    weights = np.zeros(1 << 18, np.float32)
+    assert [r.predicted for r in quality.score(docs, weights, threshold=0.5).collect()] == [1, 1]
+    assert [r.predicted for r in quality.score(docs, weights, threshold=np.nextafter(0.5, 1).item()).collect()] == [0, 0]
+
+
+def _plain_words(text):
+    import regex
+
+    return regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+
+
+def _plain_model(rows, s):
+    """(languages, words, n-grams): log frequencies of each in each language, in plain Python."""
+    import math
+    from collections import Counter
+
+    counts = Counter((lang, w) for text, lang in rows for w in _plain_words(text))
+    langs = sorted({lang for lang, _ in counts})
+    # As many languages share the model's room as have a text at all.
+    n_langs = len({lang for _, lang in rows})
+
+    def kept(of, most, least):
+        total = Counter()
+        for (_, key), n in of.items():
+            total[key] += n
+        best = set()
+        for lang in langs:
+            own = sorted((-n, key) for (of_lang, key), n in of.items() if of_lang == lang and total[key] >= least)
+            best |= {key for _, key in own[: max(1, most // n_langs)]}
+        sums = [max(sum(of[lang, key] for key in best), 1) for lang in langs]
+        return {key: [math.log(max(of[lang, key], 0.5) / t) for lang, t in zip(langs, sums, strict=True)] for key in best}
+
+    words, grams = kept(counts, s.max_words, s.min_count), {}
+    for size in range(1, s.longest + 1):
+        of = Counter()
+        for (lang, w), n in counts.items():
+            for i in range(len(w) + 2 - size + 1):
+                of[lang, f"_{w}_"[i : i + size]] += n
+        grams |= kept(of, s.max_grams, 1)
+    return langs, words, grams
+
+
+def _plain_identify(text, model, longest=4):
+    import math
+
+    langs, words, grams = model
+    found = _plain_words(text)
+    if not found:
+        return "und", 0.0
+    total = [0.0] * len(langs)
+    for w in found:
+        logs = words.get(w)
+        if logs is None:
+            p, hits = f"_{w}_", []
+            for i in range(len(p)):
+                hits += next(([grams[p[i : i + k]]] for k in range(min(longest, len(p) - i), 0, -1) if p[i : i + k] in grams), [])
+            logs = [sum(x) / max(len(hits), 1) for x in zip(*hits, strict=True)] if hits else [0.0] * len(langs)
+        total = [a + b for a, b in zip(total, logs, strict=True)]
+    mean = [x / len(found) for x in total]
+    best = max(range(len(langs)), key=lambda k: (total[k], -k))
+    return langs[best], 1 / sum(math.exp(x - mean[best]) for x in mean)
+
+
+def test_languages_match_plain_python(spark):
+    """Counts, vocabulary and scores of all of sf0.001, with room enough and too little."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    every = docs.collect()
+    held = {r.doc_id for r in docs.filter(language.held_out()).collect()}
+    for settings in (language.Settings(), language.Settings(max_words=400, max_grams=300)):
+        model = _plain_model([(r.text, r.lang) for r in every if r.doc_id not in held and r.lang is not None and r.text is not None], settings)
+        got = table(language.identify(docs.select("doc_id", "text"), language.train(docs.filter(~language.held_out()), settings=settings)).select("doc_id", "lang_pred", "score"))
+        for r in every:
+            lang, score = _plain_identify(r.text, model)
+            assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-9, r.doc_id
+
+
+def test_words_with_combining_marks_are_learned_and_scored_alike(spark):
+    import unicodedata
+
+    hindi, marathi, french = "हिन्दी भाषा में लिखा हुआ वाक्य है", "मराठी भाषेत लिहिलेले वाक्य आहे", unicodedata.normalize("NFD", "les élèves ont été réveillés très tôt")
+    train = spark.createDataFrame([(1, hindi, "hi"), (2, marathi, "mr"), (3, french, "fr")], "doc_id long, text string, lang string")
+    model = language.train(train, settings=language.Settings(min_count=1))
+    assert {"हिन्दी", "मराठी", unicodedata.normalize("NFD", "élèves")} <= set(model.words)
+    docs = documents(spark, [hindi, marathi, french.upper(), "क", "zzz"])
+    got = table(language.identify(docs, model).select("doc_id", "lang_pred"))
+    assert [got[k].lang_pred for k in range(3)] == ["hi", "mr", "fr"]
+    model = _plain_model([(hindi, "hi"), (marathi, "mr"), (french, "fr")], language.Settings(min_count=1))
+    assert all(got[k].lang_pred == _plain_identify(t, model)[0] for k, t in ((3, "क"), (4, "zzz")))
+
+
+def test_equal_languages_give_the_first(spark):
+    train = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a")], "doc_id long, text string, lang string")
+    docs = documents(spark, ["same words", "other"]).withColumn("_found", language.F.lit("kept"))
+    got = language.identify(docs, language.train(train, settings=language.Settings(min_count=1))).collect()
+    assert [(r.lang_pred, r.score, r["_found"]) for r in got] == [("a", 0.5, "kept")] * 2

@@ -109,3 +109,21 @@ def test_windows_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(bench, "BLOCK", 7)
     assert sorted(map(tuple, bench.find_contamination(documents(spark, texts), df).collect())) == whole
     assert all(r[2] == 11 for r in whole)
+
+
+def test_contamination_and_classes_with_clashing_names(spark):
+    names = {c: bench.F.lit(c) for c in ("_id", "_w", "_bad", "_key", "pos", "token", "id", "n", "c1", "component_id", "item_id", "window")}
+    df = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").withColumns({"start": bench.F.lit(1), "len": bench.F.lit("x")})
+    docs = documents(spark, ["x One two three, four five six seven", "one two three", None]).withColumns(names)
+    assert [r.contaminated for r in sorted(bench.find_contamination(docs, df).collect(), key=lambda r: r.doc_id)] == [True, False, False]
+    kept = bench.drop_contaminated(docs, df)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert sorted(map(tuple, near.jaccard_components(docs).collect())) == [(0, 4, 0), (1, 1, 1), (2, 0, 2)]
+
+
+def test_rows_without_an_id_and_rows_that_repeat_one(spark):
+    df = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "one two three four five"), (None, "y"), (3, "a one two three four five"), (3, "one two three four five one")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in bench.find_contamination(docs, df).collect())
+    assert got == [("3", 12, 6, 1), ("None", 6, 5, 1)]
+    assert [r.doc_id for r in bench.drop_contaminated(docs, df).collect()] == [None, None]

@@ -89,3 +89,12 @@ def test_line_dedup_on_empty_and_repeated_rows(spark):
     twice = documents(spark, ["a line that two rows of one id hold"]).unionByName(documents(spark, ["a line that two rows of one id hold"]))
     assert [r.n_dropped for r in lines.dedup_lines(twice, min_docs=2).collect()] == [0, 0]
     assert set(df.columns) | {"n_lines", "n_dropped"} == set(lines.dedup_lines(df).columns)
+
+
+def test_line_dedup_of_clashing_names_and_texts_that_repeat_an_id(spark):
+    line = "a line that is long enough to count"
+    docs = documents(spark, [line, line, f"x\n{line}\n{line} ", "y"]).withColumns({c: lines.F.lit(c) for c in ("_id", "_t", "_lost", "_left")})
+    other = docs.withColumn("text", lines.F.concat(lines.F.lit("first\n"), "text"))
+    got = lines.dedup_lines(docs.unionByName(other)).collect()
+    assert all((r["_id"], r["_t"], r["_lost"], r["_left"]) == ("_id", "_t", "_lost", "_left") for r in got)
+    assert sorted((r.doc_id, r.text) for r in got) == [(0, ""), (0, "first"), (1, ""), (1, "first"), (2, f"first\nx\n{line}\n{line} "), (2, f"x\n{line}\n{line} "), (3, "first\ny"), (3, "y")]
