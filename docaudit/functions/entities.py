@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions.patterns import find, find_all, has, java, let, lines, replace, squeeze, trim, unique_ci
+from docaudit.functions.patterns import empty_strings, find, find_all, first_seen, has, java, let, lines, replace, squeeze, trim, unique_ci
 
 # Shapes of entities.
 EMAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
@@ -15,41 +15,47 @@ DOCUMENT_NO = r"\b(?:DOC(?:UMENT)?|CLEARANCE|PASSPORT|LETTER)\s*(?:NO\.?|NUMBER|
 REGISTRATION_NO = r"\b(?:REG(?:ISTRATION)?|CIN)\s*(?:NO\.?|NUMBER|#)?[:\s]*([A-Z0-9][A-Z0-9/\-]{4,})\b"
 CIN = r"\b([UL]\d{5}[A-Z]{2}\d{4}[A-Z]{3}\d{6})\b"
 PASSPORT_NO = r"\b([A-Z]\d{7,8})\b"
-MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 DATE = rf"\d{{1,2}}[/\-.\s]\d{{1,2}}[/\-.\s]\d{{2,4}}|\d{{1,2}}\s+(?:{'|'.join(MONTHS)})[A-Z]*[.,]?\s+\d{{2,4}}|\d{{4}}[/\-]\d{{2}}[/\-]\d{{2}}"
 ORGANIZATION = r"\b([A-Z][A-Za-z0-9&.'\-]+(?:\s+[A-Z][A-Za-z0-9&.'\-]+){0,6}\s+(?:Pvt\.?\s*)?(?:Ltd\.?|Limited|LLC|Inc\.?|Corporation|Company|Airlines?|Airport|Authority|Ministry|Department))\b"
 ORGANIZATION_LABEL = r"(?:M/s\.?|Messrs\.?|Organization|Organisation|Company\s*Name)\s*[:\-]?\s*([^\n]{4,80})"
 ORGANIZATION_STOP = r"\b(THE|AND|OF|FOR|PRIVATE|LIMITED|LTD|PVT|INC|LLC|CORPORATION|COMPANY|GOVT|GOVERNMENT)\b"
 
 
+def _some(text: Column, needs: str, pattern: str, group: int = 0, ignore_case: bool = True) -> Column:
+    """find_all() of texts that hold what every match needs; most texts are left after that plain search."""
+    return F.when(text.rlike(needs), find_all(text, pattern, group, ignore_case)).otherwise(empty_strings())
+
+
 def emails(text: Column) -> Column:
-    return unique_ci(find_all(text, EMAIL, 0, True))
+    # A run of signs before an @ is entered at its start only, or where the last match ended.
+    return unique_ci(_some(text, "@", rf"(?:\G|(?<![A-Z0-9._%+-])){EMAIL.replace('+@', '++@')}"))
 
 
 def phones(text: Column) -> Column:
     """Numbers of 8 to 15 digits."""
-    found = F.transform(find_all(text, PHONE), squeeze)
+    found = F.transform(_some(text, r"\d{3}", PHONE, 0, False), squeeze)
     return unique_ci(F.filter(found, lambda p: F.regexp_count(p, F.lit("[0-9]")).between(8, 15)))
 
 
 def references(text: Column) -> Column:
-    return unique_ci(find_all(text, REFERENCE, 1, True))
+    return unique_ci(_some(text, "(?i)REF|LETTER", REFERENCE, 1))
 
 
 def document_numbers(text: Column) -> Column:
-    return unique_ci(find_all(text, DOCUMENT_NO, 1, True))
+    return unique_ci(_some(text, "(?i)DOC|CLEARANCE|PASSPORT|LETTER", DOCUMENT_NO, 1))
 
 
 def registration_numbers(text: Column) -> Column:
-    return unique_ci(find_all(text, REGISTRATION_NO, 1, True))
+    return unique_ci(_some(text, "(?i)REG|CIN", REGISTRATION_NO, 1))
 
 
 def cins(text: Column) -> Column:
-    return unique_ci(F.transform(find_all(text, CIN, 0, True), F.upper))
+    return unique_ci(F.transform(_some(text, r"(?i)[UL]\d{5}", CIN), F.upper))
 
 
 def passport_numbers(text: Column) -> Column:
-    return unique_ci(find_all(F.upper(text), PASSPORT_NO))
+    return unique_ci(F.when(text.rlike(r"\d{7}"), find_all(F.upper(text), PASSPORT_NO)).otherwise(empty_strings()))
 
 
 def _date_of(day: Column, month: Column, year: Column) -> Column:
@@ -134,8 +140,7 @@ def addresses(text: Column) -> Column:
         coded = F.transform(a, lambda x, i: F.when(has(x, r"\b\d{6}\b", False) | has(x, r"\bPIN\b|\bZIP\b"), F.array_join(F.slice(a, F.greatest(F.lit(1), i - 1), F.least(F.lit(3), i + 1)), ", ")))
         return F.transform(F.filter(coded, lambda x: x.isNotNull() & (F.char_length(x) > 15)), lambda x: F.substring(x, 1, 400))
 
-    found = F.concat(F.array_compact(F.array(address_after(text))), let(lines(text), near))
-    return let(found, lambda a: let(F.transform(a, F.upper), lambda u: F.filter(a, lambda x, i: F.array_position(u, F.upper(x)) == i + 1)))
+    return first_seen(F.concat(F.array_compact(F.array(address_after(text))), let(lines(text), near)), F.upper)
 
 
 def tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +186,3 @@ def entity_stats(entities: DataFrame, top: int = 3) -> DataFrame:
         best = best.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "value"))).filter(F.col("r") <= top)
     tops = best.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]), ", ").alias("top_values"))
     return counts.join(tops, "kind")
-
-
-def has_entity(text: Column, pattern: str) -> Column:
-    return find(text, pattern).isNotNull()

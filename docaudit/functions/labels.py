@@ -24,14 +24,18 @@ def labeled_value(text: Column, labels: tuple[str, ...], max_len: int = 120, nex
     def one(label: str) -> Column:
         label = f"(?:{label})" if strict else label
         pattern = java(rf"{label}\s*[:\-/>|.]?\s*([^\n]{{0,{max_len}}})", True)
-        here = squeeze(F.regexp_extract(text, pattern, 1))
-        good = (here != "") & ~has(here, r"^(n/a|na|none|-)$")
-        matched = F.coalesce(text.rlike(pattern), F.lit(False))
-        if not next_line:
-            return F.when(matched & good, F.substring(here, 1, max_len))
-        rest = F.substring(text, F.regexp_instr(text, F.lit(pattern)) + F.char_length(F.regexp_extract(text, pattern, 0)), F.char_length(text))
-        below = F.get(F.filter(F.split(rest, "\n", -1), lambda x: F.char_length(trim(x)) > 1), F.lit(0))
-        return F.when(matched, F.coalesce(F.when(good, F.substring(here, 1, max_len)), F.nullif(F.substring(squeeze(below), 1, max_len), F.lit(""))))
+
+        def valued(here: Column) -> Column:
+            good = (here != "") & ~has(here, r"^(n/a|na|none|-)$")
+            own = F.when(good, F.substring(here, 1, max_len))
+            if not next_line:
+                return own
+            rest = F.substring(text, F.regexp_instr(text, F.lit(pattern)) + F.char_length(F.regexp_extract(text, pattern, 0)), F.char_length(text))
+            below = F.get(F.filter(F.split(rest, "\n", -1), lambda x: F.char_length(trim(x)) > 1), F.lit(0))
+            return F.coalesce(own, F.when(text.rlike(pattern), F.nullif(F.substring(squeeze(below), 1, max_len), F.lit(""))))
+
+        # The label's line is searched once; the line below only where that gives nothing.
+        return let(squeeze(F.regexp_extract(text, pattern, 1)), valued)
 
     return F.coalesce(*[one(x) for x in labels])
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space beyond what Java's \s has.
 MORE_SPACE = r"\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: Runs of what is no white space; ASCII signs, nearly all of them, are taken run by run.
+NON_SPACES = rf"(?:[!-~]++|[^\s{MORE_SPACE}])++"
 #: A boundary of ASCII words; Java's own also counts letters beyond ASCII.
 BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -53,7 +55,7 @@ def replace(text: Column, pattern: str, by: str, ignore_case: bool = False) -> C
 
 
 def trim(text: Column) -> Column:
-    return replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A[\s{MORE_SPACE}]++|(?<![\s{MORE_SPACE}])[\s{MORE_SPACE}]++\z", "")
 
 
 def squeeze(text: Column) -> Column:
@@ -76,13 +78,16 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), trim), lambda x: x != "")
 
 
-def unique_ci(values: Column) -> Column:
-    """Trimmed values in first-seen order, equal ones in any case once, with the first spelling; blank and null ones left out.
+def first_seen(rows: Column, key) -> Column:
+    """The rows of an array whose key no earlier row has, in their order; sorted twice, so long arrays are no trouble."""
+    keyed = F.sort_array(F.transform(rows, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = let(keyed, lambda s: F.filter(s, lambda y, i: F.coalesce(F.get(s, i - 1)["k"] != y["k"], F.lit(True))))
+    return F.transform(F.sort_array(F.transform(firsts, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda y: y["x"])
+
 
-    Quadratic in the length of the array; for long ones explode and keep the first position of each key.
-    """
-    clean = F.filter(F.transform(values, lambda x: trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return let(clean, lambda a: let(F.transform(a, F.upper), lambda u: F.filter(a, lambda x, i: F.array_position(u, F.upper(x)) == i + 1)))
+def unique_ci(values: Column) -> Column:
+    """Trimmed values in first-seen order, equal ones in any case once, with the first spelling; blank and null ones left out."""
+    return first_seen(F.filter(F.transform(values, lambda x: trim(x)), lambda x: x.isNotNull() & (x != "")), F.upper)
 
 
 def empty_strings() -> Column:

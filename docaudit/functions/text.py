@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
-from docaudit.functions.patterns import REASONS, compact, find_all, has, let, lines, reason, replace, trim
+from docaudit.functions.patterns import MORE_SPACE, NON_SPACES, REASONS, compact, find_all, has, let, reason, replace, trim
 
 # Cues; each has a pattern, and case is ignored.
 CUES = {
@@ -32,18 +32,21 @@ def _text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def n_lines(text: Column) -> Column:
+    """Lines with more than white space: one match each, from the first sign on."""
+    return F.regexp_count(text, F.lit(rf"(?:[!-~]|[^\s{MORE_SPACE}])[^\n]*+"))
+
+
+def _signs(t: Column) -> dict[str, Column]:
+    """Counts of a trimmed text, from what is left without letters, digits and spaces: runs go at once."""
+    bare = F.regexp_replace(t, "[A-Za-z0-9]+", "")
+    return {"alnum_count": F.char_length(t) - F.char_length(bare), "symbol_count": F.char_length(replace(bare, r"\s+", "")), "trimmed_length": F.char_length(t)}
+
+
 def text_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with word_count, line_count, alnum_count, symbol_count, trimmed_length and symbol_ratio."""
-    t = trim(_text(text_col))
-    out = df.withColumn("_t", t).withColumns(
-        {
-            "word_count": F.size(find_all(F.col("_t"), r"\S+")),
-            "line_count": F.size(lines(F.col("_t"))),
-            "alnum_count": F.regexp_count("_t", F.lit("[A-Za-z0-9]")),
-            "symbol_count": F.char_length(replace(F.col("_t"), r"[A-Za-z0-9\s]", "")),
-            "trimmed_length": F.char_length("_t"),
-        }
-    )
+    t = F.col("_t")
+    out = df.withColumn("_t", trim(_text(text_col))).withColumns({"word_count": F.regexp_count(t, F.lit(NON_SPACES)), "line_count": n_lines(t)} | _signs(t))
     return out.withColumn("symbol_ratio", F.col("symbol_count") / F.greatest("trimmed_length", F.lit(1))).drop("_t")
 
 
@@ -140,8 +143,8 @@ def ocr_gate(df: DataFrame, settings: Settings = DEFAULT, text_col: str = "text"
     s, t = settings, trim(_text(text_col))
     conf = F.coalesce(F.col("ocr_confidence"), F.lit(0))
     blur = F.col(blur_col) if blur_col else F.lit(None).cast("double")
-    alnum = F.regexp_count("_t", F.lit("[A-Za-z0-9]"))
-    symbols = F.char_length(replace(F.col("_t"), r"[A-Za-z0-9\s]", "")) / F.greatest(F.char_length("_t"), F.lit(1))
+    signs = _signs(F.col("_t"))
+    alnum, symbols = signs["alnum_count"], signs["symbol_count"] / F.greatest(signs["trimmed_length"], F.lit(1))
     reasons = compact(
         reason("OCR_TEXT_EMPTY", "OCR produced no readable text", "ocr", F.col("_t") == ""),
         reason("OCR_CONFIDENCE_LOW", F.format_string(f"OCR confidence %d%% below threshold {s.ocr_confidence}%%", conf.cast("int")), "ocr", conf < s.ocr_confidence),

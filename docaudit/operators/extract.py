@@ -174,9 +174,9 @@ def extraction_confidence(
     return out.drop("_m", "_o", "_r", "_missing")
 
 
-def extract(df: DataFrame, type_: str, settings: Settings = DEFAULT) -> DataFrame:
-    """df with the type's fields and the confidence in them."""
-    out = extract_fields(df, type_)
+def extract(df: DataFrame, type_: str, settings: Settings = DEFAULT, bag: bool = False) -> DataFrame:
+    """df with the type's fields and the confidence in them; with bag, beside the entities that every type has, which the type's own fields override."""
+    out = extract_fields(generic_bag(df) if bag else df, type_)
     formats, consistent = {}, {}
     if type_ == "CIN":
         formats["cinFormat"] = F.when(F.col("cinNumber").isNotNull(), checks.cin(F.col("cinNumber"), settings.as_of)["passed"])
@@ -195,7 +195,7 @@ def extract(df: DataFrame, type_: str, settings: Settings = DEFAULT) -> DataFram
 def long_fields(df: DataFrame, type_: str) -> DataFrame:
     """df with fields (map of strings) and lists (map of arrays) in place of the type's own columns, so that types can be put together."""
     kinds = dict(df.dtypes)
-    every = [f for f in FIELDS[type_](F.lit("")) if f in kinds]
+    every = [f for f in dict.fromkeys((*FIELDS[type_](F.lit("")), *BAG)) if f in kinds]
     plain = [f for f in every if not kinds[f].startswith("array")]
     lists = [f for f in every if kinds[f].startswith("array")]
     one = F.create_map(*[x for f in plain for x in (F.lit(f), F.col(f).cast("string"))]) if plain else F.create_map().cast("map<string,string>")
@@ -204,11 +204,17 @@ def long_fields(df: DataFrame, type_: str) -> DataFrame:
     return df.withColumns({"fields": kept, "lists": many}).drop(*every)
 
 
+#: Columns of the bag.
+BAG = ("names", "organizations", "dates", "addresses", "emailAddresses", "phoneNumbers", "documentNumbers", "registrationNumbers", "referenceNumbers", "qrCodes", "barcodes", "headers", "footers", "sectionHeadings", "bulletLists", "signaturePresence", "stampPresence")
+
+
 def generic_bag(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the entities that every type has: one array column each, the text as it is, signature and stamp."""
+    """df with the entities that every type has: one array column each, signature and stamp. The text stays in text_col; tables are entities.tables().
+
+    Columns of these names are replaced; the fields of a type, put over them afterwards, override them, nulls too.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
     bag = {
-        "fullOcrText": t,
         "names": names.person_names(t),
         "organizations": entities.organizations(t),
         "dates": entities.dates(t),
@@ -230,12 +236,6 @@ def generic_bag(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns(bag)
 
 
-def merge_specific(generic: DataFrame, specific: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """generic with the columns of specific put over it, nulls too; the text stays generic."""
-    fields = [c for c in specific.columns if c not in (id_col, "fullOcrText")]
-    return generic.drop(*fields).join(specific.select(id_col, *fields), id_col, "left")
-
-
 def validate(df: DataFrame, type_: str, settings: Settings = DEFAULT) -> DataFrame:
     """df (with the type's fields) with validation (passed, checks, reasons, normalized) and validation_skipped."""
     skipped = F.lit(type_ == "AUTHORITY_LETTER")

@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 from docaudit.functions.patterns import REASONS
 
 # Names of values that must not be logged.
-SENSITIVE = (
-    "fullOcrText text data name fatherName aadhaar pan passportNumber personalNumber address dob dateOfBirth mrz extractedData"
-).split()
+SENSITIVE = ("fullOcrText", "text", "data", "name", "fatherName", "aadhaar", "pan", "passportNumber", "personalNumber", "address", "dob", "dateOfBirth", "mrz", "extractedData")
 # Key fields of a summary.
-KEY_FIELDS = "name aadhaar pan passportNumber surname givenName cinNumber companyName employeeName clearanceNumber programmeTitle authorizedPerson".split()
+KEY_FIELDS = ("name", "aadhaar", "pan", "passportNumber", "surname", "givenName", "cinNumber", "companyName", "employeeName", "clearanceNumber", "programmeTitle", "authorizedPerson")
+
+
+DECISION = "struct<passed:boolean,score:int,threshold:int,overallScore:int>"
+MIRROR = "struct<passed:boolean,score:int,threshold:int>"
 
 
 def _null(kind: str) -> Column:
@@ -28,18 +30,24 @@ def stopped_results(df: DataFrame, stage: str, reasons: str) -> DataFrame:
     return df.select(
         "doc_id", "requested_type", F.lit("stopped").alias("status"), F.lit(stage).alias("stage"), F.coalesce(F.get(said, F.lit(0)), F.lit("Processing stopped")).alias("stop_reason"),
         F.col(reasons).cast(REASONS).alias("reasons"), typed.alias("document_type"), F.col("ocr_confidence").cast("int").alias("ocr_confidence"), conf.alias("classification_confidence"), F.lit(0).alias("extraction_confidence"),
-        F.array_distinct(F.concat("gate_warnings", said)).alias("warnings"), _null("map<string,string>").alias("fields"), _null("map<string,array<string>>").alias("lists"), _null("boolean").alias("validation_passed"), _null("int").alias("risk_score"), F.lit(False).alias("overall_passed"),
+        F.array_distinct(F.concat("gate_warnings", said)).alias("warnings"), _null("map<string,string>").alias("fields"), _null("map<string,array<string>>").alias("lists"), _null("boolean").alias("validation_passed"), _null("int").alias("risk_score"), _null(DECISION).alias("risk_assessment"), _null(MIRROR).alias("authenticity"), _null(REASONS).alias("risk_reasoning"), F.lit(False).alias("overall_passed"),
     )
 
 
 def completed_results(df: DataFrame) -> DataFrame:
-    """Rows that came through: of types that are only extracted there is no risk, and validation decides (null where there is none)."""
-    risk = F.col("risk_score") if "risk_score" in df.columns else _null("int")
+    """Rows that came through: of types that are only extracted there is no risk, and validation decides (null where there is none).
+
+    Verified types have the risk block: the decision, its older mirror and what was said; soft signs are warnings.
+    """
+    judged = "risk_score" in df.columns
+    risk = F.col("risk_score") if judged else _null("int")
+    block = [(F.col(c) if judged else _null(k)).cast(k).alias(c) for c, k in (("risk_assessment", DECISION), ("authenticity", MIRROR), ("risk_reasoning", REASONS))]
+    warnings = F.array_distinct(F.concat("gate_warnings", "quality_warnings")) if judged else F.col("gate_warnings")
     overall = F.col("overall_passed") if "overall_passed" in df.columns else F.when(~F.col("validation_skipped"), F.col("validation.passed"))
     return df.select(
         "doc_id", "requested_type", F.lit("completed").alias("status"), F.lit("completed").alias("stage"), _null("string").alias("stop_reason"),
         F.concat("class_reasons", "extraction_reasons", "validation.reasons").cast(REASONS).alias("reasons"), F.col("document_type"), F.col("ocr_confidence").cast("int").alias("ocr_confidence"), F.col("classification_confidence"), F.col("extraction_confidence"),
-        F.col("gate_warnings").alias("warnings"), F.col("fields"), F.col("lists"), F.when(~F.col("validation_skipped"), F.col("validation.passed")).alias("validation_passed"), risk.alias("risk_score"), overall.alias("overall_passed"),
+        warnings.alias("warnings"), F.col("fields"), F.col("lists"), F.when(~F.col("validation_skipped"), F.col("validation.passed")).alias("validation_passed"), risk.alias("risk_score"), *block, overall.alias("overall_passed"),
     )
 
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
-from docaudit.functions.text import cues, ocr_gate
+from docaudit.functions.text import cues, n_lines, ocr_gate
 from docaudit.operators.classify import classify
 from docaudit.operators.detectors import run_detectors
 from docaudit.operators.extract import extract, long_fields, validate
 from docaudit.operators.results import completed_results, stopped_results
-from docaudit.operators.score import decide, risk_score, route_indicators
+from docaudit.operators.score import decide, risk_block, risk_score, route_indicators
 from docaudit.sources.catalog import TYPES
+from docaudit.sources.shared import keep
 
 VERIFIED = [t[0] for t in TYPES if t[3] == "verification"]
 
@@ -22,26 +22,30 @@ def verified(df: DataFrame, type_: str, settings: Settings = DEFAULT) -> DataFra
     """df (extracted and validated documents of a verified type) with risk_score, indicators and the decision."""
     text = F.coalesce(F.col("text"), F.lit(""))
     number = "aadhaar" if type_ == "AADHAAR" else "pan"
-    features = df.withColumns(cues(text) | {"has_number": F.col(number).isNotNull(), "validation_passed": F.col("validation.passed"), "line_count": F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))})
+    features = df.withColumns(cues(text) | {"has_number": F.col(number).isNotNull(), "validation_passed": F.col("validation.passed"), "line_count": n_lines(text)})
     det = run_detectors(features)
     risk = risk_score(det, settings)
     # Both are one small row a document, keyed alike, so that the joins reuse one partitioning.
-    return decide(df.join(risk, "doc_id").join(route_indicators(det, risk), "doc_id"), settings)
+    return risk_block(decide(df.join(risk, "doc_id").join(route_indicators(det, risk), "doc_id"), settings), settings)
 
 
-def audit_documents(df: DataFrame, settings: Settings = DEFAULT, blur_col: str | None = None, types: tuple[str, ...] = tuple(t[0] for t in TYPES)) -> DataFrame:
+def audit_documents(df: DataFrame, settings: Settings = DEFAULT, blur_col: str | None = None, types: tuple[str, ...] = tuple(t[0] for t in TYPES), bag: bool = False) -> DataFrame:
     """One result row for each row of df (doc_id, requested_type, text, ocr_confidence): stopped at the reading, stopped at the type, or completed.
 
-    doc_ids are distinct. Rows of a type that is not in `types` stop at the classification. Types are separate branches,
-    each of which extracts its own fields from its own rows only; what they share, the classified rows, is kept on disk by
-    Spark, which recomputes what a lost executor held. Each branch would classify all rows again otherwise.
+    doc_ids are distinct. Rows of a type that is not in `types` stop at the classification. bag adds the entities that
+    every type has. What the types' branches share, the gated and classified rows without their scores, is written once to
+    the shared folder by branch, and each branch reads and extracts its own rows only. Rows of verified types are written
+    again with their fields, since detectors, risk and decision each read them.
     """
-    gated = ocr_gate(df, settings, blur_col=blur_col)
-    out = stopped_results(gated.filter("NOT gate_passed"), "ocr", "gate_reasons")
-    known = classify(gated.filter("gate_passed"), settings).persist(StorageLevel.DISK_ONLY)
-    out = out.unionByName(stopped_results(known.filter(~F.col("classified") | ~F.col("requested_type").isin(*types)), "classification", "class_reasons"))
+    rows = ocr_gate(df, settings, blur_col=blur_col).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = classify(rows, settings).drop("type_scores", "signals", "best_type")
+    fits = F.col("classified") & F.col("requested_type").isin(*types)
+    known = keep(rows.withColumn("branch", F.when(~F.col("gate_passed"), "ocr").when(fits, F.col("requested_type")).otherwise("classification")), "classified", "branch")
+    out = stopped_results(known.filter("branch = 'ocr'").drop("classification_confidence"), "ocr", "gate_reasons")
+    out = out.unionByName(stopped_results(known.filter("branch = 'classification'"), "classification", "class_reasons"))
     for t in types:
-        rows = validate(extract(known.filter(F.col("classified") & (F.col("requested_type") == t)), t, settings), t, settings)
-        done = verified(rows, t, settings) if t in VERIFIED else rows
+        done = validate(extract(known.filter(F.col("branch") == t), t, settings, bag), t, settings)
+        if t in VERIFIED:
+            done = verified(keep(done, f"extracted-{t}"), t, settings)
         out = out.unionByName(completed_results(long_fields(done, t)))
     return out
