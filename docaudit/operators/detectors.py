@@ -26,9 +26,9 @@ MESSAGES = {
 #: Columns that a features table may have; those it lacks count as absent, null or false.
 NUMBERS = ("blur", "brightness", "contrast", "noise", "skew_angle", "dpi", "width", "height", "aspect_ratio", "edge_density", "color_variance", "ocr_confidence", "extraction_confidence", "word_count", "line_count", "n_words", "n_confident", "low_share", "conf_std", "n_heights", "height_cv")
 FLAGS = (
-    "isDarkUi hasExplicitFake hasJunkWords hasAadhaarLabel hasUidai hasGovernmentOfIndia hasPanLabel hasIncomeTax hasQrLikeRegion hasPhotoLikeRegion hasTimestampCue hasUiChrome "
-    "hasScreenshotCues hasCamScanner hasNotepadCues isNearWhiteBg validation_passed has_number"
-).split()
+    "isDarkUi", "hasExplicitFake", "hasJunkWords", "hasAadhaarLabel", "hasUidai", "hasGovernmentOfIndia", "hasPanLabel", "hasIncomeTax", "hasQrLikeRegion", "hasPhotoLikeRegion", "hasTimestampCue", "hasUiChrome",
+    "hasScreenshotCues", "hasCamScanner", "hasNotepadCues", "isNearWhiteBg", "validation_passed", "has_number",
+)
 
 
 def _sum(*terms: tuple[Column, float]) -> Column:
@@ -111,7 +111,7 @@ def all_detectors(features: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = []
     for k, (name, category, weight, mark, _) in enumerate(DETECTORS):
         score = F.least(F.greatest(scores[name], F.lit(0.0)), F.lit(1.0))
-        fixed = F.round(score, 3)
+        fixed = F.round(F.round(score, 9), 3)  # first to what the sum is in decimals
         passed = fixed >= mark
         rows.append(F.struct(F.lit(name).alias("name"), F.lit(k).alias("pos"), F.lit(category).alias("category"), F.lit(weight).alias("weight"), fixed.alias("score"), passed.alias("passed"), F.when(~passed, MESSAGES[name]).alias("fraud_message")))
     return features.select(id_col, *(["requested_type"] if "requested_type" in features.columns else []), F.explode(F.array(*rows)).alias("d")).select(id_col, *(["requested_type"] if "requested_type" in features.columns else []), "d.*")

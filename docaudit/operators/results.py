@@ -53,7 +53,7 @@ def completed_results(df: DataFrame) -> DataFrame:
 
 def summarize(results: DataFrame) -> DataFrame:
     """(doc_id, status, confidences, stop_reason, codes, key_fields): the first three reason codes, and key fields that are there, of 60 characters."""
-    keys = F.map_filter(F.transform_values("fields", lambda k, v: F.substring(v, 1, 60)), lambda k, v: k.isin(KEY_FIELDS) & v.isNotNull())
+    keys = F.map_filter(F.transform_values("fields", lambda k, v: F.substring(v, 1, 60)), lambda k, v: k.isin(*KEY_FIELDS) & v.isNotNull())
     return results.select("doc_id", "status", "ocr_confidence", "classification_confidence", "extraction_confidence", "stop_reason", F.slice(F.transform("reasons", lambda r: r["code"]), 1, 3).alias("codes"), keys.alias("key_fields"))
 
 

@@ -56,10 +56,13 @@ def choose_orientation(probes: DataFrame, margin: float = 20.0, enough: float =
 
 
 def category_scores(det: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, category, score): weighted means with two places; a detector without a category tells of tampering."""
+    """(id_col, category, score): weighted means with two places; a detector without a category tells of tampering.
+
+    Scores have three places, and are summed as whole thousandths: sums do not depend on the order of rows.
+    """
     known = F.create_map(*[F.lit(x) for d in DETECTORS for x in d[:2]])
-    out = det.withColumn("category", F.coalesce(known[F.col("name")], F.lit("tampering"))).groupBy(id_col, "category").agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.sum("weight").alias("w"))
-    return out.select(id_col, "category", (F.floor(F.when(F.col("w") == 0, F.col("s")).otherwise(F.col("s") / F.nullif("w", F.lit(0))) * 100 + 0.5) / 100).alias("score"))
+    out = det.withColumn("category", F.coalesce(known[F.col("name")], F.lit("tampering"))).groupBy(id_col, "category").agg(F.sum(F.round(F.col("score") * 1000).cast("long") * F.col("weight")).alias("s"), F.sum("weight").alias("w"))
+    return out.select(id_col, "category", (F.floor(F.when(F.col("w") == 0, F.col("s") / 10).otherwise(F.col("s") / (10 * F.nullif("w", F.lit(0)))) + 0.5) / 100).alias("score"))
 
 
 def risk_score(det: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id") -> DataFrame:
@@ -78,7 +81,7 @@ def risk_score(det: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_
     )
     total = F.lit(0.0)
     for name, weight in s.categories.items():
-        total = total + F.coalesce(F.col("category_scores")[name], F.lit(0.0)) * weight * 100
+        total = total + F.round(F.coalesce(F.col("category_scores")[name], F.lit(0.0)) * 100) * round(weight * 100) / 100
     out = cats.join(caps, id_col).withColumn("risk_score", half_up(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0))))
     for flag, most in (("c35", 35), ("c40", 40), ("c45", 45)):
         out = out.withColumn("risk_score", F.when(F.col(flag), F.least("risk_score", F.lit(most))).otherwise(F.col("risk_score")))

@@ -187,13 +187,15 @@ def entity_counts(spark, sf_dir):
 
 @query(
     "e18_entity_stats",
-    f"""WITH e AS (SELECT doc_id, unnest({_ENTITY["email"]}) AS value FROM ({_TEXTS})), t AS (SELECT value, count(*) AS n FROM e GROUP BY value)
-  SELECT 'email' AS kind, (SELECT count(*) FROM e) AS n, (SELECT count(DISTINCT doc_id) FROM e) AS n_docs, (SELECT count(*) FROM t) AS n_values, (SELECT string_agg(lower(value), ', ' ORDER BY n DESC, lower(value)) FROM (SELECT * FROM t ORDER BY n DESC, lower(value) LIMIT 3)) AS top_values""",
+    " UNION ALL ".join(
+        f"""SELECT '{k}' AS kind, (SELECT count(*) FROM e_{k}) AS n, (SELECT count(DISTINCT doc_id) FROM e_{k}) AS n_docs, (SELECT count(*) FROM t_{k}) AS n_values, (SELECT string_agg(value, ', ' ORDER BY n DESC, value) FROM (SELECT * FROM t_{k} ORDER BY n DESC, value LIMIT 3)) AS top_values WHERE EXISTS (SELECT * FROM e_{k})"""
+        for k in _ENTITY
+    ).join(["WITH " + ", ".join(f"e_{k} AS (SELECT doc_id, unnest({sql}) AS value FROM ({_TEXTS})), t_{k} AS (SELECT value, count(*) AS n FROM e_{k} GROUP BY value)" for k, sql in _ENTITY.items()) + " ", ""]),
 )
 def entity_stats(spark, sf_dir):
     docs = co.read_table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
-    rows = en.entity_table(co.planted_mix(spark, sf_dir).select("doc_id", "text").unionByName(docs)).filter("kind = 'email'")
-    return en.entity_stats(rows.withColumn("value", F.lower("value")))
+    rows = en.entity_table(co.planted_mix(spark, sf_dir).select("doc_id", "text").unionByName(docs)).filter("kind <> 'date'")
+    return en.entity_stats(rows.withColumn("value", F.upper("value")))
 
 
 @query("e8_dates", f"SELECT doc_id, array_to_string(d, ',') AS dates FROM (SELECT doc_id, list_transform(list_filter(range(1, len(a) + 1), lambda i: list_position(a, a[i]) = i), lambda i: a[i]) AS d FROM (SELECT doc_id, regexp_extract_all(text, '\\d{{2}}/\\d{{2}}/\\d{{4}}') AS a FROM ({MIX})))")
@@ -229,9 +231,16 @@ def addresses(spark, sf_dir):
     return co.planted(spark, sf_dir, _PLACE).select("doc_id", F.get(a, F.lit(0)).alias("labelled"), F.get(a, F.lit(1)).alias("coded"))
 
 
-@query("e11_organizations", "SELECT organization, count(*) AS n FROM (SELECT 'We are Acme Tools Limited' AS organization FROM customer) GROUP BY organization")
+_FIRM = "CASE c_custkey % 4 WHEN 0 THEN 'Tools Limited' WHEN 1 THEN 'Air Authority' WHEN 2 THEN 'Trading Company' ELSE 'Freight Pvt Ltd' END"
+
+
+@query(
+    "e11_organizations",
+    f"SELECT c_custkey AS doc_id, concat('Acme', CAST(c_custkey AS VARCHAR), ' ', {_FIRM}, CASE WHEN c_custkey % 3 = 0 THEN concat(';the Guild of ', chr(CAST(65 + c_custkey % 26 AS INT))) ELSE ';: of' END) AS organizations FROM customer",
+)
 def organizations(spark, sf_dir):
-    return co.planted(spark, sf_dir, _PLACE).select(F.explode(en.organizations(F.col("text"))).alias("organization")).groupBy("organization").agg(F.count("*").alias("n"))
+    rows = co.planted(spark, sf_dir, f"SELECT c_custkey AS doc_id, concat('dear all, Acme', CAST(c_custkey AS STRING), ' ', {_FIRM}, ' wrote', chr(10), CASE WHEN c_custkey % 3 = 0 THEN concat('Organisation: the Guild of ', chr(CAST(65 + c_custkey % 26 AS INT))) ELSE 'Organisation: of' END) AS text FROM customer")
+    return rows.select("doc_id", F.array_join(en.organizations(F.col("text")), ";").alias("organizations"))
 
 
 @query("e13_tables", "SELECT c_custkey AS doc_id, 1 AS table_no, 3 AS row_count, concat('Post,Count;North,', CAST(c_custkey % 50 AS VARCHAR), ';South,3') AS cells FROM customer")
@@ -240,10 +249,24 @@ def tables(spark, sf_dir):
     return out.select("doc_id", "table_no", "row_count", F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("cells"))
 
 
-@query("e13_document_tables", "SELECT count(*) AS n_docs FROM documents WHERE doc_id IS NULL")
+_SP = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _duck_cells(split: str) -> str:
+    return f"len(list_filter({split}, lambda c: regexp_replace(c, '{_SP}+', '', 'g') <> ''))"
+
+
+@query(
+    "e13_document_tables",
+    f"""WITH l AS (SELECT doc_id, pos, regexp_replace(line, '^{_SP}+|{_SP}+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+  c AS (SELECT doc_id, pos, {_duck_cells("string_split(line, '|')")} >= 2 OR len(list_filter(regexp_split_to_array(line, '\t+'), lambda x: x <> '')) >= 2 OR len(list_filter(regexp_split_to_array(line, '{_SP}{{2,}}'), lambda x: x <> '')) >= 2 AS cut FROM l WHERE line <> ''),
+  i AS (SELECT doc_id, cut, sum(CAST(NOT cut AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM c), t AS (SELECT doc_id, island, count(*) AS n FROM i WHERE cut GROUP BY doc_id, island HAVING count(*) >= 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS k FROM t)
+  SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_tables, sum(n)::BIGINT AS n_rows FROM r WHERE k <= 10""",
+)
 def document_tables(spark, sf_dir):
     docs = co.read_table(spark, sf_dir, "documents")
-    return en.tables(docs).agg(F.countDistinct("doc_id").alias("n_docs"))
+    return en.tables(docs).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_tables"), F.sum("row_count").alias("n_rows"))
 
 
 @query(
@@ -323,14 +346,14 @@ def card_scores(spark, sf_dir):
     return cl.classify(mix).select("doc_id", "requested_type", F.col("classification_confidence").alias("score"))
 
 
+# A text without any cue ties at 0, and the first type of the catalogue leads.
 @query(
     "c8_best_types",
-    f"SELECT requested_type, count(*) AS n FROM ({MIX}) WHERE requested_type IN ('SECURITY_CLEARANCE', 'SECURITY_PROGRAMME', 'AUTHORITY_LETTER') GROUP BY requested_type",
+    f"SELECT doc_id, CASE WHEN t = 2 AND k % 10 = 4 THEN 'AADHAAR' ELSE requested_type END AS best FROM (SELECT *, doc_id // 10 AS k, doc_id % 10 AS t FROM ({MIX})) WHERE NOT (t IN (0, 1) AND k % 10 = 5)",
 )
 def best_types(spark, sf_dir):
-    mix = co.planted_mix(spark, sf_dir).filter(F.col("requested_type").isin("SECURITY_CLEARANCE", "SECURITY_PROGRAMME", "AUTHORITY_LETTER"))
-    best = cl.type_scores_long(mix.withColumn("doc_id", F.struct("doc_id", "requested_type"))).filter("rank = 1 AND type = doc_id.requested_type")
-    return best.groupBy("doc_id.requested_type").agg(F.count("*").alias("n"))
+    mix = co.planted_mix(spark, sf_dir).filter("NOT (doc_id % 10 IN (0, 1) AND floor(doc_id / 10) % 10 = 5)")
+    return cl.type_scores_long(mix).filter("rank = 1").select("doc_id", F.col("type").alias("best"))
 
 
 @query(
