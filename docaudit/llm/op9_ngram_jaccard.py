@@ -8,9 +8,10 @@ Two documents link when 4 * |A and B| >= 3 * |A or B| over their sets of distinc
    any other document holds have no partner and leave here; only regions are shuffled, not whole sets.
 3. Over what is left, tokens are ordered by rarity, and the rarest n/4 + 1 of a document are its prefix: linked documents
    share a prefix token.
-4. Candidates are not all pairs of a token: first each document meets the token's leader, then another leader, and
-   documents that are linked become one component. Only pairs of different components that pass the length and
-   positional bounds are left then, and all of those are verified.
+4. Candidates are not all pairs of a token: in rounds each document meets a few leaders of its tokens, others in each
+   round, and documents that are linked become one component. Rounds go on while pairs of different components get
+   fewer and are more than the prefix tokens. Those that then pass the length, positional and bitmap bounds are all
+   verified.
 5. A pair is verified by fragments: the hash order is cut into FRAGMENTS, the overlap of each fragment is counted by
    itself, and the counts are summed per pair.
 """
@@ -18,6 +19,8 @@ Two documents link when 4 * |A and B| >= 3 * |A or B| over their sets of distinc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,12 @@ from docaudit.llm.common import Workspace, read, unique_ids
 from docaudit.llm.components import components
 from docaudit.llm.shingles import WordHash, shingle_set
 
+#: Leaders of a token in a round, and of those so many at most are tried by a document.
+LEADERS = 4
 #: A power of two; fragments are the leading bits of a token.
 FRAGMENTS = 4
+#: Bits of a document's bitmap, a power of two.
+BITS = 1024
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -60,15 +67,17 @@ def _fragments(size: int):
         known = WordHash()
         cuts = np.array([k * (2**64 // FRAGMENTS) for k in range(1, FRAGMENTS)], np.uint64)
         for batch in batches:
-            rows, n, f, parts = [], [], [], []
+            rows, n, f, parts, maps = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 s = shingle_set(text.as_py(), known, size)
+                bits = (np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
                 for k, part in enumerate(np.split(s, np.searchsorted(s, cuts))):
                     rows.append(i)
                     n.append(len(s))
                     f.append(k)
                     parts.append(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(n, pa.int32()), pa.array(f, pa.int32()), _lists(parts)], ["id", "n", "f", "part"])
+                    maps.append(np.packbits(bits).view(np.uint64) if k == 0 else np.empty(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(n, pa.int32()), pa.array(f, pa.int32()), _lists(parts), _lists(maps)], ["id", "n", "f", "part", "bits"])
 
     return run
 
@@ -89,24 +98,42 @@ def _with_component(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     return prefixes.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _led(rows: DataFrame, order: Column) -> DataFrame:
-    """Pairs of each document with the leader that most of its tokens have, of tokens that two components hold."""
-    lead = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    met = rows.join(lead.select("token", "lead"), "token").filter((F.col("comp") != F.col("lead.comp")) & _linkable(F.col("n"), F.col("lead.n")))
+def _led(rows: DataFrame, k: int) -> DataFrame:
+    """Pairs of each document with the LEADERS leaders that most of its tokens have, of tokens that two components hold.
+
+    Each round draws others: of each token, the document that a hash puts first in each of LEADERS parts.
+    """
+    drawn = rows.withColumn("draw", F.xxhash64("id", F.lit(k))).withColumn("part", F.pmod("draw", F.lit(LEADERS)))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    lead = drawn.groupBy("token", "part").agg(F.min(F.struct("draw", "id", "n", "comp")).alias("lead")).join(mixed, "token").select("token", "lead")
+    met = rows.join(lead, "token").filter((F.col("comp") != F.col("lead.comp")) & _linkable(F.col("n"), F.col("lead.n")))
     votes = met.groupBy("id", F.col("lead.id").alias("leader")).agg(F.count("*").alias("votes"))
-    top = votes.groupBy("id").agg(F.max(F.struct("votes", "leader")).alias("top")).select("id", F.col("top.leader").alias("leader"))
+    top = votes.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "leader")), False), 1, LEADERS).alias("top"))
+    top = top.select("id", F.explode("top").alias("t")).select("id", F.col("t.leader").alias("leader"))
     return top.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def _crossing(rows: DataFrame) -> DataFrame:
-    """All pairs of different components that share a prefix token and pass the length and positional bounds."""
+def _left(rows: DataFrame) -> int:
+    """At most so many pairs of rows of one token lie in different components, counted at each token."""
+    return rows.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)).alias("p")).agg(F.sum("p") / 2).first()[0] or 0
+
+
+def _crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """All pairs of different components that share a prefix token and pass the length, positional and bitmap bounds.
+
+    A bit is the parity of the shingles that fall on it, so shared ones cancel out: each bit in which two bitmaps differ
+    stands for a shingle that one document lacks. Linked ones lack at most a seventh of both their sizes together, and
+    pairs that differ in more bits do not link.
+    """
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rows = rows.join(mixed, "token")
-    x = rows.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("comp").alias("ca"))
-    y = rows.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("comp").alias("cb"))
+    rows = rows.join(mixed, "token").join(parts.filter("f = 0").select("id", "bits"), "id")
+    x = rows.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("comp").alias("ca"), F.col("bits").alias("xa"))
+    y = rows.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("comp").alias("cb"), F.col("bits").alias("xb"))
     na, nb = F.col("na"), F.col("nb")
     most = F.least(na - F.col("ia"), nb - F.col("ib")) + 1
     near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _linkable(na, nb) & (7 * most >= 3 * (na + nb))
+    differ = reduce(add, [F.bit_count(F.get("xa", F.lit(k)).bitwiseXOR(F.get("xb", F.lit(k)))) for k in range(BITS // 64)])
+    near = near & (7 * differ <= na + nb)
     return x.join(y, (x["token"] == y["token"]) & near).select("a", "b").distinct()
 
 
@@ -129,7 +156,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = 1 + F.floor(F.ceil(0.75 * F.col("n")) / 8)
     alive = ws.keep(held.filter(F.col("k") >= least).join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id"), "alive")
 
-    parts = ws.keep(docs.join(alive.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_fragments(size), f"id {kind}, n int, f int, part array<long>"), "parts")
+    parts = ws.keep(docs.join(alive.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_fragments(size), f"id {kind}, n int, f int, part array<long>, bits array<long>"), "parts")
     tokens = parts.select("id", "n", F.explode("part").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ordered = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
@@ -137,13 +164,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = ordered.select("id", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("take"))).alias("k", "x"))
     prefixes = ws.keep(prefixes.select("id", "n", F.col("x.token").alias("token"), (F.col("alone") + F.col("k") + 1).alias("pos")), "prefixes")
 
-    links, labels = None, None
-    for k, order in enumerate((F.col("id"), F.xxhash64("id"), None)):
-        rows = prefixes.withColumn("comp", F.col("id")) if labels is None else _with_component(prefixes, labels)
-        pairs = _crossing(rows) if order is None else _led(rows, order)
-        found = ws.keep(_verify(pairs, parts), f"links-{k}")
+    rows = prefixes.withColumn("comp", F.col("id"))
+    links, k, before, size_of = None, 0, None, prefixes.count()
+    while True:
+        # Rounds of leaders go on while they help and more pairs than prefix tokens would be left.
+        left = _left(rows)
+        last = left <= size_of or (before is not None and left > 0.9 * before)
+        found = ws.keep(_verify(_crossing(rows, parts) if last else _led(rows, k), parts), f"links-{k}")
         links = found if links is None else links.unionByName(found)
         labels = components(ws, links, f"labels-{k}")
+        if last:
+            break
+        rows, before, k = _with_component(prefixes, labels), left, k + 1
 
     named = reps.join(labels, reps["rep"] == labels["id"], "left").select("c1", "c2", F.coalesce("comp", "rep").alias("component_id"))
     # Written, so that the join can be split where one text has very many copies.
