@@ -10,8 +10,8 @@ Two documents link when 4 * |A and B| >= 3 * |A or B| over their sets of distinc
    share a prefix token.
 4. Candidates are not all pairs of a token: in rounds each document meets a few leaders of its tokens, others in each
    round, and documents that are linked become one component. Rounds go on while pairs of different components get
-   fewer and are more than the prefix tokens. Those that then pass the length, positional and bitmap bounds are all
-   verified.
+   fewer and are more than the prefix tokens. Of those that then pass the length, positional and bitmap bounds the most
+   alike of each two components goes first; where it does not link them, all their others are verified.
 5. A pair is verified by fragments: the hash order is cut into FRAGMENTS, the overlap of each fragment is counted by
    itself, and the counts are summed per pair.
 """
@@ -86,6 +86,24 @@ def _linkable(na: Column, nb: Column) -> Column:
     return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (na > 0)
 
 
+def _differ() -> Column:
+    """In how many bits the bitmaps xa and xb differ.
+
+    A bit is the parity of the shingles that fall on it, so shared ones cancel out: each bit in which two bitmaps differ
+    stands for a shingle that one document lacks. Linked ones lack at most a seventh of both their sizes together, and
+    pairs that differ in more bits do not link.
+    """
+    return reduce(add, [F.bit_count(F.get("xa", F.lit(k)).bitwiseXOR(F.get("xb", F.lit(k)))) for k in range(BITS // 64)])
+
+
+def _alike(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that pass the bitmap bound."""
+    maps = parts.filter("f = 0")
+    left = maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return pairs.join(left, "a").join(right, "b").filter(7 * _differ() <= F.col("na") + F.col("nb")).select("a", "b")
+
+
 def _verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those that link: partial overlaps by fragment, summed per pair."""
     left = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), "f", F.col("part").alias("pa"))
@@ -119,12 +137,7 @@ def _left(rows: DataFrame) -> int:
 
 
 def _crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs of different components that share a prefix token and pass the length, positional and bitmap bounds.
-
-    A bit is the parity of the shingles that fall on it, so shared ones cancel out: each bit in which two bitmaps differ
-    stands for a shingle that one document lacks. Linked ones lack at most a seventh of both their sizes together, and
-    pairs that differ in more bits do not link.
-    """
+    """(a, b, ca, cb, differ): all pairs of different components that share a prefix token and pass the length, positional and bitmap bounds."""
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rows = rows.join(mixed, "token").join(parts.filter("f = 0").select("id", "bits"), "id")
     x = rows.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("comp").alias("ca"), F.col("bits").alias("xa"))
@@ -132,9 +145,15 @@ def _crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
     na, nb = F.col("na"), F.col("nb")
     most = F.least(na - F.col("ia"), nb - F.col("ib")) + 1
     near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _linkable(na, nb) & (7 * most >= 3 * (na + nb))
-    differ = reduce(add, [F.bit_count(F.get("xa", F.lit(k)).bitwiseXOR(F.get("xb", F.lit(k)))) for k in range(BITS // 64)])
-    near = near & (7 * differ <= na + nb)
-    return x.join(y, (x["token"] == y["token"]) & near).select("a", "b").distinct()
+    near = near & (7 * _differ() <= na + nb)
+    return x.join(y, (x["token"] == y["token"]) & near).select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), _differ().alias("differ")).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that labels (id, comp) leave in different components."""
+    left, right = (labels.select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab")
+    rows = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
+    return rows.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
@@ -165,17 +184,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = ws.keep(prefixes.select("id", "n", F.col("x.token").alias("token"), (F.col("alone") + F.col("k") + 1).alias("pos")), "prefixes")
 
     rows = prefixes.withColumn("comp", F.col("id"))
-    links, k, before, size_of = None, 0, None, prefixes.count()
-    while True:
-        # Rounds of leaders go on while they help and more pairs than prefix tokens would be left.
-        left = _left(rows)
-        last = left <= size_of or (before is not None and left > 0.9 * before)
-        found = ws.keep(_verify(_crossing(rows, parts) if last else _led(rows, k), parts), f"links-{k}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(ws, links, f"labels-{k}")
-        if last:
-            break
-        rows, before, k = _with_component(prefixes, labels), left, k + 1
+    links: list[DataFrame] = []
+    before, size_of = None, prefixes.count()
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The components of all links so far and those among pairs."""
+        links.append(ws.keep(_verify(pairs, parts), f"links-{name}"))
+        return components(ws, reduce(DataFrame.unionByName, links), f"labels-{name}")
+
+    # Rounds of leaders go on while they help and more pairs than prefix tokens would be left.
+    while (left := _left(rows)) > size_of and (before is None or left <= 0.9 * before):
+        labels = linked(_alike(_led(rows, len(links)), parts), str(len(links)))
+        rows, before = _with_component(prefixes, labels), left
+    pairs = ws.keep(_crossing(rows, parts), "pairs")
+    first = pairs.groupBy("ca", "cb").agg(F.min(F.struct("differ", "a", "b")).alias("x")).select("x.a", "x.b")
+    first = ws.keep(first, "first")
+    labels = linked(first, "first")
+    labels = linked(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "rest")
 
     named = reps.join(labels, reps["rep"] == labels["id"], "left").select("c1", "c2", F.coalesce("comp", "rep").alias("component_id"))
     # Written, so that the join can be split where one text has very many copies.
