@@ -146,7 +146,10 @@ def _crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
     most = F.least(na - F.col("ia"), nb - F.col("ib")) + 1
     near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _linkable(na, nb) & (7 * most >= 3 * (na + nb))
     near = near & (7 * _differ() <= na + nb)
-    return x.join(y, (x["token"] == y["token"]) & near).select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), _differ().alias("differ")).distinct()
+    # Again, for the few that are left, in a form whose code is short: with both in one stage it is too long to be compiled.
+    differ = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), add)
+    met = x.join(y, (x["token"] == y["token"]) & near)
+    return met.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), differ.alias("differ")).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
