@@ -18,6 +18,7 @@ NAMES = (
     "op8_pii",
     "op9_ngram_jaccard",
     "op10_language_id",
+    "op11_sharding",
 )
 
 
