@@ -19,6 +19,7 @@ NAMES = (
     "op9_ngram_jaccard",
     "op10_language_id",
     "op11_sharding",
+    "op12_hard_negatives",
     "op13_centroids",
 )
 
