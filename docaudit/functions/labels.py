@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,16 +11,15 @@ from docaudit.functions.entities import DATE, normalize_date
 from docaudit.functions.patterns import empty_strings, find, has, java, let, replace, squeeze, trim
 
 
-def _after(text: Column, pattern: str) -> Column:
-    """What follows the first match of pattern."""
-    return F.regexp_extract(text, rf"\A(?s:.*?)(?:{pattern})(?s:(.*))\z", 1)
+# Fixed value: a date of digits alone.
+DAY = r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4}"
 
 
-def labeled_value(text: Column, labels: tuple[str, ...], max_len: int = 120, next_line: bool = True, strict: bool = False) -> Column:
+def labeled_value(text: Column, labels: tuple[str, ...], max_len: int = 120, next_line: bool = True, strict: bool = False, clean: Callable[[Column], Column] = squeeze) -> Column:
     """The value after the first of the labels that gives one: on the label's line, else on the next line of more than a character.
 
     A label that is an alternation captures nothing after its first branch, and takes the next line; strict puts labels in
-    a group of their own.
+    a group of their own. clean is what is done to a value before it is judged.
     """
 
     def one(label: str) -> Column:
@@ -32,10 +33,10 @@ def labeled_value(text: Column, labels: tuple[str, ...], max_len: int = 120, nex
                 return own
             rest = F.substring(text, F.regexp_instr(text, F.lit(pattern)) + F.char_length(F.regexp_extract(text, pattern, 0)), F.char_length(text))
             below = F.get(F.filter(F.split(rest, "\n", -1), lambda x: F.char_length(trim(x)) > 1), F.lit(0))
-            return F.coalesce(own, F.when(text.rlike(pattern), F.nullif(F.substring(squeeze(below), 1, max_len), F.lit(""))))
+            return F.coalesce(own, F.when(text.rlike(pattern), F.nullif(F.substring(clean(below), 1, max_len), F.lit(""))))
 
         # The label's line is searched once; the line below only where that gives nothing.
-        return let(squeeze(F.regexp_extract(text, pattern, 1)), valued)
+        return let(clean(F.regexp_extract(text, pattern, 1)), valued)
 
     return F.coalesce(*[one(x) for x in labels])
 
@@ -65,14 +66,15 @@ def labeled_list(text: Column, labels: tuple[str, ...], most: int = 20) -> Colum
     return F.coalesce(*[one(x) for x in labels], empty_strings())
 
 
-def date_near(text: Column, label: str, window: int = 120) -> Column:
-    """The first date within `window` characters after the first match of the label."""
-    return normalize_date(find(F.substring(_after(text, java(label, True)), 1, window), DATE))
+def date_near(text: Column, names: tuple[str, ...], window: int = 120) -> Column:
+    """The first date of digits within `window` characters from the start of the first of the labels that has one."""
+    at = lambda label: F.regexp_instr(text, F.lit(java(label, True)))
+    return F.coalesce(*[F.when(at(x) > 0, normalize_date(find(F.substring(text, at(x), F.lit(window)), DAY))) for x in names])
 
 
 def issue_expiry(text: Column) -> Column:
-    """(issue, expiry) of the first two dates that stand next to each other."""
-    pattern = rf"({DATE})\s+({DATE})"
+    """(issue, expiry) of the first two dates of digits that stand next to each other."""
+    pattern = rf"({DAY})\s+({DAY})"
     return F.struct(normalize_date(find(text, pattern, 1)).alias("issue"), normalize_date(find(text, pattern, 2)).alias("expiry"))
 
 
@@ -89,11 +91,6 @@ def dob(text: Column) -> Column:
     return F.coalesce(replace(labelled, r"[\s.\-/]+", "/"), F.when(fits, F.concat_ws("/", d, m, y)))
 
 
-def clean_place(text: Column) -> Column:
-    """A place in capitals, of letters and commas."""
-    return F.nullif(trim(replace(replace(F.upper(text), r"[^A-Z,\s]", " "), r"\s+", " ")), F.lit(""))
-
-
 def infer_issue(expiry: Column) -> Column:
     """Ten years before DD/MM/YYYY and a day later; of 29 February that is 2 March where the earlier year has no such day."""
     d = F.try_to_date(expiry, "dd/MM/yyyy")

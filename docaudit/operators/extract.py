@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
 from docaudit.functions import checks, entities, labels, names
-from docaudit.functions.mrz import mrz_lines, parse_mrz
+from docaudit.functions.mrz import validate_passport
 from docaudit.functions.patterns import REASONS, compact, empty_strings, find, half_up, has, let, reason, squeeze, trim
 from docaudit.functions.text import SIGNATURE, STAMP
+from docaudit.operators import passports
 from docaudit.sources.catalog import LABELS
 
 # Mandatory fields, optional fields, and the weights of both and of the reading.
 SPECS = {
     "AADHAAR": (("name", "aadhaar"), ("dob", "yearOfBirth", "gender", "address"), (0.6, 0.25, 0.15)),
     "PAN": (("name", "pan"), ("fatherName", "dob"), (0.7, 0.2, 0.1)),
-    "PASSPORT": (("passportNumber", "surname", "givenName"), ("nationality", "dateOfBirth", "gender", "dateOfIssue", "dateOfExpiry", "placeOfBirth", "placeOfIssue", "issuingAuthority"), (0.5, 0.3, 0.2)),
+    "PASSPORT": (("passportNumber", "surname", "givenName"), ("nationality", "dateOfBirth", "dateOfExpiry", "gender", "mrz", "placeOfBirth", "dateOfIssue", "placeOfIssue", "passportType", "countryCode", "issuingAuthority", "personalNumber"), (0.5, 0.3, 0.2)),
     "CIN": (("cinNumber", "companyName"), ("incorporationDate", "registeredOfficeAddress", "roc", "authorizedCapital", "paidUpCapital", "directors"), (0.55, 0.25, 0.2)),
     "SECURITY_CLEARANCE": (("employeeName", "clearanceType"), ("clearanceNumber", "organization", "validFrom", "validUntil", "issuingAuthority", "designation"), (0.55, 0.3, 0.15)),
     "SECURITY_PROGRAMME": (("programmeTitle",), ("organizationName", "documentNumber", "version", "effectiveDate", "preparedBy", "approvedBy", "sectionHeadings"), (0.5, 0.35, 0.15)),
@@ -30,6 +31,23 @@ LENGTHS = {
     "AUTHORITY_LETTER": {"authorityDescription": 400, "contactInformation": 150, "validityPeriod": 80},
     "PASSPORT": {},
 }
+# The format that is checked, its field, and what is said of a good one; texts for missing fields; dates in order.
+FORMATS = {
+    "AADHAAR": ("aadhaarChecksum", "aadhaar", "Aadhaar checksum valid"),
+    "PAN": ("panFormat", "pan", "PAN format valid"),
+    "CIN": ("cinFormat", "cinNumber", "CIN format valid"),
+    "PASSPORT": ("passportNumber", "passportNumber", "Passport number format valid"),
+}
+ISSUES = {
+    "AADHAAR": (("aadhaar", "Aadhaar number not found"), ("name", "Name not found"), ("dob", "DOB missing"), ("gender", "Gender ambiguous")),
+    "PAN": (("pan", "PAN number not found"), ("name", "Name not found"), ("fatherName", "Father's name not found"), ("dob", "DOB missing")),
+    "PASSPORT": (("mrz", "MRZ not found"),),
+}
+SPANS = {
+    "SECURITY_CLEARANCE": ("validFrom", "validUntil", "validFrom before validUntil", True),
+    "SECURITY_PROGRAMME": ("effectiveDate", "reviewDate", "effective before review", True),
+    "PASSPORT": ("dateOfIssue", "dateOfExpiry", "issue before expiry", False),
+}
 DATES = {"incorporationDate", "validFrom", "validUntil", "effectiveDate", "reviewDate", "letterDate", "dateOfBirth", "dateOfIssue", "dateOfExpiry"}
 
 
@@ -97,32 +115,25 @@ def _pan(t: Column) -> dict[str, Column]:
     return {"name": names.best_name(t, father), "fatherName": father, "pan": F.get(checks.pan_candidates(t), F.lit(0)), "dob": labels.dob(t)}
 
 
-def _passport(t: Column) -> dict[str, Column]:
-    """Fields of the machine-readable zone first, then those of labels."""
-    out = _labelled(t, "PASSPORT")
-    m = parse_mrz(mrz_lines(t))
-    pair = labels.issue_expiry(t)
-    out["passportNumber"] = F.coalesce(m["number"], F.get(entities.passport_numbers(t), F.lit(0)), out["passportNumber"])
-    out["surname"] = F.coalesce(names.fullest(m["surname"], names.clean_name(out["surname"])), m["surname"])
-    out["givenName"] = F.coalesce(names.fullest(m["given"], names.clean_name(out["givenName"])), m["given"])
-    out["countryCode"] = F.coalesce(m["country"], out["countryCode"])
-    out["nationality"] = F.coalesce(m["nationality"], out["nationality"])
-    out["dateOfBirth"] = F.coalesce(m["birth"], out["dateOfBirth"], labels.date_near(t, r"Date\s*of\s*Birth"))
-    out["gender"] = F.coalesce(F.when(m["sex"].isin("M", "F"), m["sex"]), F.substring(labels.gender(t), 1, 1))
-    out["dateOfExpiry"] = F.coalesce(m["expiry"], out["dateOfExpiry"], labels.date_near(t, r"Expiry"), pair["expiry"])
-    out["dateOfIssue"] = F.coalesce(out["dateOfIssue"], pair["issue"], labels.infer_issue(out["dateOfExpiry"]))
-    for place in ("placeOfBirth", "placeOfIssue"):
-        out[place] = labels.clean_place(out[place])
-    out["mrz"] = m["lines"]
-    return out
+FIELDS = {"AADHAAR": _aadhaar, "PAN": _pan, "CIN": _cin, "SECURITY_CLEARANCE": _clearance, "SECURITY_PROGRAMME": _programme, "AUTHORITY_LETTER": _letter}
 
 
-FIELDS = {"AADHAAR": _aadhaar, "PAN": _pan, "PASSPORT": _passport, "CIN": _cin, "SECURITY_CLEARANCE": _clearance, "SECURITY_PROGRAMME": _programme, "AUTHORITY_LETTER": _letter}
+def field_names(type_: str) -> list[str]:
+    return list(passports.FIELDS if type_ == "PASSPORT" else FIELDS[type_](F.lit("")))
 
 
 def extract_fields(df: DataFrame, type_: str, text_col: str = "text") -> DataFrame:
-    """df with a column for each field of the type; a null text has none but empty lists and false flags."""
-    return df.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumns(FIELDS[type_](F.col("_t"))).drop("_t")
+    """df with a column for each field of the type; a null text has none but empty lists and false flags.
+
+    Passports are made step by step, as their fields depend on each other; a column number_texts (array of strings), if
+    there is one, holds further readings of the number.
+    """
+    out = df.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    if type_ == "PASSPORT":
+        for step in passports.record(F.col("_t"), F.col("number_texts") if "number_texts" in df.columns else None):
+            out = step(out)
+        return out.select(*[c for c in df.columns if c not in passports.FIELDS], *passports.FIELDS)
+    return out.withColumns(FIELDS[type_](F.col("_t"))).drop("_t")
 
 
 def _present(df: DataFrame, name: str) -> Column:
@@ -133,12 +144,14 @@ def _present(df: DataFrame, name: str) -> Column:
 
 
 def extraction_confidence(
-    df: DataFrame, mandatory: tuple[str, ...], optional: tuple[str, ...], weights: tuple[float, float, float], settings: Settings = DEFAULT, formats: dict[str, Column] | None = None, consistency: dict[str, Column] | None = None, duplicates: Column | None = None, near_label: Column | None = None
+    df: DataFrame, mandatory: tuple[str, ...], optional: tuple[str, ...], weights: tuple[float, float, float], settings: Settings = DEFAULT, formats: dict[str, tuple[Column, str, Column | str]] | None = None, consistency: dict[str, tuple[Column, Column | str]] | None = None, duplicates: Column | None = None, near_label: Column | None = None, issues: tuple[Column, ...] = ()
 ) -> DataFrame:
     """df with extraction_confidence, extraction_reasons, extraction_issues and below_threshold.
 
-    formats and consistency are named conditions, null where a check does not apply. An empty list of fields is complete;
-    empty strings and lists count as missing.
+    formats: by name a condition, null where the check does not apply, and what is said when it holds and when it does not.
+    consistency: by name a condition and what is said when it does not hold. issues: texts, null where they do not apply,
+    that come before those of missing fields and wrong formats. An empty list of fields is complete; empty strings and
+    lists count as missing.
     """
     have = {f: _present(df, f) for f in (*mandatory, *optional)}
     share = lambda fs: sum((have[f].cast("int") for f in fs), F.lit(0)) / len(fs) if fs else F.lit(1.0)
@@ -154,12 +167,15 @@ def extraction_confidence(
         reason("AMBIGUOUS_OCR", F.format_string("Ambiguous OCR (confidence %d%%) reduces extraction confidence", conf), "extraction", (conf > 0) & (conf < 50), -10),
         reason("OCR_SUPPORTS_EXTRACTION", F.format_string("OCR confidence %d%% supports extraction", conf), "extraction", conf >= 70, half_up(wr * 100 * F.col("_r"))),
     ]
-    for name, ok in (formats or {}).items():
+    said = list(issues)
+    for ok, good, bad in (formats or {}).values():
+        bad = F.lit(bad) if isinstance(bad, str) else bad
         score = score + F.when(ok, 2).when(~ok, -8).otherwise(0)
-        reasons += [reason("INVALID_FORMAT", f"Invalid format: {name}", "extraction", ~ok, -8), reason("FORMAT_VALID", f"Valid format: {name}", "extraction", ok, 2)]
-    for name, ok in (consistency or {}).items():
+        reasons += [reason("INVALID_FORMAT", bad, "extraction", ~ok, -8), reason("FORMAT_VALID", good, "extraction", ok, 2)]
+    wrong = [F.when(~ok, F.lit(bad) if isinstance(bad, str) else bad) for ok, _, bad in (formats or {}).values()]
+    for ok, bad in (consistency or {}).values():
         score = score - F.when(~ok, 10).otherwise(0)
-        reasons.append(reason("LOGICAL_INCONSISTENCY", f"Inconsistency: {name}", "extraction", ~ok, -10))
+        reasons.append(reason("LOGICAL_INCONSISTENCY", bad, "extraction", ~ok, -10))
     if duplicates is not None:
         score = score - F.when(duplicates, 8).otherwise(0)
         reasons.append(reason("DUPLICATE_VALUES", "Duplicate extracted values detected", "extraction", duplicates, -8))
@@ -170,32 +186,36 @@ def extraction_confidence(
     out = out.withColumn("below_threshold", F.col("extraction_confidence") < settings.extraction)
     low = F.format_string(f"Extraction confidence %d%% below threshold {settings.extraction}%%", F.col("extraction_confidence"))
     reasons.append(reason("EXTRACTION_BELOW_THRESHOLD", low, "extraction", F.col("below_threshold"), 0))
-    out = out.withColumns({"extraction_reasons": compact(*reasons).cast(REASONS), "extraction_issues": F.transform("_missing", lambda f: F.concat(f, F.lit(" not found")))})
+    found = F.concat(F.array_compact(F.array(*said).cast("array<string>")), F.transform("_missing", lambda f: F.concat(f, F.lit(" not found"))), F.array_compact(F.array(*wrong).cast("array<string>")))
+    out = out.withColumns({"extraction_reasons": compact(*reasons).cast(REASONS), "extraction_issues": F.array_distinct(found)})
     return out.drop("_m", "_o", "_r", "_missing")
 
 
 def extract(df: DataFrame, type_: str, settings: Settings = DEFAULT, bag: bool = False) -> DataFrame:
     """df with the type's fields and the confidence in them; with bag, beside the entities that every type has, which the type's own fields override."""
     out = extract_fields(generic_bag(df) if bag else df, type_)
-    formats, consistent = {}, {}
-    if type_ == "CIN":
-        formats["cinFormat"] = F.when(F.col("cinNumber").isNotNull(), checks.cin(F.col("cinNumber"), settings.as_of)["passed"])
-    if type_ == "AADHAAR":
-        formats["aadhaarChecksum"] = F.when(F.col("aadhaar").isNotNull(), checks.aadhaar(F.col("aadhaar"))["passed"])
-    if type_ == "PAN":
-        formats["panFormat"] = F.when(F.col("pan").isNotNull(), checks.pan(F.col("pan"))["passed"])
-    spans = {"SECURITY_CLEARANCE": ("validFrom", "validUntil"), "SECURITY_PROGRAMME": ("effectiveDate", "reviewDate"), "PASSPORT": ("dateOfIssue", "dateOfExpiry")}
-    if type_ in spans:
-        a, b = spans[type_]
-        order = checks.date_order(F.col(a), F.col(b), "dateOrder", True)
-        consistent["dateOrder"] = F.when(~order["skipped"], order["passed"])
-    return extraction_confidence(out, *SPECS[type_], settings, formats, consistent)
+    absent = lambda field, text: F.when(~_present(out, field), F.lit(text))
+    first = lambda v: F.get(v["reasons"], F.lit(0))["message"]
+    formats, consistent, issues = {}, {}, ()
+    if type_ in FORMATS:
+        name, field, good = FORMATS[type_]
+        number = F.col(field)
+        v = {"CIN": lambda: checks.cin(number, settings.as_of), "AADHAAR": lambda: checks.aadhaar(number), "PAN": lambda: checks.pan(number)}.get(type_)
+        ok, bad = (v()["passed"], first(v())) if v else (F.upper(number).rlike(passports.NUMBER), "Passport number format invalid")
+        formats[name] = (F.when(number.isNotNull(), ok), good, bad)
+    if type_ in ISSUES:
+        issues = tuple(absent(field, text) for field, text in ISSUES[type_])
+    if type_ in SPANS:
+        a, b, label, equal = SPANS[type_]
+        order = checks.date_order(F.col(a), F.col(b), label, equal)
+        consistent["dateOrder"] = (F.when(~order["skipped"], order["passed"]), order["reason"])
+    return extraction_confidence(out, *SPECS[type_], settings, formats, consistent, issues=issues)
 
 
 def long_fields(df: DataFrame, type_: str) -> DataFrame:
     """df with fields (map of strings) and lists (map of arrays) in place of the type's own columns, so that types can be put together."""
     kinds = dict(df.dtypes)
-    every = [f for f in dict.fromkeys((*FIELDS[type_](F.lit("")), *BAG)) if f in kinds]
+    every = [f for f in dict.fromkeys((*field_names(type_), *BAG)) if f in kinds]
     plain = [f for f in every if not kinds[f].startswith("array")]
     lists = [f for f in every if kinds[f].startswith("array")]
     one = F.create_map(*[x for f in plain for x in (F.lit(f), F.col(f).cast("string"))]) if plain else F.create_map().cast("map<string,string>")
@@ -246,8 +266,6 @@ def validate(df: DataFrame, type_: str, settings: Settings = DEFAULT) -> DataFra
     elif type_ == "CIN":
         v = checks.cin(F.col("cinNumber"), settings.as_of)
     elif type_ == "PASSPORT":
-        from docaudit.functions.mrz import validate_passport
-
         v = validate_passport(F.col("passportNumber"), F.col("dateOfBirth"), F.col("dateOfIssue"), F.col("dateOfExpiry"), F.col("mrz"), settings.as_of)
     elif type_ == "AUTHORITY_LETTER":
         v = checks.validation(F.lit(True), F.create_map().cast("map<string,boolean>"), F.array().cast(REASONS), F.lit(None).cast("string"))

@@ -291,21 +291,20 @@ def label_parts(spark, sf_dir):
     rows = co.planted(spark, sf_dir, "SELECT c_custkey AS doc_id, concat('Directors', chr(10), '1. Ann ', chr(CAST(65 + c_custkey % 26 AS INT)), 'ee', chr(10), '2) Bob Ray', chr(10), 'No', chr(10), 'Issued on the day', chr(10), lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0'), '/02/2020 and 03/04/', CAST(2000 + c_custkey % 25 AS STRING), ' 02/04/2035') AS text FROM customer")
     t = F.col("text")
     pair = labels.issue_expiry(t)
-    return rows.select("doc_id", F.array_join(labels.labeled_list(t, ("Directors?",)), ";").alias("directors"), labels.date_near(t, "Issued").alias("near"), pair["issue"].alias("issue"), pair["expiry"].alias("expiry"))
+    return rows.select("doc_id", F.array_join(labels.labeled_list(t, ("Directors?",)), ";").alias("directors"), labels.date_near(t, ("Issued",)).alias("near"), pair["issue"].alias("issue"), pair["expiry"].alias("expiry"))
 
 
 @query(
     "x9_x10_x12_x14_passport_parts",
-    """SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 1 AND regexp_matches(number, '0000|1111|2222|3333|4444|5555|6666|7777|8888|9999') THEN 'D8001011' ELSE number END AS number, c_custkey % 2 = 0 AS exact, 'P' AS type, 'IND' AS country, CASE c_custkey % 2 WHEN 0 THEN 'KOCHI, KERALA' ELSE 'PUNE' END AS place, '123456789012' AS personal FROM (SELECT c_custkey, concat('U1', lpad(CAST((c_custkey * 765432 + 123456) % 1000000 AS VARCHAR), 6, '2')) AS number FROM customer)""",
+    """SELECT c_custkey AS doc_id, number, true AS exact, 'P' AS type, 'IND' AS country, CASE c_custkey % 2 WHEN 0 THEN 'KOCHI, KERALA' ELSE 'PUNE' END AS place, '123456789012' AS personal FROM (SELECT c_custkey, concat('U1', lpad(CAST((c_custkey * 765432 + 123456) % 1000000 AS VARCHAR), 6, '2')) AS number FROM customer)""",
 )
 def passport_parts(spark, sf_dir):
-    """Of odd keys the printed number is misread, and one with a digit four times over loses to the zone's birth date."""
+    """Of odd keys the printed number is misread; the zone's number, which has its check digit, is trusted."""
     number = "concat('U1', lpad(CAST((c_custkey * 765432 + 123456) % 1000000 AS STRING), 6, '2'))"
     read = f"CASE WHEN c_custkey % 2 = 0 THEN {number} ELSE concat('UI', substr({number}, 3)) END"
     rows = co.planted(spark, sf_dir, f"SELECT c_custkey AS doc_id, {number} AS number, concat('Type / Type', chr(10), 'P  IND', chr(10), 'Place: ', CASE c_custkey % 2 WHEN 0 THEN 'Kochi, Kerala' ELSE 'Pune' END, chr(10), {read}, chr(10), {number}, '<1IND8001011M3001015123456789012') AS text FROM customer")
     t = F.col("text")
-    tokens = rows.select("doc_id", F.explode(pp.number_tokens(t)).alias("token"))
-    best = pp.passport_candidates(tokens).filter("rank = 1").select("doc_id", "candidate", "exact")
+    best = pp.best_number(F.array(t))
     kind = pp.type_country(t)
-    out = rows.select("doc_id", kind["type"].alias("type"), kind["country"].alias("country"), pp.gazetteer_place(t).alias("place"), pp.personal_number(t, F.col("number")).alias("personal"))
-    return out.join(best, "doc_id").select("doc_id", F.col("candidate").alias("number"), "exact", "type", "country", "place", "personal")
+    out = rows.select("doc_id", kind["type"].alias("type"), kind["country"].alias("country"), pp.gazetteer_place(t).alias("place"), pp.personal_number(t, F.col("number")).alias("personal"), best.alias("b"))
+    return out.select("doc_id", F.col("b.number").alias("number"), F.col("b.exact").alias("exact"), "type", "country", "place", "personal")

@@ -282,10 +282,11 @@ def audited_cards(spark, sf_dir):
 
 @query(
     "r4_passport_audit",
-    """SELECT k AS doc_id, 'completed' AS status, 'PASSPORT' AS document_type, CASE WHEN d = 3 THEN 55 ELSE 100 END AS classification_confidence, CASE d WHEN 3 THEN 20 WHEN 2 THEN 75 ELSE 85 END AS extraction_confidence,
-  CASE d WHEN 1 THEN 'MRZ_COMPOSITE_CHECK_FAIL' WHEN 2 THEN 'DATE_ORDER_INVALID,LOGICAL_INCONSISTENCY' WHEN 3 THEN 'EXTRACTION_BELOW_THRESHOLD,MISSING_MANDATORY_FIELDS,MRZ_MISSING,PASSPORT_NUMBER_FORMAT' ELSE '' END AS codes, d NOT IN (1, 2, 3) AS overall_passed,
+    """SELECT k AS doc_id, 'completed' AS status, 'PASSPORT' AS document_type, CASE WHEN d = 3 THEN 55 ELSE 100 END AS classification_confidence, CASE d WHEN 3 THEN 14 WHEN 2 THEN 81 ELSE 91 END AS extraction_confidence,
+  CASE d WHEN 1 THEN 'FORMAT_VALID,MRZ_COMPOSITE_CHECK_FAIL' WHEN 2 THEN 'DATE_ORDER_INVALID,FORMAT_VALID,LOGICAL_INCONSISTENCY'
+    WHEN 3 THEN 'DATE_ORDER_INVALID,EXTRACTION_BELOW_THRESHOLD,LOGICAL_INCONSISTENCY,MISSING_MANDATORY_FIELDS,MRZ_MISSING,PASSPORT_NUMBER_FORMAT' ELSE 'FORMAT_VALID' END AS codes, d NOT IN (1, 2, 3) AS overall_passed,
   CASE WHEN d <> 3 THEN concat(chr(CAST(65 + k % 26 AS INT)), lpad(CAST(k AS VARCHAR), 7, '0')) END AS number, CASE WHEN d <> 3 THEN 'ROE' END AS surname, CASE WHEN d <> 3 THEN concat('SAM ', translate(CAST(k AS VARCHAR), '0123456789', 'ABCDEFGHIJ')) END AS given, CASE WHEN d <> 3 THEN concat(dd, '/05/1980') END AS birth,
-  CASE WHEN d <> 3 THEN concat(dd, '/05/2031') END AS expiry, CASE WHEN d = 2 THEN '01/01/2035' ELSE '06/05/2021' END AS issue FROM (SELECT c_custkey AS k, c_custkey % 10 AS d, lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS dd FROM customer)""",
+  CASE WHEN d <> 3 THEN concat(dd, '/05/2031') ELSE '06/05/2021' END AS expiry, CASE WHEN d = 2 THEN '01/01/2035' ELSE '06/05/2021' END AS issue FROM (SELECT c_custkey AS k, c_custkey % 10 AS d, lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS dd FROM customer)""",
 )
 def audited_passports(spark, sf_dir):
     rows = _passports(spark, sf_dir).drop("number").withColumn("requested_type", F.lit("PASSPORT"))
