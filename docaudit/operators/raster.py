@@ -1,4 +1,4 @@
-"""Image statistics over pixel tables: a row for each pixel, windows along rows and columns, one row out for each image."""
+"""Image statistics: pixel tables become lines of values, lines meet their neighbours, and one pass over them gives a row for each image."""
 
 from __future__ import annotations
 
@@ -8,66 +8,89 @@ from pyspark.sql import functions as F
 from docaudit.functions.patterns import half_up
 
 
-def _row():
-    """A window holds one row or one column of an image, so that images of any size are cut among tasks."""
-    return Window.partitionBy("image_id", "y").orderBy("x")
-
-
-def _column():
-    return Window.partitionBy("image_id", "x").orderBy("y")
-
-
-def _neighbours(pixels: DataFrame) -> DataFrame:
-    v = F.col("v")
-    return pixels.withColumns({"left": F.lag(v).over(_row()), "right": F.lead(v).over(_row())}).withColumns({"up": F.lag(v).over(_column()), "down": F.lead(v).over(_column())})
-
-
-def _inner(pixels: DataFrame) -> DataFrame:
-    return _neighbours(pixels).filter("left IS NOT NULL AND right IS NOT NULL AND up IS NOT NULL AND down IS NOT NULL")
+# Differences that count as an edge in density, in a row's centre, and in uprightness; rows a slope needs, and the steepest.
+DENSITY_STEP, CENTRE_STEP, UPRIGHT_STEP, LEAST_ROWS, STEEPEST = 30, 40, 28, 10, 20
+# Levels and difference of content; shares of a side that are nearly all and too little; padding, least sides.
+DARK, LIGHT, CONTENT_STEP, NEARLY_ALL, TOO_LITTLE, PADDING, LEAST_IMAGE, LEAST_CROP = 35, 250, 12, 0.92, 0.25, 0.03, 100, 80
+# Fixed value: an image this much wider than high is tried sideways first.
+SIDEWAYS = 1.15
+
+
+def image_lines(pixels: DataFrame, value: str = "v") -> DataFrame:
+    """(image_id, y, w, h, v, up, down) of pixels (image_id, y, x, value 0 to 255): a row for each line of an image, with its two neighbours.
+
+    Pixels are dealt out once, by image; lines, their neighbours and all that is made of them by image stay where they are.
+    Images are small (at most some hundred pixels wide), so one image in one task is no burden.
+    """
+    packed = F.sort_array(F.collect_list(F.col("x").cast("long") * 256 + F.col(value)))
+    lines = pixels.repartition("image_id").groupBy("image_id", "y").agg(F.transform(packed, lambda p: (p % 256).cast("int")).alias("v"))
+    order = Window.partitionBy("image_id").orderBy("y")
+    return lines.select("image_id", "y", F.size("v").alias("w"), F.count("*").over(Window.partitionBy("image_id")).cast("int").alias("h"), "v", F.lag("v").over(order).alias("up"), F.lead("v").over(order).alias("down"))
+
+
+def _cells(lines: DataFrame) -> DataFrame:
+    """A row for each pixel with its four neighbours: u and d from the lines beside, l the one before it in reading order, across line ends."""
+    before = F.concat(F.array(F.try_element_at("up", F.lit(-1))), F.slice("v", F.lit(1), F.col("w") - 1))
+    after = F.concat(F.slice("v", F.lit(2), F.col("w") - 1), F.array(F.lit(None).cast("int")))
+    xs = F.sequence(F.lit(0), F.col("w") - 1)
+    beside = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))  # noqa: E731  a zip with null would be null
+    stencil = F.arrays_zip(xs.alias("x"), F.col("v"), before.alias("l"), after.alias("r"), beside("up").alias("u"), beside("down").alias("d"))
+    return lines.select("image_id", "y", "w", "h", F.inline(stencil).alias("x", "v", "l", "r", "u", "d"))
+
+
+def raster_metrics(lines: DataFrame, sample: bool = False) -> DataFrame:
+    """(image_id, width, height, brightness, color_variance, contrast, blur, noise, skew_angle, dpi, edge_density, x0, x1, y0, y1, upright, upright_270) from image_lines().
+
+    One pass: sums by line, then by image. blur: variance of the four-neighbour Laplacian over inner pixels. noise: mean
+    distance of inner pixels at odd places from the mean of themselves and their neighbours, as a share of 255. skew_angle:
+    slope of the inner rows' edge centres in degrees; 0 with few rows with edges, or beyond STEEPEST. edge_density: share of
+    pixels that differ from the one before them in reading order. x0 to y1: the box of content at odd inner places, null without
+    any. upright: steps to the left neighbour less steps to the upper one at odd inner places, as it stands and turned by 270.
+    """
+    v, l, r, u, d, x, y = (F.col(c) for c in "vlrudxy")
+    inner = x.between(1, F.col("w") - 2) & y.between(1, F.col("h") - 2)
+    odd = inner & (x % 2 == 1) & (y % 2 == 1)
+    # Turned by 270 degrees the upper neighbour stands left, the right one above, and columns are counted from the right.
+    odd_270 = inner & (y % 2 == 1) & ((F.col("w") - 1 - x) % 2 == 1)
+    lap, five, step = l + r + u + d - 4 * v, F.abs(4 * v - l - r - u - d), F.abs(r - l)
+    content = odd & (v > DARK) & (v < LIGHT) & (F.abs(v - l) + F.abs(v - u) >= CONTENT_STEP)
+    total = lambda cond, value=F.lit(1): F.sum(F.when(cond, value).otherwise(0).cast("long"))
+    sums = {
+        "n": F.count("*"), "s": F.sum(v.cast("long")), "ss": F.sum((v * v).cast("long")),
+        "ln": total(inner), "ls": total(inner, lap), "lss": total(inner, lap * lap), "on": total(odd), "os": total(odd, five),
+        "e": total(F.abs(v - l) > DENSITY_STEP), "gs": total(inner & (step > CENTRE_STEP), step), "gx": total(inner & (step > CENTRE_STEP), step * x),
+        "h0": total(odd & (F.abs(v - l) > UPRIGHT_STEP)), "v0": total(odd & (F.abs(v - u) > UPRIGHT_STEP)),
+        "h270": total(odd_270 & (F.abs(v - u) > UPRIGHT_STEP)), "v270": total(odd_270 & (F.abs(v - r) > UPRIGHT_STEP)),
+        "x0": F.min(F.when(content, x)), "x1": F.max(F.when(content, x)),
+    }
+    rows = _cells(lines).groupBy("image_id", "y", "w", "h").agg(*[c.alias(name) for name, c in sums.items()])
+    added = [F.sum(name).alias(name) for name in sums if name not in ("x0", "x1", "gs", "gx")]
+    edged = F.when(F.col("gs") > 0, F.col("gx") / F.col("gs"))
+    boxed = F.when(F.col("x0").isNotNull(), F.col("y"))
+    out = rows.groupBy("image_id").agg(
+        *added, F.max("w").alias("width"), F.max("h").alias("height"), F.count(edged).alias("edged"), F.regr_slope(edged, F.when(edged.isNotNull(), F.col("y"))).alias("slope"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min(boxed).alias("y0"), F.max(boxed).alias("y1"),
+    )
+    c = F.col
+    spread = c("ss") / c("n") - (c("s") / c("n")) ** 2
+    spread = F.sqrt(F.greatest(spread * c("n") / (c("n") - 1), F.lit(0.0)) if sample else F.greatest(spread, F.lit(0.0)))
+    angle = F.degrees(F.atan("slope"))
+    return out.select(
+        "image_id", "width", "height", (c("s") / c("n")).alias("brightness"), spread.alias("color_variance"), (spread / 128).alias("contrast"),
+        F.when(c("ln") > 0, c("lss") / c("ln") - (c("ls") / c("ln")) ** 2).otherwise(0.0).alias("blur"), F.when(c("on") > 0, c("os") / 5 / c("on") / 255).otherwise(0.0).alias("noise"),
+        F.when((c("edged") < LEAST_ROWS) | (F.abs(angle) > STEEPEST), 0.0).otherwise(F.coalesce(angle, F.lit(0.0))).alias("skew_angle"),
+        half_up(F.greatest("width", "height") / 8.5).alias("dpi"), (c("e") / c("n")).alias("edge_density"), "x0", "x1", "y0", "y1", (c("h0") - c("v0")).alias("upright"), (c("h270") - c("v270")).alias("upright_270"),
+    )
 
 
 def raster_levels(pixels: DataFrame, channels: tuple[str, ...] = ("v",), sample: bool = False) -> DataFrame:
-    """(image_id, brightness, contrast, color_variance): mean of the channels' means, and of their deviations, whole and as a share of 128."""
+    """(image_id, brightness, contrast, color_variance) of images with several channels: mean of the channels' means, and of their deviations, whole and as a share of 128."""
     dev = F.stddev_samp if sample else F.stddev_pop
     mean = lambda f: sum((f(F.col(c)) for c in channels[1:]), f(F.col(channels[0]))) / len(channels)
     out = pixels.groupBy("image_id").agg(mean(F.avg).alias("brightness"), mean(dev).alias("color_variance"))
     return out.withColumn("contrast", F.col("color_variance") / 128)
 
 
-def raster_blur(pixels: DataFrame) -> DataFrame:
-    """(image_id, blur): variance of the four-neighbour Laplacian over inner pixels."""
-    lap = F.col("left") + F.col("right") + F.col("up") + F.col("down") - 4 * F.col("v")
-    return _inner(pixels).groupBy("image_id").agg(F.var_pop(lap).alias("blur"))
-
-
-def raster_noise(pixels: DataFrame) -> DataFrame:
-    """(image_id, noise): mean distance of inner pixels at odd places from the mean of themselves and their four neighbours, as a share of 255."""
-    mean = (F.col("v") + F.col("left") + F.col("right") + F.col("up") + F.col("down")) / 5
-    return _inner(pixels).filter("x % 2 = 1 AND y % 2 = 1").groupBy("image_id").agg((F.avg(F.abs(F.col("v") - mean)) / 255).alias("noise"))
-
-
-def raster_skew(pixels: DataFrame) -> DataFrame:
-    """(image_id, skew_angle): slope of the rows' edge centres, in degrees; 0 with fewer than 10 rows with edges, or beyond 20 degrees."""
-    step = pixels.withColumn("g", F.abs(F.lead("v").over(_row()) - F.lag("v").over(_row()))).filter("g > 40")
-    rows = step.groupBy("image_id", "y").agg((F.sum(F.col("x") * F.col("g")) / F.sum("g")).alias("cx"))
-    out = rows.groupBy("image_id").agg(F.count("*").alias("n"), F.degrees(F.atan(F.regr_slope("cx", "y"))).alias("a"))
-    out = out.select("image_id", F.when((F.col("n") < 10) | (F.abs("a") > 20), 0.0).otherwise(F.coalesce("a", F.lit(0.0))).alias("skew_angle"))
-    return pixels.select("image_id").distinct().join(out, "image_id", "left").withColumn("skew_angle", F.coalesce("skew_angle", F.lit(0.0)))
-
-
-def raster_edges(pixels: DataFrame, density: str | None = None) -> DataFrame:
-    """(image_id, dpi, edge_density): share of pixels more than 30 from the one before them in reading order, rows following one another; dpi is the longer side over 8.5 inches."""
-    width = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count("*").alias("n"))
-    inner = pixels.withColumn("p", F.lag("v").over(_row()))
-    # The first pixel of a row follows the last one of the row above: only row ends meet in this window.
-    ends = pixels.groupBy("image_id", "y").agg(F.min_by("v", "x").alias("first"), F.max_by("v", "x").alias("last"))
-    turns = ends.withColumn("p", F.lag("last").over(Window.partitionBy("image_id").orderBy("y"))).groupBy("image_id").agg(F.sum((F.abs(F.col("first") - F.col("p")) > 30).cast("long")).alias("t"))
-    within = inner.groupBy("image_id").agg(F.sum((F.abs(F.col("v") - F.col("p")) > 30).cast("long")).alias("e"))
-    out = within.join(turns, "image_id").join(width, "image_id")
-    dpi = half_up(F.greatest("w", "h") / 8.5)
-    return out.select("image_id", dpi.alias("dpi"), ((F.coalesce("e", F.lit(0)) + F.coalesce("t", F.lit(0))) / F.col("n")).alias("edge_density"))
-
-
 def raster_regions(pixels: DataFrame) -> DataFrame:
     """(image_id, center_brightness, dark_block_ratio, photo_region_ratio) of pixels with r, g, b: the middle 70 percent, every fourth pixel of it for the ratios."""
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
@@ -93,29 +116,25 @@ def visual_flags(metrics: DataFrame) -> DataFrame:
     )
 
 
-def content_box(pixels: DataFrame, level: int = 40, padding: float = 0.03, least: float = 0.2, most: float = 0.98) -> DataFrame:
-    """(image_id, x0, y0, x1, y1, cropped): the box of pixels above level with padding; images whose box is too small, or nearly whole, stay as they are."""
-    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), *[f(F.when(F.col("v") > level, F.col(c))).alias(f"{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max))])
-    share = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) / (F.col("w") * F.col("h"))
-    ok = F.coalesce((share >= least) & (share <= most), F.lit(False))
-    px, py = F.floor(F.col("w") * padding), F.floor(F.col("h") * padding)
-    return size.select(
-        "image_id",
-        F.when(ok, F.greatest(F.lit(0), F.col("x0") - px)).otherwise(0).cast("int").alias("x0"),
-        F.when(ok, F.greatest(F.lit(0), F.col("y0") - py)).otherwise(0).cast("int").alias("y0"),
-        F.when(ok, F.least(F.col("w") - 1, F.col("x1") + px)).otherwise(F.col("w") - 1).cast("int").alias("x1"),
-        F.when(ok, F.least(F.col("h") - 1, F.col("y1") + py)).otherwise(F.col("h") - 1).cast("int").alias("y1"),
-        ok.alias("cropped"),
-    )
-
-
-def uprightness(pixels: DataFrame, level: int = 40) -> DataFrame:
-    """(image_id, horizontal, vertical, uprightness): edges across rows less edges across columns; lines of text make more of the former."""
-    n = lambda a: F.sum((F.abs(F.col("v") - F.col(a)) > level).cast("long"))
-    out = _neighbours(pixels).groupBy("image_id").agg(F.coalesce(n("up"), F.lit(0)).alias("horizontal"), F.coalesce(n("left"), F.lit(0)).alias("vertical"))
-    return out.withColumn("uprightness", F.col("horizontal") - F.col("vertical"))
-
-
-def best_angle(df: DataFrame, width: Column, height: Column) -> DataFrame:
-    """df (with uprightness) with angle: upright images stay; others turn, landscape ones by 270 degrees and others by 90."""
-    return df.withColumn("angle", F.when(F.col("uprightness") >= 0, 0).when(width > height, 270).otherwise(90))
+def content_box(metrics: DataFrame, width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """(image_id, left, top, crop_width, crop_height, cropped) of raster_metrics(): the box of content with padding, in pixels of the full image.
+
+    width and height are the full image's, where the metrics are of a smaller copy. It stays whole when it is small, has no
+    content, when content takes nearly all of both sides or too little of one, or when little would be left.
+    """
+    c = F.col
+    full = (c("width") if width is None else width, c("height") if height is None else height)
+    share = [(c(f"{a}1") - c(f"{a}0")) / c(side) for a, side in (("x", "width"), ("y", "height"))]
+    start = [F.greatest(F.lit(0), F.floor((c(f"{a}0") / c(side) - PADDING) * n)) for a, side, n in (("x", "width", full[0]), ("y", "height", full[1]))]
+    size = [F.least(n - at, F.ceil((part + 2 * PADDING) * n)) for n, at, part in zip(full, start, share, strict=True)]
+    ok = (full[0] >= LEAST_IMAGE) & (full[1] >= LEAST_IMAGE) & ~((share[0] > NEARLY_ALL) & (share[1] > NEARLY_ALL)) & (share[0] >= TOO_LITTLE) & (share[1] >= TOO_LITTLE) & (size[0] >= LEAST_CROP) & (size[1] >= LEAST_CROP)
+    ok = F.coalesce(ok, F.lit(False))
+    pick = lambda x, whole: F.when(ok, x).otherwise(whole).cast("int")
+    return metrics.select("image_id", pick(start[0], 0).alias("left"), pick(start[1], 0).alias("top"), pick(size[0], full[0]).alias("crop_width"), pick(size[1], full[1]).alias("crop_height"), ok.alias("cropped"))
+
+
+def best_angle(metrics: DataFrame) -> DataFrame:
+    """(image_id, angle, uprightness) of raster_metrics(): 0 or 270, whichever is more upright; of equals 270 for wide images, else 0."""
+    wide, as_is, turned = F.col("width") > F.col("height") * SIDEWAYS, F.col("upright"), F.col("upright_270")
+    turn = F.when(wide, turned >= as_is).otherwise(turned > as_is)
+    return metrics.select("image_id", F.when(turn, 270).otherwise(0).alias("angle"), F.greatest(as_is, turned).alias("uprightness"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from docaudit.operators import detectors as de
 from docaudit.operators import evaluate as ev
-from docaudit.operators import raster as ra
 from docaudit.operators import results as re_
 from docaudit.operators import score as sc
 from docaudit.plans import audit
@@ -363,65 +362,6 @@ def intake(spark, sf_dir):
     return co.intake_manifest(rows).groupBy(ev.infer_slug(F.col("path")).alias("slug"), "reject_reason").agg(F.count("*").alias("n"))
 
 
-_V = "(x * 13 + y * 7 + image_id * 29 + (x * y) % 17) % 256"
-_PIXELS = f"SELECT image_id, x, y, {_V} AS v FROM (SELECT s_suppkey AS image_id, unnest(range(64)) AS x, y FROM (SELECT s_suppkey, unnest(range(48)) AS y FROM supplier))"
-
-
-def pixels(spark, sf_dir):
-    """(image_id, y, x, v, r, g, b): an image of 64 by 48 pixels for each supplier."""
-    rows = co.read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(47))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
-    v = F.expr(_V)
-    return rows.withColumns({"v": v, "r": v, "g": (v + 40) % 256, "b": (v * 3) % 256})
-
-
-_STENCIL = f"SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS rr, lag(v) OVER c AS u, lead(v) OVER c AS d FROM ({_PIXELS}) WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)"
-
-
-@query(
-    "p1_p2_p3_p5_raster",
-    f"""WITH s AS ({_STENCIL}), i AS (SELECT * FROM s WHERE l IS NOT NULL AND rr IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL), e AS (SELECT image_id, abs(v - lag(v) OVER (PARTITION BY image_id ORDER BY y, x)) > 30 AS e FROM ({_PIXELS}))
-  SELECT image_id, round(b, 4) AS brightness, round(c, 4) AS contrast, round(blur, 2) AS blur, round(noise, 6) AS noise, dpi, round(edge, 6) AS edge_density FROM (SELECT image_id, avg(v) AS b, stddev_pop(v) / 128 AS c, CAST(floor(greatest(max(x) + 1, max(y) + 1) / 8.5 + 0.5) AS INT) AS dpi FROM s GROUP BY image_id)
-  JOIN (SELECT image_id, var_pop(l + rr + u + d - 4 * v) AS blur, avg(CASE WHEN x % 2 = 1 AND y % 2 = 1 THEN abs(v - (v + l + rr + u + d) / 5) END) / 255 AS noise FROM i GROUP BY image_id) USING (image_id) JOIN (SELECT image_id, sum(CAST(coalesce(e, false) AS INT)) / count(*) AS edge FROM e GROUP BY image_id) USING (image_id)""",
-)
-def raster(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    out = ra.raster_levels(p).join(ra.raster_blur(p), "image_id").join(ra.raster_noise(p), "image_id").join(ra.raster_edges(p), "image_id")
-    r = lambda c, k: F.round(c, k).alias(c)
-    return out.select("image_id", r("brightness", 4), r("contrast", 4), r("blur", 2), r("noise", 6), "dpi", r("edge_density", 6))
-
-
-@query(
-    "p4_skew",
-    f"""WITH g AS (SELECT image_id, y, sum(x * g) / sum(g) AS cx FROM (SELECT image_id, y, x, abs(rr - l) AS g FROM ({_STENCIL})) WHERE g > 40 GROUP BY 1, 2), a AS (SELECT image_id, count(*) AS n, degrees(atan(regr_slope(cx, y))) AS a FROM g GROUP BY 1)
-  SELECT s_suppkey AS image_id, round(CASE WHEN n IS NULL OR n < 10 OR abs(a) > 20 THEN 0 ELSE coalesce(a, 0) END, 4) AS skew_angle FROM supplier LEFT JOIN a ON image_id = s_suppkey""",
-)
-def skew(spark, sf_dir):
-    return ra.raster_skew(pixels(spark, sf_dir)).select("image_id", F.round("skew_angle", 4).alias("skew_angle"))
-
-
-@query(
-    "p6_p7_regions",
-    f"""WITH c AS (SELECT image_id, x - 9 AS cx, y - 7 AS cy, v AS r, (v + 40) % 256 AS g, v * 3 % 256 AS b FROM ({_PIXELS}) WHERE x - 9 BETWEEN 0 AND 43 AND y - 7 BETWEEN 0 AND 32), m AS (SELECT *, (r + g + b) / 3 AS mean, greatest(r, g, b) - least(r, g, b) AS spread, cx % 4 = 0 AND cy % 4 = 0 AS p FROM c),
-  t AS (SELECT image_id, avg(mean) AS br, avg(CASE WHEN p THEN CAST(mean < 40 AS INT) END) AS dark, avg(CASE WHEN p THEN CAST(spread > 35 AND mean > 35 AND mean < 230 AS INT) END) AS photo FROM m GROUP BY image_id)
-  SELECT image_id, round(br, 4) AS center_brightness, round(dark, 6) AS dark_block_ratio, round(photo, 6) AS photo_region_ratio, NOT (br < 85 AND photo < 0.02) AND dark > 0.03 AND dark < 0.25 AS "hasQrLikeRegion", NOT (br < 85 AND photo < 0.02) AND photo > 0.03 AS "hasPhotoLikeRegion" FROM t""",
-)
-def regions(spark, sf_dir):
-    out = ra.raster_regions(pixels(spark, sf_dir)).withColumns({"color_variance": F.lit(50.0), "width": F.lit(64), "height": F.lit(48)})
-    r = lambda c, k: F.round(c, k).alias(c)
-    return ra.visual_flags(out).select("image_id", r("center_brightness", 4), r("dark_block_ratio", 6), r("photo_region_ratio", 6), "hasQrLikeRegion", "hasPhotoLikeRegion")
-
-
-@query(
-    "p8_p9_boxes",
-    f"""WITH s AS ({_STENCIL}), b AS (SELECT image_id, min(x) FILTER (WHERE v > 250) AS x0, max(x) FILTER (WHERE v > 250) AS x1, min(y) FILTER (WHERE v > 250) AS y0, max(y) FILTER (WHERE v > 250) AS y1, count(*) FILTER (WHERE abs(v - u) > 40) AS horizontal, count(*) FILTER (WHERE abs(v - l) > 40) AS vertical FROM s GROUP BY image_id),
-  k AS (SELECT *, (x1 - x0 + 1) * (y1 - y0 + 1) / 3072 BETWEEN 0.2 AND 0.98 AS ok FROM b) SELECT image_id, CAST(CASE WHEN ok THEN greatest(0, x0 - 1) ELSE 0 END AS INT) AS x0, CAST(CASE WHEN ok THEN least(63, x1 + 1) ELSE 63 END AS INT) AS x1, coalesce(ok, false) AS cropped, horizontal - vertical AS uprightness, CASE WHEN horizontal >= vertical THEN 0 ELSE 270 END AS angle FROM k""",
-)
-def boxes(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    out = ra.content_box(p, level=250).join(ra.best_angle(ra.uprightness(p), F.lit(64), F.lit(48)), "image_id")
-    return out.select("image_id", "x0", "x1", "cropped", "uprightness", "angle")
-
-
 def _drained(spark, stream, name):
     """All rows of a stream, by one run that ends with the input, as a table in the shared folder."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

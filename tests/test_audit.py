@@ -60,9 +60,23 @@ def test_risk_caps(spark):
 
 def test_flat_images(spark):
     px = spark.range(0, 400).select(F.lit(1).alias("image_id"), F.floor(F.col("id") / 20).cast("int").alias("y"), (F.col("id") % 20).cast("int").alias("x"), F.lit(100).alias("v"))
-    assert ra.raster_blur(px).first().blur == 0 and ra.raster_noise(px).first().noise == 0
-    assert ra.raster_edges(px).first().edge_density == 0 and ra.raster_skew(px).first().skew_angle == 0
-    assert ra.uprightness(px).first().uprightness == 0 and not ra.content_box(px).first().cropped
+    m = ra.raster_metrics(ra.image_lines(px))
+    got = m.first()
+    assert (got.width, got.height, got.brightness, got.blur, got.noise, got.edge_density, got.skew_angle, got.upright, got.upright_270) == (20, 20, 100, 0, 0, 0, 0, 0, 0)
+    assert not ra.content_box(m).first().cropped and ra.best_angle(m).first().angle == 0
+
+
+def test_tiny_and_empty_images(spark):
+    px = spark.createDataFrame([(1, 0, 0, 7), (2, 0, 0, 7), (2, 0, 1, 90)], "image_id int, y int, x int, v int")
+    got = {r.image_id: r for r in ra.raster_metrics(ra.image_lines(px)).collect()}
+    assert got[1].brightness == 7 and got[1].blur == 0 and got[2].edge_density == 0.5 and got[2].x0 is None
+    assert ra.raster_metrics(ra.image_lines(px.limit(0))).collect() == []
+
+
+def test_pixels_are_dealt_out_once(spark):
+    px = spark.range(10).selectExpr("id AS image_id", "id AS y", "id AS x", "1 AS v")
+    plan = ra.raster_metrics(ra.image_lines(px))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_entry_imports_without_a_session():
