@@ -139,43 +139,61 @@ def _cin(t: Column) -> Column:
     return let(entities.cins(t), judged)
 
 
-def context_adjust(score: Column, settings: Settings, conf: Column, photo: Column, qr: Column, ratio: Column, logos: Column | None = None) -> Column:
-    """A type's score after what the document's context adds, kept within 0 to 100 after each; each one is a signal and a reason."""
-    w = settings.context
-    steps = [
-        ("highOcrConfidence", "HIGH_OCR_CONFIDENCE", conf >= settings.high_ocr, F.format_string("OCR confidence %d%% supports classification", conf)),
-        ("lowOcrConfidence", "LOW_OCR_CONFIDENCE", (conf > 0) & (conf < settings.low_ocr), F.format_string("Low OCR confidence %d%% reduces classification confidence", conf)),
-        ("photoLayout", "PHOTO_LAYOUT", photo, F.lit("Photo-like region detected (layout cue)")),
-        ("qrLayout", "QR_LAYOUT", qr, F.lit("QR-like region detected (layout cue)")),
-        ("logoDetected", "LOGO_DETECTED", F.coalesce(F.size(logos) > 0, F.lit(False)) if logos is not None else F.lit(False), F.lit("Logo match")),
-        ("cardAspect", "CARD_ASPECT", F.coalesce((ratio > 1.3) & (ratio < 1.9), F.lit(False)), F.lit("Document aspect ratio consistent with ID card")),
+def _context(df: DataFrame, settings: Settings) -> list[tuple[str, int, str, Column, Column, Column]]:
+    """What the context of a document adds, in this order: (signal, points, code, condition, message, detail).
+
+    df has ocr_confidence, and may have hasPhotoLikeRegion, hasQrLikeRegion, logo_matches (array of names) and aspect_ratio.
+    """
+    s, conf = settings, F.coalesce(F.col("ocr_confidence"), F.lit(0)).cast("int")
+    ratio = F.col("aspect_ratio") if "aspect_ratio" in df.columns else F.lit(None).cast("double")
+    logos = F.array_join(F.slice("logo_matches", 1, 2), ", ") if "logo_matches" in df.columns else F.lit("")
+    read, w = F.format_string("OCR %d%%", conf), settings.context
+    rows = [
+        ("highOcrConfidence", "HIGH_OCR_CONFIDENCE", conf >= s.high_ocr, F.format_string("OCR confidence %d%% supports classification", conf), read),
+        ("lowOcrConfidence", "LOW_OCR_CONFIDENCE", (conf > 0) & (conf < s.low_ocr), F.format_string("Low OCR confidence %d%% reduces classification confidence", conf), read),
+        ("photoLayout", "PHOTO_LAYOUT", _flag(df, "hasPhotoLikeRegion"), F.lit("Photo-like region detected (layout cue)"), F.lit("photo region")),
+        ("qrLayout", "QR_LAYOUT", _flag(df, "hasQrLikeRegion"), F.lit("QR-like region detected (layout cue)"), F.lit("QR region")),
+        ("logoDetected", "LOGO_DETECTED", F.coalesce(F.size("logo_matches") > 0, F.lit(False)) if "logo_matches" in df.columns else F.lit(False), F.concat(F.lit("Logo match: "), logos), logos),
+        ("cardAspect", "CARD_ASPECT", F.coalesce((ratio > 1.3) & (ratio < 1.9), F.lit(False)), F.lit("Document aspect ratio consistent with ID card"), F.format_string("ratio %.2f", ratio)),
     ]
-    added = compact(*[F.when(when, F.struct(F.lit(name).alias("signal"), F.lit(w[name]).alias("points"), F.lit(code).alias("code"), text.alias("text"))) for name, code, when, text in steps])
+    return [(name, w[name], *rest) for name, *rest in rows]
 
-    def apply(a: Column) -> Column:
-        points = F.aggregate(a, score["score"].cast("int"), lambda x, s: F.least(F.greatest(x + s["points"], F.lit(0)), F.lit(100)))
-        more = F.transform(a, lambda s: F.struct(s["code"].alias("code"), s["text"].alias("message"), F.lit(STAGE).alias("stage"), F.lit(None).cast("int").alias("impact")))
-        return F.struct(score["type"].alias("type"), score["position"].alias("position"), points.alias("score"), F.concat(score["signals"], F.transform(a, lambda s: s["signal"])).alias("signals"), F.concat(score["reasons"], more).alias("reasons")).cast(SCORE)
 
-    return let(added, apply)
+def _context_hits(df: DataFrame, settings: Settings) -> Column:
+    return compact(*[F.when(when, F.struct(F.lit(name).alias("signal"), F.lit(points).alias("points"), F.lit(code).alias("code"), text.alias("text"), detail.alias("detail"))) for name, points, code, when, text, detail in _context(df, settings)])
+
+
+def context_adjust(score: Column, added: Column) -> Column:
+    """A type's score after what the document's context adds, kept within 0 to 100 after each; each one is a signal and a reason."""
+    bound = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(100))
+    # Only what is subtracted is bounded below, and what is added above, until the end.
+    points = F.aggregate(added, score["score"].cast("int"), lambda x, s: F.when(s["points"] < 0, F.greatest(x + s["points"], F.lit(0))).otherwise(F.least(x + s["points"], F.lit(100))), bound)
+    more = F.transform(added, lambda s: F.struct(s["code"].alias("code"), s["text"].alias("message"), F.lit(STAGE).alias("stage"), F.lit(None).cast("int").alias("impact")))
+    return F.struct(score["type"].alias("type"), score["position"].alias("position"), points.alias("score"), F.concat(score["signals"], F.transform(added, lambda s: s["signal"])).alias("signals"), F.concat(score["reasons"], more).alias("reasons")).cast(SCORE)
+
+
+def score_only(type_: str, label: str, points: Column, position: int) -> Column:
+    """The score of a type that is judged elsewhere and gives a number alone: no signals, and a reason if it is above 0; null counts as 0."""
+    said = F.array_compact(F.array(reason("IDENTIFY_SCORE", F.format_string(f"{label} identify score %d", points.cast("int")), STAGE, points > 0)))
+    return F.struct(F.lit(type_).alias("type"), F.lit(position).alias("position"), F.coalesce(points.cast("int"), F.lit(0)).alias("score"), empty_strings().alias("signals"), said.cast(REASONS).alias("reasons")).cast(SCORE)
 
 
 def _flag(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
-def score_types(df: DataFrame, settings: Settings = DEFAULT, text_col: str = "text") -> DataFrame:
+def score_types(df: DataFrame, settings: Settings = DEFAULT, text_col: str = "text", more: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """df with type_scores: a struct for each type, best first, ties in catalogue order. No shuffle; works on streams.
 
-    df has ocr_confidence, and may have hasPhotoLikeRegion, hasQrLikeRegion and aspect_ratio. Null text is empty.
+    Columns of the context are those of _context(). Null text is empty. more: further types by name, each with a label and a
+    column of points, which come after the catalogue's.
     """
     t = F.col("_t")
     c = cues(t)
     photo, qr = _flag(df, "hasPhotoLikeRegion"), _flag(df, "hasQrLikeRegion")
-    ratio = F.col("aspect_ratio") if "aspect_ratio" in df.columns else F.lit(None).cast("double")
-    conf = F.coalesce(F.col("ocr_confidence"), F.lit(0)).cast("int")
     base = [_aadhaar(t, c, qr), _pan(t, c, qr, photo), _passport(t), _cin(t), *[keyword_scores(t, x) for x in ("SECURITY_CLEARANCE", "SECURITY_PROGRAMME", "AUTHORITY_LETTER")]]
-    adjusted = F.transform(F.array(*base), lambda s: context_adjust(s, settings, conf, photo, qr, ratio))
+    base += [score_only(name, label, points, len(TYPES) + k) for k, (name, (label, points)) in enumerate((more or {}).items())]
+    adjusted = let(_context_hits(df, settings), lambda a: F.transform(F.array(*base), lambda s: context_adjust(s, a)))
     order = F.array_sort(F.transform(adjusted, lambda s: F.struct((-s["score"]).alias("o"), s["position"].alias("p"), s.alias("s"))))
     return df.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("type_scores", F.transform(order, lambda x: x["s"])).drop("_t")
 
@@ -186,13 +204,13 @@ def type_scores_long(df: DataFrame, id_col: str = "doc_id", settings: Settings =
     return out.select(id_col, "s.type", "s.score", (F.col("k") + 1).alias("rank"))
 
 
-def classify(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def classify(df: DataFrame, settings: Settings = DEFAULT, more: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """df (with requested_type) with type_scores, classified, document_type, classification_confidence, class_reasons, signals, best_type.
 
-    An unknown requested type scores 0 and never fits.
+    An unknown requested type scores 0 and never fits. more: further types, as for score_types().
     """
     s = settings
-    out = score_types(df, settings)
+    out = score_types(df, settings, more=more)
     none = F.struct(F.col("requested_type").alias("type"), F.lit(99).alias("position"), F.lit(0).alias("score"), empty_strings().alias("signals"), F.array().cast(REASONS).alias("reasons")).cast(SCORE)
     wanted = F.coalesce(F.get(F.filter("type_scores", lambda x: x["type"] == F.col("requested_type")), F.lit(0)), none)
     out = out.withColumn("_r", wanted).withColumn("_b", F.get("type_scores", F.lit(0)))
@@ -207,7 +225,7 @@ def classify(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     failed = ~F.col("classified")
     # What was said before decides whether the threshold is mentioned as well.
     said = F.exists("_r.reasons", lambda r: has(r["message"], r"below threshold|mismatch|rejected|INSUFFICIENT|LAYOUT|WRONG")) | ((score >= s.type_fit) & ~enough) | mismatch
-    names = [t[0] for t in TYPES]
+    names = [*[t[0] for t in TYPES], *(more or {})]
     more = compact(
         reason("INSUFFICIENT_SIGNALS", f"Classification rejected: fewer than {s.min_signals} independent signals (avoid single-keyword guess)", STAGE, (score >= s.type_fit) & ~enough),
         reason("LAYOUT_MISMATCH", F.format_string("Document type mismatch: stronger match for %s (score %d) than requested %s (%d)", F.col("_b.type"), best, F.col("requested_type"), score), STAGE, mismatch),
@@ -227,11 +245,20 @@ def classify(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     ).drop("_r", "_b")
 
 
-def matched_signals(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, id, weight, matched, detail): a row for each distinct signal of the classified rows of df, with the first message that names it."""
-    rows = df.select(id_col, "class_reasons", F.explode(F.array_distinct("signals")).alias("id"))
-    named = F.filter(F.transform("class_reasons", lambda r: r["message"]), lambda m: F.contains(F.lower(m), F.lower(F.col("id"))))
-    return rows.select(id_col, "id", F.lit(1.0).alias("weight"), F.lit(True).alias("matched"), F.coalesce(F.get(named, F.lit(0)), "id").alias("detail"))
+def matched_signals(df: DataFrame, id_col: str = "doc_id", settings: Settings = DEFAULT) -> DataFrame:
+    """(id_col, pos, id, weight, matched, detail): a row for each distinct signal of the classified rows of df.
+
+    A type's own signals weigh 1 and have the first message that names them, else their name; those of the context, which
+    come last, weigh what they add and have a detail of their own.
+    """
+    context = _context_hits(df, settings)
+    own = F.filter(F.array_distinct("signals"), lambda x: ~x.isin(*settings.context))
+    named = lambda x: F.get(F.filter(F.transform("class_reasons", lambda r: r["message"]), lambda m: F.contains(F.lower(m), F.lower(x))), F.lit(0))
+    rows = F.concat(
+        F.transform(own, lambda x: F.struct(x.alias("id"), F.lit(1.0).alias("weight"), F.coalesce(named(x), x).alias("detail"))),
+        F.transform(context, lambda s: F.struct(s["signal"].alias("id"), s["points"].cast("double").alias("weight"), s["detail"].alias("detail"))),
+    )
+    return df.select(id_col, F.posexplode(rows).alias("pos", "s")).select(id_col, "pos", "s.id", "s.weight", F.lit(True).alias("matched"), "s.detail")
 
 
 def matched_keywords(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

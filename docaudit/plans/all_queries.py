@@ -1,4 +1,4 @@
 """Every registered query of the core."""
 
-from docaudit.plans import passport_queries, raster_queries, record_queries, score_queries, text_queries  # noqa: F401
+from docaudit.plans import context_queries, passport_queries, raster_queries, record_queries, score_queries, text_queries  # noqa: F401
 from docaudit.plans.registry import QUERIES, SQL  # noqa: F401
