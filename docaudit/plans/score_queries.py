@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from docaudit.plans.registry import query
 from docaudit.plans.text_queries import _FIT, MIX
 from docaudit.sources import catalog
 from docaudit.sources import corpus as co
-from docaudit.sources.shared import shared_dir
+from docaudit.sources.shared import own_folder
 from docaudit.streaming import streams
 
 
@@ -364,7 +363,7 @@ def intake(spark, sf_dir):
 
 def _drained(spark, stream, name):
     """All rows of a stream, by one run that ends with the input, as a table in the shared folder."""
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = own_folder(spark, name)
     run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")

@@ -9,16 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one of our own, if all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-docaudit-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes with all that is in it when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = hadoop_path(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df, written to a folder of its own and read again; by names a column that partitions it, so that readers of some values skip the rest."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession, name)}/rows"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
