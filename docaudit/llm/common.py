@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.sources.shared import hadoop_path, own_folder
+
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Seed of the second half of 128-bit keys.
@@ -19,15 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-docaudit-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Batches that go to Python hold at most so many rows and bytes, so that a worker's memory does not depend on how long texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
@@ -35,10 +25,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Workspace:
-    """Tables written to the shared folder, to cut lineage; those no longer needed can go before the session ends."""
+    """Tables written to the shared folder, to cut lineage. Those no longer needed go at once, the last ones when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, own_folder(spark, name)
         # Shuffle files go when the query that wrote them ends; else they stay until the driver collects its garbage.
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
@@ -50,10 +40,18 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = hadoop_path(self.spark, self.path(name))
+            files.delete(path, True)
+
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written, after which the other tables of the workspace go."""
+        out = self.keep(df, name)
+        files, root = hadoop_path(self.spark, self.root)
+        for status in files.listStatus(root):
+            if status.getPath().getName() != name:
+                files.delete(status.getPath(), True)
+        return out
 
 
 def lower_ascii(text: Column) -> Column:

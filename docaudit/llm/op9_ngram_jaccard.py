@@ -187,17 +187,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = ws.keep(prefixes.select("id", "n", F.col("x.token").alias("token"), (F.col("alone") + F.col("k") + 1).alias("pos")), "prefixes")
 
     rows = prefixes.withColumn("comp", F.col("id"))
-    links: list[DataFrame] = []
-    before, size_of = None, prefixes.count()
+    labels: DataFrame | None = None
+    before, size_of, done = None, prefixes.count(), 0
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The components of all links so far and those among pairs."""
-        links.append(ws.keep(_verify(pairs, parts), f"links-{name}"))
-        return components(ws, reduce(DataFrame.unionByName, links), f"labels-{name}")
+        """The components of the classes so far, each row of which is a link to its least document, and the links among pairs."""
+        links = ws.keep(_verify(pairs, parts), f"links-{name}")
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        return components(ws, links, f"labels-{name}")
 
     # Rounds of leaders go on while they help and more pairs than prefix tokens would be left.
     while (left := _left(rows)) > size_of and (before is None or left <= 0.9 * before):
-        labels = linked(_alike(_led(rows, len(links)), parts), str(len(links)))
+        labels, done = linked(_alike(_led(rows, done), parts), str(done)), done + 1
         rows, before = _with_component(prefixes, labels), left
     pairs = ws.keep(_crossing(rows, parts), "pairs")
     first = pairs.groupBy("ca", "cb").agg(F.min(F.struct("differ", "a", "b")).alias("x")).select("x.a", "x.b")
@@ -208,7 +210,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = reps.join(labels, reps["rep"] == labels["id"], "left").select("c1", "c2", F.coalesce("comp", "rep").alias("component_id"))
     # Written, so that the join can be split where one text has very many copies.
     out = base.select("id", "n", "c1", "c2").join(ws.keep(named, "named"), ["c1", "c2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return ws.only(out, "classes")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

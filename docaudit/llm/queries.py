@@ -28,6 +28,12 @@ def _module(name: str):
     return importlib.import_module(f"docaudit.llm.{name}")
 
 
+def load() -> None:
+    """Imports every operator, so that a library that one of them lacks is known at once."""
+    for name in NAMES:
+        _module(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: getattr(_module(name), name) for name in NAMES}
 
