@@ -22,9 +22,12 @@ UNSEEN = 0.5
 class Settings:
     #: Bound of the sample that is learned from; the share of labelled rows that meets it is taken by hash.
     max_rows: int = 20_000
-    #: Bounds of the model: so many words, and n-grams of each length, shared out evenly among the languages; each has its most frequent.
-    max_words: int = 60_000
-    max_grams: int = 20_000
+    #: Bounds of the model: so many words, and n-grams of each length, shared out evenly among the languages; each has its most
+    #: frequent. None for all there are.
+    max_words: int | None = 60_000
+    max_grams: int | None = 20_000
+    #: Bound of the table of log frequencies, in which a word has a number for each language; None for no bound.
+    max_bytes: int | None = 256 << 20
     #: A word is known from so many occurrences on.
     min_count: int = 3
     longest: int = 4
@@ -37,19 +40,31 @@ class Model:
     grams: dict[str, int]
     logs: np.ndarray  # a row for each word or n-gram: log frequency in each language
     longest: int
+    #: Words and n-grams seen often enough that the bounds left out.
+    cut: int = 0
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def _counts(rows: DataFrame, key: str, most: int, least: int) -> DataFrame:
+def _shares(s: Settings, n_langs: int) -> tuple[int | None, int | None]:
+    """Words, and n-grams of each length, that a language has."""
+    if s.max_words is None or s.max_grams is None or s.max_bytes is None:
+        return tuple(None if most is None else max(1, most // n_langs) for most in (s.max_words, s.max_grams))
+    part = min(1.0, s.max_bytes / (8 * n_langs * max(1, s.max_words + s.longest * s.max_grams)))
+    return max(1, int(s.max_words * part) // n_langs), max(1, int(s.max_grams * part) // n_langs)
+
+
+def _counts(rows: DataFrame, key: str, most: int | None, least: int) -> DataFrame:
     """(lang, key, n) of the keys that are among the `most` most frequent of some language, ties in key order, of rows (lang, key, n).
 
     The best of each part of a language come first, so that the vocabulary of a hot one does not meet in one task.
     """
     each = rows.groupBy("lang", key).agg(F.sum("n").alias("n"))
     often = each.groupBy(key).agg(F.sum("n").alias("total")).filter(F.col("total") >= least).select(key)
+    if most is None:
+        return each.join(often, key).select("lang", F.col(key).alias("key"), "n")
     best = each.join(often, key).withColumn("part", F.pmod(F.hash(key), F.lit(64)))
     for by in (("lang", "part"), ("lang",)):
         best = best.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), key))).filter(F.col("r") <= most)
@@ -59,8 +74,9 @@ def _counts(rows: DataFrame, key: str, most: int, least: int) -> DataFrame:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """The model of the rows of df that have a language and a text; the caller leaves held-out rows out.
 
-    At most about max_rows rows are learned from, taken by the hash of their id. What reaches the driver is bounded by
-    max_words and max_grams in all, whatever the input; a rare language has the same share of them as a frequent one.
+    At most about max_rows rows are learned from, taken by the hash of their id. What reaches the driver is bounded by the
+    words and n-grams of each language, whatever the input; a rare language has as many of them as a frequent one. How many
+    the bounds leave out is counted in Model.cut.
     """
     s = settings
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -69,12 +85,15 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # N-grams are taken from the distinct words, each with its count.
     counted = rows.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     n_langs = max(1, rows.select("lang").distinct().count())
-    parts = [_counts(counted, "word", max(1, s.max_words // n_langs), s.min_count).withColumn("size", F.lit(0))]
+    n_words, n_grams = _shares(s, n_langs)
+    parts = [_counts(counted, "word", n_words, s.min_count).withColumn("size", F.lit(0))]
+    seen = counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= s.min_count).agg(F.count("*").alias("c"))
     for size in range(1, s.longest + 1):
         padded = F.concat(F.lit("_"), "word", F.lit("_"))
         grams = counted.withColumn("p", padded).filter(F.char_length("p") >= size)
         grams = grams.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("p") - size + 1), lambda i: F.substring("p", i, F.lit(size)))).alias("gram"))
-        parts.append(_counts(grams, "gram", max(1, s.max_grams // n_langs), 1).withColumn("size", F.lit(size)))
+        parts.append(_counts(grams, "gram", n_grams, 1).withColumn("size", F.lit(size)))
+        seen = seen.unionByName(grams.agg(F.countDistinct("gram").alias("c")))
     got = parts[0]
     for p in parts[1:]:
         got = got.unionByName(p)
@@ -90,16 +109,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for key in table.index:
             known[size > 0][key] = len(known[0]) + len(known[1])
         logs.append(np.log(np.maximum(table.to_numpy(float), UNSEEN) / totals))
-    return Model(langs, known[0], known[1], np.concatenate(logs), s.longest)
+    cut = (seen.agg(F.sum("c")).first()[0] or 0) - len(known[0]) - len(known[1]) if n_words is not None or n_grams is not None else 0
+    return Model(langs, known[0], known[1], np.concatenate(logs), s.longest, cut)
 
 
 class _Known(dict):
-    """Log frequencies of each word, remembered for up to so many words that the model lacks."""
+    """Log frequencies of each word, remembered for up to so many words that the model lacks: a table of at most BYTES."""
 
-    MOST = 400_000
+    MOST, BYTES = 400_000, 64 << 20
 
     def __init__(self, model: Model):
-        self.m, self.rows = model, np.concatenate([model.logs, np.zeros((self.MOST, len(model.langs)))])
+        most = max(1_000, min(self.MOST, self.BYTES // (8 * max(1, len(model.langs)))))
+        self.m, self.rows = model, np.concatenate([model.logs, np.zeros((most, len(model.langs)))])
         self.start()
 
     def start(self) -> None:
@@ -151,8 +172,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     scores.append(0.0)
                     continue
                 total = np.zeros(len(m.langs))
-                for k in range(0, len(words), 50_000):
-                    part = words[k : k + 50_000]
+                for k in range(0, len(words), 1_000):
+                    part = words[k : k + 1_000]
                     try:
                         at = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
                     except OverflowError:

@@ -49,11 +49,12 @@ def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_percent: int = 5) -> tuple[DataFrame, DataFrame]:
+def boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_percent: int = 0) -> tuple[DataFrame, DataFrame]:
     """(lines, limits passed): (_id, _t, host, pos, h1, h2) of each line with a word, and (host, h1, h2) of boilerplate lines.
 
-    A line of a host is boilerplate when at least min_docs of its documents and at least min_percent of them hold it. _t
-    tells apart the texts of an id that repeats.
+    A line of a host is boilerplate when at least min_docs of its documents hold it. min_percent asks beside that for a share
+    of the host's documents, so that a group of copies has another verdict on a larger host; it is 0 unless a caller wants that.
+    _t tells apart the texts of an id that repeats.
     """
     host = F.coalesce(F.col(host_col), F.lit("")).alias("host")
     rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), host, F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
@@ -65,7 +66,7 @@ def boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     return rows, held.join(sizes, "host").filter(100 * F.col("n") >= min_percent * F.col("host_docs")).select("host", "h1", "h2")
 
 
-def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_percent: int = 5, max_lost_percent: int = 50) -> DataFrame:
+def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_percent: int = 0, max_lost_percent: int = 50) -> DataFrame:
     """base_rules() with text_col without its boilerplate lines, n_lost_words, n_lost_lines (what that takes), depleted and kept.
 
     A document is depleted when boilerplate lines hold more than max_lost_percent of its words; it is kept when neither
@@ -95,7 +96,7 @@ def apply_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    return apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), min_percent=5).drop("text")
 
 
 SQL = r"""

@@ -201,3 +201,37 @@ def test_equal_languages_give_the_first(spark):
     docs = documents(spark, ["same words", "other"]).withColumn("_found", language.F.lit("kept"))
     got = language.identify(docs, language.train(train, settings=language.Settings(min_count=1))).collect()
     assert [(r.lang_pred, r.score, r["_found"]) for r in got] == [("a", 0.5, "kept")] * 2
+
+
+def _invented(n, rng):
+    """n languages of 2,000 words each over the same letters, a tenth of them shared by all, and texts of them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    shared = [word() for _ in range(200)]
+    rows, k = [], 0
+    for lang in range(n):
+        own = shared + [word() for _ in range(1800)]
+        for _ in range(30):
+            # Words are used as often as one over their place.
+            rows.append((k, " ".join(own[min(1999, int(2000 ** rng.random()) - 1)] if rng.random() < 0.3 else own[rng.randrange(2000)] for _ in range(60)), f"l{lang:03d}"))
+            k += 1
+    return rows
+
+
+def test_held_out_accuracy_by_number_of_languages(spark):
+    """The model's room is shared out: with more languages each has fewer words, and what that leaves out is counted."""
+    import random
+
+    rng, cuts = random.Random(9), []
+    for n in (4, 40):
+        docs = spark.createDataFrame(_invented(n, rng), "doc_id long, text string, lang string")
+        settings = language.Settings(max_words=20_000, max_grams=8_000, min_count=1)
+        model = language.train(docs.filter(~language.held_out()), settings=settings)
+        got = language.identify(docs, model).filter(language.held_out()).toPandas()
+        assert (got.lang == got.lang_pred).mean() > 0.95
+        cuts.append(model.cut)
+    assert 0 < cuts[0] < cuts[1]
+    every = language.train(docs.limit(200), settings=language.Settings(max_words=None, max_grams=None, min_count=1))
+    assert every.cut == 0 and len(every.words) > 1000
+    tight = language.train(docs.limit(200), settings=language.Settings(max_bytes=40_000, min_count=1))
+    assert tight.logs.nbytes <= 40_000 and tight.cut > 0
