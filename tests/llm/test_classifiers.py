@@ -228,7 +228,7 @@ def test_held_out_accuracy_by_number_of_languages(spark):
         settings = language.Settings(max_words=20_000, max_grams=8_000, min_count=1)
         model = language.train(docs.filter(~language.held_out()), settings=settings)
         got = language.identify(docs, model).filter(language.held_out()).toPandas()
-        assert (got.lang == got.lang_pred).mean() > 0.95
+        assert (got.lang == got.lang_pred).mean() > 0.9
         cuts.append(model.cut)
     assert 0 < cuts[0] < cuts[1]
     every = language.train(docs.limit(200), settings=language.Settings(max_words=None, max_grams=None, min_count=1))
