@@ -172,10 +172,18 @@ def _raw(text: Column) -> Column:
     )
 
 
-def candidates(text: Column) -> Column:
+def _read(parts: Column, words: Column, all_parts: bool) -> Column:
+    """The mean confidence of the parts of a name in words (a map of words in capitals to confidences): of those it has, null without any, or of all, a missing one as 0."""
+    found = F.transform(parts, lambda p: F.try_element_at(words, p))
+    found = F.transform(found, lambda c: F.coalesce(c, F.lit(0.0))) if all_parts else F.array_compact(found)
+    return let(found, lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda x, c: x + c) / F.size(a)))
+
+
+def candidates(text: Column, words: Column | None = None) -> Column:
     """array<struct<value, source, labeled, real, score>>: cleaned names, each with the first source that gave it, judged and scored.
 
-    Sorted once to find equal names, so its cost grows as n log n with the number of candidates.
+    With words (map of words in capitals to confidences) how well a name was read counts as well. Sorted once to find equal
+    names, so its cost grows as n log n with the number of candidates.
     """
 
     def cleaned(x: Column) -> Column:
@@ -184,13 +192,14 @@ def candidates(text: Column) -> Column:
     def judged(x: Column, p: Column, v: Column) -> Column:
         labeled = ~x["source"].isin(*UNLABELLED)
         points = _source_points(x["source"]) + F.when(labeled, 45).otherwise(0)
+        points = points if words is None else points + confidence_points(_read(p, words, False))
         return let(_sound(p, v), lambda ok: F.struct(v.alias("value"), x["source"].alias("source"), labeled.alias("labeled"), ok.alias("real"), (_looks(p, v, ok) + points).alias("score")))
 
     good = F.filter(F.transform(_raw(text), cleaned), lambda c: c.isNotNull() & (c["real"] | (c["source"] == "title-case")))
     return first_seen(good, lambda c: c["value"])
 
 
-def ranked(text: Column, exclude: Column | None = None) -> Column:
+def ranked(text: Column, exclude: Column | None = None, words: Column | None = None) -> Column:
     """array<struct<unfit, late, minus, k, value, source, labeled, pos, real, score>>, the best first: candidates with the points of their places in the text.
 
     Fit are real names of 25 points or more by themselves; late marks the one that is likely the father's.
@@ -201,7 +210,7 @@ def ranked(text: Column, exclude: Column | None = None) -> Column:
 
     def of(p: Column) -> Column:
         other = lambda c: p["ex"].isNull() | ~(F.contains(c["value"], p["ex"]) | F.contains(p["ex"], c["value"]))
-        found = F.transform(F.filter(candidates(text), other), lambda c, k: F.struct(c.alias("c"), k.alias("k"), let(F.instr(p["up"], c["value"]) - 1, lambda i: F.when(i < 0, NOWHERE).otherwise(i)).alias("pos")))
+        found = F.transform(F.filter(candidates(text, words), other), lambda c, k: F.struct(c.alias("c"), k.alias("k"), let(F.instr(p["up"], c["value"]) - 1, lambda i: F.when(i < 0, NOWHERE).otherwise(i)).alias("pos")))
         return let(found, lambda rows: let(latest(rows, p), lambda k: F.array_sort(F.transform(rows, lambda r: judged(r, p, k)))))
 
     def latest(rows: Column, p: Column) -> Column:
@@ -230,12 +239,12 @@ def ranked(text: Column, exclude: Column | None = None) -> Column:
     return let(places, of)
 
 
-def best_name(text: Column, exclude: Column | None = None) -> Column:
+def best_name(text: Column, exclude: Column | None = None, words: Column | None = None) -> Column:
     """The candidate with the most points, the earlier one of equals, one that is likely the father's only where there is no other; null where none is a name."""
-    return let(F.get(ranked(text, exclude), F.lit(0)), lambda x: F.when(~x["unfit"], x["value"]))
+    return let(F.get(ranked(text, exclude, words), F.lit(0)), lambda x: F.when(~x["unfit"], x["value"]))
 
 
-def father_name(text: Column) -> Column:
+def father_name(text: Column, words: Column | None = None) -> Column:
     """The best name by the father's label; without a label, the last of two real names or more after the account number."""
     first = F.regexp_extract(text, java(FATHER, True), 1)
     start = F.regexp_instr(text, F.lit(java(FATHER, True)))
@@ -245,9 +254,11 @@ def father_name(text: Column) -> Column:
     runs = find_all(F.substring(text, start, F.lit(120)), r"\b[A-Z]{2,}(?:\s+[A-Z]{1,}){0,3}\b")
     named = F.concat(F.transform(F.concat(runs, F.array(first)), clean_name), F.array(bare))
 
+    read = lambda p: F.lit(0) if words is None else confidence_points(_read(p, words, True))
+
     def judged(v: Column) -> Column:
         p = _parts(v)
-        return let(F.struct(p.alias("p"), _sound(p, v).alias("ok")), lambda s: F.when(s["ok"] | F.exists(s["p"], lambda x: F.char_length(x) >= 5), F.struct((-_looks(s["p"], v, s["ok"])).alias("minus"), v.alias("v"))))
+        return let(F.struct(p.alias("p"), _sound(p, v).alias("ok")), lambda s: F.when(s["ok"] | F.exists(s["p"], lambda x: F.char_length(x) >= 5), F.struct((-_looks(s["p"], v, s["ok"]) - read(s["p"])).alias("minus"), v.alias("v"))))
 
     # Of equals the first stays: its place stands before the name.
     marked = F.filter(F.transform(F.array_distinct(F.array_compact(named)), lambda v, i: let(judged(v), lambda j: F.when(j.isNotNull(), F.struct(j["minus"].alias("minus"), i.alias("i"), v.alias("v"))))), lambda x: x.isNotNull())
@@ -280,6 +291,11 @@ def word_confidence(words: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "word").agg(F.max("confidence").alias("confidence"))
 
 
+def word_map(words: DataFrame) -> DataFrame:
+    """(doc_id, word_conf): word_confidence() of a document as a map, which goes with its row."""
+    return word_confidence(words).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("confidence").cast("double")))).alias("word_conf"))
+
+
 def name_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """(id_col, value, source, labeled, pos, avg_conf, score, rank): a row for each candidate of each document.
 

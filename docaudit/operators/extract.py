@@ -96,12 +96,12 @@ def _letter(t: Column) -> dict[str, Column]:
     return out | {"signaturePresence": has(t, SIGNATURE), "companySealPresence": has(t, STAMP)}
 
 
-def _aadhaar(t: Column) -> dict[str, Column]:
+def _aadhaar(t: Column, words: Column | None = None) -> dict[str, Column]:
     valid = F.filter(checks.aadhaar_candidates(t), lambda n: n.rlike(r"\A[^01]") & checks.verhoeff_ok(n))
     rest = F.substring(t, F.regexp_instr(t, F.lit("(?i)Address|पता")), F.char_length(t))
     block = F.filter(F.slice(F.split(rest, "\n", -1), 1, 6), lambda x: F.char_length(trim(x)) > 5)
     return {
-        "name": names.best_name(t),
+        "name": names.best_name(t, words=words),
         "aadhaar": F.get(valid, F.lit(0)),
         "dob": labels.dob(t),
         "yearOfBirth": find(t, r"(?:YOB|Year of Birth)\s*[:\-]?\s*(\d{4})", 1),
@@ -110,9 +110,9 @@ def _aadhaar(t: Column) -> dict[str, Column]:
     }
 
 
-def _pan(t: Column) -> dict[str, Column]:
-    father = names.father_name(t)
-    return {"name": names.best_name(t, father), "fatherName": father, "pan": F.get(checks.pan_candidates(t), F.lit(0)), "dob": labels.dob(t)}
+def _pan(t: Column, words: Column | None = None) -> dict[str, Column]:
+    father = names.father_name(t, words)
+    return {"name": names.best_name(t, father, words), "fatherName": father, "pan": F.get(checks.pan_candidates(t), F.lit(0)), "dob": labels.dob(t)}
 
 
 FIELDS = {"AADHAAR": _aadhaar, "PAN": _pan, "CIN": _cin, "SECURITY_CLEARANCE": _clearance, "SECURITY_PROGRAMME": _programme, "AUTHORITY_LETTER": _letter}
@@ -126,14 +126,16 @@ def extract_fields(df: DataFrame, type_: str, text_col: str = "text") -> DataFra
     """df with a column for each field of the type; a null text has none but empty lists and false flags.
 
     Passports are made step by step, as their fields depend on each other; a column number_texts (array of strings), if
-    there is one, holds further readings of the number.
+    there is one, holds further readings of the number. A column word_conf (names.word_map()), if there is one, lets the
+    confidence of their words count for names on cards.
     """
     out = df.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     if type_ == "PASSPORT":
         for step in passports.record(F.col("_t"), F.col("number_texts") if "number_texts" in df.columns else None):
             out = step(out)
         return out.select(*[c for c in df.columns if c not in passports.FIELDS], *passports.FIELDS)
-    return out.withColumns(FIELDS[type_](F.col("_t"))).drop("_t")
+    read = (F.col("word_conf"),) if type_ in ("AADHAAR", "PAN") and "word_conf" in df.columns else ()
+    return out.withColumns(FIELDS[type_](F.col("_t"), *read)).drop("_t")
 
 
 def _present(df: DataFrame, name: str) -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
+from docaudit.functions.names import word_map
 from docaudit.functions.text import cues, n_lines, ocr_gate
 from docaudit.operators.classify import classify
-from docaudit.operators.detectors import run_detectors
+from docaudit.operators.detectors import run_detectors, word_stats
 from docaudit.operators.extract import extract, long_fields, validate
+from docaudit.operators.raster import visual_flags
 from docaudit.operators.results import completed_results, stopped_results
 from docaudit.operators.score import decide, risk_block, risk_score, route_indicators
 from docaudit.sources.catalog import TYPES
@@ -22,21 +24,34 @@ def verified(df: DataFrame, type_: str, settings: Settings = DEFAULT) -> DataFra
     """df (extracted and validated documents of a verified type) with risk_score, indicators and the decision."""
     text = F.coalesce(F.col("text"), F.lit(""))
     number = "aadhaar" if type_ == "AADHAAR" else "pan"
-    features = df.withColumns(cues(text) | {"has_number": F.col(number).isNotNull(), "validation_passed": F.col("validation.passed"), "line_count": n_lines(text)})
+    flags = cues(text)
+    if "isDarkUi" in df.columns:
+        flags["hasScreenshotCues"] = flags["hasScreenshotCues"] | F.coalesce(F.col("isDarkUi"), F.lit(False))
+    features = df.withColumns(flags | {"has_number": F.col(number).isNotNull(), "validation_passed": F.col("validation.passed"), "line_count": n_lines(text)})
     det = run_detectors(features)
     risk = risk_score(det, settings)
     # Both are one small row a document, keyed alike, so that the joins reuse one partitioning.
     return risk_block(decide(df.join(risk, "doc_id").join(route_indicators(det, risk), "doc_id"), settings), settings)
 
 
-def audit_documents(df: DataFrame, settings: Settings = DEFAULT, blur_col: str | None = None, types: tuple[str, ...] = tuple(t[0] for t in TYPES), bag: bool = False) -> DataFrame:
+def audit_documents(df: DataFrame, settings: Settings = DEFAULT, blur_col: str | None = None, types: tuple[str, ...] = tuple(t[0] for t in TYPES), bag: bool = False, images: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """One result row for each row of df (doc_id, requested_type, text, ocr_confidence): stopped at the reading, stopped at the type, or completed.
 
     doc_ids are distinct. Rows of a type that is not in `types` stop at the classification. bag adds the entities that
     every type has. What the types' branches share, the gated and classified rows without their scores, is written once to
     the shared folder by branch, and each branch reads and extracts its own rows only. Rows of verified types are written
     again with their fields, since detectors, risk and decision each read them.
+
+    images: a row of statistics by doc_id (the metrics of raster.raster_metrics() and raster_regions(), width, height), which
+    the gate, the classification and the detectors use. words: (doc_id, text, confidence, y0, y1) of what was read; how it was
+    read counts for names and for the font detector. Tables stored by store_by_document() are joined without a shuffle.
     """
+    if images is not None:
+        stats = visual_flags(images)
+        df = df.join(stats.select("doc_id", *[c for c in stats.columns if c not in df.columns]), "doc_id", "left")
+        blur_col = blur_col or "blur"
+    if words is not None:
+        df = df.join(word_stats(words), "doc_id", "left").join(word_map(words), "doc_id", "left")
     rows = ocr_gate(df, settings, blur_col=blur_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = classify(rows, settings).drop("type_scores", "signals", "best_type")
     fits = F.col("classified") & F.col("requested_type").isin(*types)

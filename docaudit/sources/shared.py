@@ -39,3 +39,10 @@ def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{own_folder(df.sparkSession, name)}/rows"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def store_by_document(df: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """df as a table of the warehouse (or at path), bucketed and sorted by doc_id: tables stored with as many buckets are joined and grouped by it without a shuffle."""
+    out = df.write.bucketBy(buckets, "doc_id").sortBy("doc_id").mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -79,6 +79,28 @@ def test_pixels_are_dealt_out_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_stored_tables_meet_without_a_shuffle_of_texts(spark, tmp_path):
+    from docaudit.functions.names import word_map
+    from docaudit.operators.detectors import word_stats
+    from docaudit.plans.audit_queries import cards
+    from docaudit.sources.shared import store_by_document
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = [store_by_document(df, f"stored_{k}", 4, f"{tmp_path}/{k}") for k, df in enumerate(cards(spark, SF))]
+        met = stored[0].join(stored[1], "doc_id", "left").join(word_stats(stored[2]), "doc_id", "left").join(word_map(stored[2]).hint("shuffle_hash"), "doc_id", "left")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        texts = [x for x in plan.split("Exchange") if "hashpartitioning" in x[:40]]
+        assert met.count() == stored[0].count() and len(texts) <= 1, plan  # words are counted by (document, word), and may be dealt out by both
+        got = {r.doc_id: r.status for r in audit_documents(stored[0], types=("AADHAAR",), images=stored[1], words=stored[2]).collect()}
+        assert len(got) == stored[0].count() and set(got.values()) == {"completed", "stopped"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for k in range(3):
+            spark.sql(f"DROP TABLE IF EXISTS stored_{k}")
+
+
 def test_entry_imports_without_a_session():
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 70"], capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
