@@ -143,19 +143,34 @@ def addresses(text: Column) -> Column:
     return first_seen(F.concat(F.array_compact(F.array(address_after(text))), let(lines(text), near)), F.upper)
 
 
-def tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, table_no, row_count, rows): runs of two lines or more that fall into columns; 30 rows of the first 10 tables.
+#: Tables of a document, and rows that are kept of each.
+MOST_TABLES, MOST_ROWS = 10, 30
+
 
-    Columns are cut at pipes, else at tabs, else at two spaces. A document's lines are the largest group of the window.
+def table_list(text: Column) -> Column:
+    """array<struct<rowCount, rows>>: runs of two lines or more that fall into columns, the first 10, each with its first 30 rows.
+
+    Columns are cut at pipes, else at tabs, else at two spaces. Lines that are not cut are the ends of runs; a run lies
+    between two of them, so that the work is linear in the lines and stays in the document's row.
     """
-    cut = lambda x, p: F.filter(F.transform(F.split(x, p, -1), trim), lambda c: c != "")
-    rows = df.select(id_col, F.posexplode(lines(F.col(text_col))).alias("pos", "line"))
-    rows = rows.withColumn("cols", F.coalesce(*[F.when(F.size(c) >= 2, c) for c in (cut(F.col("line"), r"\|"), F.filter(F.split("line", r"\t+", -1), lambda c: c != ""), F.filter(F.split("line", java(r"\s{2,}"), -1), lambda c: c != ""))]))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    rows = rows.withColumn("island", F.sum(F.when(F.col("cols").isNull(), 1).otherwise(0)).over(w)).filter("cols IS NOT NULL")
-    found = rows.groupBy(id_col, "island").agg(F.count("*").cast("int").alias("row_count"), F.array_sort(F.collect_list(F.struct("pos", "cols"))).alias("r")).filter("row_count >= 2")
-    found = found.withColumn("table_no", F.row_number().over(Window.partitionBy(id_col).orderBy("island"))).filter("table_no <= 10")
-    return found.select(id_col, "table_no", "row_count", F.transform(F.slice("r", 1, 30), lambda x: x["cols"]).alias("rows"))
+    trimmed = lambda x, p: F.filter(F.transform(F.split(x, p, -1), trim), lambda c: c != "")
+    pieces = lambda x, p: F.filter(F.split(x, p, -1), lambda c: c != "")
+    cut = lambda x: F.when(x.rlike(r"[|\t]|" + java(r"\s{2}")), F.coalesce(*[let(c, lambda a: F.when(F.size(a) >= 2, a)) for c in (trimmed(x, r"\|"), pieces(x, r"\t+"), pieces(x, java(r"\s{2,}")))]))
+
+    def runs(cells: Column) -> Column:
+        ends = F.filter(F.transform(cells, lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull())
+        ends = F.concat(F.array(F.lit(-1)), ends, F.array(F.size(cells)))
+        spans = let(ends, lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda b, j: F.struct((b + 1).alias("start"), (F.get(e, j + 1) - b - 1).alias("n"))))
+        kept = F.slice(F.filter(spans, lambda s: s["n"] >= 2), 1, MOST_TABLES)
+        return F.transform(kept, lambda s: F.struct(s["n"].alias("rowCount"), F.slice(cells, s["start"] + 1, F.least(s["n"], F.lit(MOST_ROWS))).alias("rows")))
+
+    return let(F.transform(lines(text), cut), runs)
+
+
+def tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, table_no, row_count, rows): a row for each table of table_list()."""
+    found = df.select(id_col, F.posexplode(table_list(F.col(text_col))).alias("k", "t"))
+    return found.select(id_col, (F.col("k") + 1).alias("table_no"), F.col("t.rowCount").alias("row_count"), F.col("t.rows").alias("rows"))
 
 
 KINDS = {

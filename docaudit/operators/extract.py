@@ -81,7 +81,7 @@ def _clearance(t: Column) -> dict[str, Column]:
 def _programme(t: Column) -> dict[str, Column]:
     out = _labelled(t, "SECURITY_PROGRAMME")
     out["programmeTitle"] = F.coalesce(out["programmeTitle"], squeeze(find(t, r"([^\n]{0,80}SECURITY\s*PROGRAM(?:ME)?[^\n]{0,40})", 1)))
-    return out | {"sectionHeadings": entities.headings(t), "bulletLists": entities.bullets(t)}
+    return out | {"sectionHeadings": entities.headings(t), "bulletLists": entities.bullets(t), "tables": entities.table_list(t)}
 
 
 def _letter(t: Column) -> dict[str, Column]:
@@ -215,28 +215,30 @@ def extract(df: DataFrame, type_: str, settings: Settings = DEFAULT, bag: bool =
 
 
 def long_fields(df: DataFrame, type_: str) -> DataFrame:
-    """df with fields (map of strings) and lists (map of arrays) in place of the type's own columns, so that types can be put together."""
+    """df with fields (map of strings) and lists (map of arrays) in place of the type's own columns, so that types can be put together; tables are JSON."""
     kinds = dict(df.dtypes)
     every = [f for f in dict.fromkeys((*field_names(type_), *BAG)) if f in kinds]
-    plain = [f for f in every if not kinds[f].startswith("array")]
-    lists = [f for f in every if kinds[f].startswith("array")]
-    one = F.create_map(*[x for f in plain for x in (F.lit(f), F.col(f).cast("string"))]) if plain else F.create_map().cast("map<string,string>")
+    lists = [f for f in every if kinds[f] == "array<string>"]
+    plain = [f for f in every if f not in lists]
+    said = lambda f: F.when(F.size(f) > 0, F.to_json(f)) if kinds[f].startswith("array") else F.col(f).cast("string")
+    one = F.create_map(*[x for f in plain for x in (F.lit(f), said(f))]) if plain else F.create_map().cast("map<string,string>")
     many = F.create_map(*[x for f in lists for x in (F.lit(f), F.col(f))]) if lists else F.create_map().cast("map<string,array<string>>")
     kept = F.map_filter(one, lambda k, v: v.isNotNull())
     return df.withColumns({"fields": kept, "lists": many}).drop(*every)
 
 
 #: Columns of the bag.
-BAG = ("names", "organizations", "dates", "addresses", "emailAddresses", "phoneNumbers", "documentNumbers", "registrationNumbers", "referenceNumbers", "qrCodes", "barcodes", "headers", "footers", "sectionHeadings", "bulletLists", "signaturePresence", "stampPresence")
+BAG = ("fullOcrText", "names", "organizations", "dates", "addresses", "emailAddresses", "phoneNumbers", "documentNumbers", "registrationNumbers", "referenceNumbers", "qrCodes", "barcodes", "tables", "headers", "footers", "sectionHeadings", "bulletLists", "signaturePresence", "stampPresence")
 
 
 def generic_bag(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the entities that every type has: one array column each, signature and stamp. The text stays in text_col; tables are entities.tables().
+    """df with what every type has: the text, one array column for each kind of entity, tables, signature and stamp.
 
     Columns of these names are replaced; the fields of a type, put over them afterwards, override them, nulls too.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     bag = {
+        "fullOcrText": t,
         "names": names.person_names(t),
         "organizations": entities.organizations(t),
         "dates": entities.dates(t),
@@ -248,6 +250,7 @@ def generic_bag(df: DataFrame, text_col: str = "text") -> DataFrame:
         "referenceNumbers": entities.references(t),
         "qrCodes": F.when(F.col("hasQrLikeRegion"), F.array(F.lit("detected"))).otherwise(empty_strings()) if "hasQrLikeRegion" in df.columns else empty_strings(),
         "barcodes": empty_strings(),
+        "tables": entities.table_list(t),
         "headers": entities.header(t),
         "footers": entities.footer(t),
         "sectionHeadings": entities.headings(t),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docaudit.functions import entities as en
 from docaudit.functions import text as tx
 from docaudit.operators import classify as cl
+from docaudit.operators import extract as ex
 from docaudit.plans.registry import query
 from docaudit.sources import catalog
 from docaudit.sources import corpus as co
@@ -269,6 +270,29 @@ def document_tables(spark, sf_dir):
     return en.tables(docs).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_tables"), F.sum("row_count").alias("n_rows"))
 
 
+#: Lines by key: a table at pipes, one at tabs or spaces, lines that are none, and a long one of which 30 rows are kept.
+_TABLED = "concat('Post | Count', chr(10), 'North | ', c_custkey % 50, ' |', chr(10), 'just a line', chr(10), 'alone | here', chr(10), 'no', chr(10), 'a', chr(9), chr(9), 'b ', c_custkey, chr(10), '  c   d  e', chr(10), repeat('x  y' || chr(10), CAST(CASE c_custkey % 3 WHEN 0 THEN 40 ELSE c_custkey % 3 END AS INT)), 'end')"
+
+
+@query(
+    "x6_e13_table_columns",
+    f"""WITH l AS (SELECT k, i AS pos, regexp_replace(a[i], '^{_SP}+|{_SP}+$', '', 'g') AS line FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM (SELECT c_custkey AS k, string_split({_TABLED}, chr(10)) AS a FROM customer))),
+  p AS (SELECT *, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS pc, list_filter(regexp_split_to_array(line, '\t+'), lambda x: x <> '') AS tc, list_filter(regexp_split_to_array(line, '{_SP}{{2,}}'), lambda x: x <> '') AS sc FROM l WHERE line <> ''),
+  c AS (SELECT k, pos, CASE WHEN len(pc) >= 2 THEN pc WHEN len(tc) >= 2 THEN tc WHEN len(sc) >= 2 THEN sc END AS cells FROM p),
+  g AS (SELECT *, sum(CAST(cells IS NULL AS INT)) OVER (PARTITION BY k ORDER BY pos) AS island FROM c),
+  t AS (SELECT k, island, count(*) AS n, list(array_to_string(cells, ',') ORDER BY pos)[1:30] AS r FROM g WHERE cells IS NOT NULL GROUP BY k, island HAVING count(*) >= 2)
+  SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY island) AS table_no, CAST(n AS INT) AS row_count, array_to_string(r, ';') AS cells FROM t""",
+)
+def table_columns(spark, sf_dir):
+    """Tables as a column of extraction: of a programme, and in the bag of a letter."""
+    text = F.expr(_TABLED)
+    rows = co.read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    even = ex.extract_fields(rows.filter("doc_id % 2 = 0"), "SECURITY_PROGRAMME").select("doc_id", "tables")
+    every = even.unionByName(ex.generic_bag(rows.filter("doc_id % 2 = 1")).select("doc_id", "tables"))
+    out = every.select("doc_id", F.posexplode("tables").alias("k", "t"))
+    return out.select("doc_id", (F.col("k") + 1).cast("long").alias("table_no"), F.col("t.rowCount").alias("row_count"), F.array_join(F.transform("t.rows", lambda r: F.array_join(r, ",")), ";").alias("cells"))
+
+
 @query(
     "e14_e15_e16_layout",
     "SELECT c_custkey AS doc_id, 'Purpose;guards;gates' AS bullets, 'AIRPORT SECURITY PROGRAMME;1. Purpose' AS headings, concat('AIRPORT SECURITY PROGRAMME;Programme Title: Plan ', CAST(c_custkey AS VARCHAR), ';Organisation: ACME Airport') AS header, concat('Post | Count;North | ', CAST(c_custkey % 50 AS VARCHAR), ';South | 3') AS footer FROM customer",
