@@ -145,7 +145,17 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", mime[ext].alias("mime"))
 
 
+def summarize_results(df: DataFrame) -> DataFrame:
+    """(requested_type, status, count) of result rows."""
+    return df.groupBy("requested_type", "status").count()
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Full rows as Parquet by status, and counts by type and status as JSON."""
     df.write.mode("overwrite").partitionBy("status").parquet(f"{path}/rows")
-    df.groupBy("requested_type", "status").count().write.mode("overwrite").json(f"{path}/summary")
+    summarize_results(df).write.mode("overwrite").json(f"{path}/summary")
+
+
+def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_results() wrote: rows, and counts."""
+    return spark.read.parquet(f"{path}/rows"), spark.read.schema("requested_type string, status string, count long").json(f"{path}/summary")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +28,34 @@ def hadoop_path(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Folders made inside passing().
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, which goes with all that is in it when the driver ends."""
+    """A new folder in the shared one, which goes with all that is in it when the driver ends, or when passing() does."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     files, at = hadoop_path(spark, path)
     files.mkdirs(at)
     files.deleteOnExit(at)
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
     return path
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at its end: what is made of them has to be written inside as well."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        for path in _MADE.get():
+            files, at = hadoop_path(spark, path)
+            files.delete(at, True)
+        _MADE.reset(token)
+
+
 def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df, written to a folder of its own and read again; by names a column that partitions it, so that readers of some values skip the rest."""
     path = f"{own_folder(df.sparkSession, name)}/rows"
