@@ -272,15 +272,22 @@ def top_reasons(df: DataFrame, id_col: str = "doc_id", most: int = 5) -> DataFra
     return out.select(id_col, "s.type", F.slice("s.reasons", 1, most).alias("reasons"))
 
 
+#: Types that a document without one is tried as, in order, and the confidence at which a completed try ends the search.
+TRIES, SETTLED = ("PASSPORT", "PAN", "AADHAAR", "CIN"), 50
+
+
 def resolve_unknown_type(attempts: DataFrame) -> DataFrame:
-    """(doc_id, type, status, confidence) chosen from attempts (doc_id, try_pos, type, status, confidence) in their order.
+    """(doc_id, type, status, confidence, tried) chosen from attempts (doc_id, try_pos, type, status, confidence) in their order.
 
-    A completed attempt of confidence 50 or more ends the search; of those tried, the last completed one with the greatest
-    confidence is taken, and the first attempt where none is completed. A document's attempts are few.
+    A completed attempt of confidence SETTLED or more ends the search. The first attempt is taken, unless a completed one is
+    at least as confident: then of those the most confident, the last of equals. A null confidence is 0. A document's
+    attempts are few.
     """
-    rows = attempts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("try_pos", "type", "status", "confidence"))).alias("a"))
+    said = F.struct("try_pos", "type", "status", F.coalesce("confidence", F.lit(0)).alias("confidence"))
+    rows = attempts.groupBy("doc_id").agg(F.array_sort(F.collect_list(said)).alias("a"))
     done = lambda x: x["status"] == "completed"
-    stop = F.filter(F.transform("a", lambda x, i: F.when(done(x) & (x["confidence"] >= 50), i + 1)), lambda x: x.isNotNull())
-    tried = F.slice("a", F.lit(1), F.coalesce(F.get(stop, F.lit(0)), F.size("a")))
-    best = F.array_max(F.transform(F.filter(tried, done), lambda x: F.struct(x["confidence"].alias("c"), x["try_pos"].alias("t"), x.alias("x"))))
-    return rows.withColumn("x", F.coalesce(best["x"], F.get("a", F.lit(0)))).select("doc_id", "x.type", "x.status", "x.confidence")
+    stop = F.filter(F.transform("a", lambda x, i: F.when(done(x) & (x["confidence"] >= SETTLED), i + 1)), lambda x: x.isNotNull())
+    rows = rows.withColumn("t", F.slice("a", F.lit(1), F.coalesce(F.get(stop, F.lit(0)), F.size("a"))))
+    first = F.get("t", F.lit(0))
+    best = F.array_max(F.transform(F.filter("t", lambda x: done(x) & (x["confidence"] >= first["confidence"])), lambda x: F.struct(x["confidence"].alias("c"), x["try_pos"].alias("t"), x.alias("x"))))
+    return rows.withColumn("x", F.coalesce(best["x"], first)).select("doc_id", "x.type", "x.status", "x.confidence", F.size("t").alias("tried"))

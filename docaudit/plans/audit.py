@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
 from docaudit.functions.names import word_map
 from docaudit.functions.text import cues, n_lines, ocr_gate
-from docaudit.operators.classify import classify
+from docaudit.operators.classify import SETTLED, TRIES, classify, resolve_unknown_type
 from docaudit.operators.detectors import run_detectors, word_stats
 from docaudit.operators.extract import extract, long_fields, validate
 from docaudit.operators.raster import visual_flags
@@ -64,3 +66,21 @@ def audit_documents(df: DataFrame, settings: Settings = DEFAULT, blur_col: str |
             done = verified(keep(done, f"extracted-{t}"), t, settings)
         out = out.unionByName(completed_results(long_fields(done, t)))
     return out
+
+
+def audit_unknown(df: DataFrame, settings: Settings = DEFAULT, tries: tuple[str, ...] = TRIES, **more) -> DataFrame:
+    """One result row, and tried, for each row of df (doc_id, text, ocr_confidence) whose type nobody named: audited as one type after the other.
+
+    Each round audits the documents that no earlier one has settled, and is a written table; so is what is left after it,
+    so that rounds read ever fewer rows. Which attempt is taken is up to resolve_unknown_type(). more goes to audit_documents().
+    """
+    left, attempts = df, []
+    for k, t in enumerate(tries):
+        out = keep(audit_documents(left.withColumn("requested_type", F.lit(t)), settings, types=(t,), **more), f"attempt-{k}")
+        attempts.append(out.withColumn("try_pos", F.lit(k)))
+        settled = out.filter((F.col("status") == "completed") & (F.col("classification_confidence") >= SETTLED)).select("doc_id")
+        if k + 1 < len(tries):
+            left = keep(left.join(settled, "doc_id", "left_anti"), f"left-{k}")
+    every = reduce(DataFrame.unionByName, attempts)
+    chosen = resolve_unknown_type(every.select("doc_id", "try_pos", F.col("requested_type").alias("type"), "status", F.col("classification_confidence").alias("confidence")))
+    return every.drop("try_pos").join(chosen.select("doc_id", F.col("type").alias("requested_type"), "tried"), ["doc_id", "requested_type"])

@@ -9,6 +9,7 @@ from docaudit.functions.names import word_map
 from docaudit.operators.extract import extract_fields
 from docaudit.plans import audit
 from docaudit.plans.registry import query
+from docaudit.plans.text_queries import MIX
 from docaudit.sources import corpus as co
 
 #: Two names of equal points: without word confidences the first is taken.
@@ -59,3 +60,28 @@ def image_audit(spark, sf_dir):
 def names_by_confidence(spark, sf_dir):
     documents, _, words = cards(spark, sf_dir)
     return extract_fields(documents.join(word_map(words), "doc_id", "left"), "AADHAAR").select("doc_id", "name")
+
+
+# A card that names income tax and the government but no number is an account card of 45 points: two signals, and no type is better.
+_PAN_LIKE = "CASE WHEN conf >= 70 THEN 50 WHEN conf < 45 THEN 37 ELSE 45 END"
+_HIGH = "CASE WHEN p = 0 AND conf < 45 THEN 0 WHEN conf >= 70 THEN least(100, p + 5) WHEN conf < 45 THEN greatest(0, p - 8) ELSE p END"
+
+
+@query(
+    "c11_types_by_trying",
+    f"""WITH m AS (
+    SELECT doc_id, requested_type AS own, doc_id // 10 % 10 AS d, ocr_confidence AS conf, ocr_confidence >= 40 AND len(regexp_extract_all(text, '[A-Za-z0-9]')) >= 25 AS readable FROM ({MIX}) WHERE requested_type IN ('AADHAAR', 'PAN', 'CIN')
+  ), p AS (
+    SELECT *, CASE own WHEN 'AADHAAR' THEN CASE WHEN d = 3 THEN 90 ELSE 100 END WHEN 'PAN' THEN CASE WHEN d = 3 THEN 90 ELSE 100 END ELSE CASE d WHEN 4 THEN 0 WHEN 3 THEN 50 WHEN 1 THEN 90 ELSE 100 END END AS p,
+      readable AND NOT (own IN ('AADHAAR', 'PAN') AND d = 5) AND NOT (own = 'CIN' AND d = 4) AS fits FROM m
+  ), r AS (
+    SELECT *, {_HIGH} AS score FROM p
+  )
+  SELECT doc_id, CASE WHEN fits THEN own WHEN readable AND own = 'AADHAAR' AND d = 5 THEN 'PAN' ELSE 'PASSPORT' END AS requested_type,
+    CASE WHEN fits OR readable AND own = 'AADHAAR' AND d = 5 THEN 'completed' ELSE 'stopped' END AS status,
+    CAST(CASE WHEN fits THEN CASE own WHEN 'PAN' THEN 2 WHEN 'AADHAAR' THEN 3 ELSE 4 END WHEN readable AND own = 'AADHAAR' AND d = 5 AND conf >= 70 THEN 2 ELSE 4 END AS INTEGER) AS tried,
+    CAST(CASE WHEN fits THEN score WHEN readable AND own = 'AADHAAR' AND d = 5 THEN {_PAN_LIKE} WHEN readable THEN CASE WHEN conf >= 70 THEN 5 ELSE 0 END END AS INTEGER) AS confidence FROM r""",
+)
+def types_by_trying(spark, sf_dir):
+    mix = co.planted_mix(spark, sf_dir).filter(F.col("requested_type").isin("AADHAAR", "PAN", "CIN")).drop("requested_type")
+    return audit.audit_unknown(mix).select("doc_id", "requested_type", "status", "tried", F.col("classification_confidence").alias("confidence"))

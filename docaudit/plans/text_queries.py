@@ -397,9 +397,14 @@ _TRIES = "SELECT doc_id, p AS try_pos, CASE p WHEN 1 THEN 'PASSPORT' WHEN 2 THEN
 
 @query(
     "c11_resolved_types",
-    f"""WITH a AS ({_TRIES}), s AS (SELECT *, min(CASE WHEN status = 'completed' AND confidence >= 50 THEN try_pos END) OVER (PARTITION BY doc_id) AS stop FROM a),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY status = 'completed' DESC, CASE WHEN status = 'completed' THEN confidence END DESC NULLS LAST, CASE WHEN status = 'completed' THEN -try_pos ELSE try_pos END) AS k FROM s WHERE try_pos <= coalesce(stop, 4))
-  SELECT doc_id, type, status, confidence FROM r WHERE k = 1""",
+    f"""WITH a AS ({_TRIES}), s AS (
+    SELECT *, min(CASE WHEN status = 'completed' AND confidence >= 50 THEN try_pos END) OVER (PARTITION BY doc_id) AS stop, min(CASE WHEN try_pos = 1 THEN confidence END) OVER (PARTITION BY doc_id) AS first FROM a
+  ), c AS (
+    SELECT *, status = 'completed' AND confidence >= first AS good FROM s WHERE try_pos <= coalesce(stop, 4)
+  ), r AS (
+    SELECT *, max(try_pos) OVER (PARTITION BY doc_id) AS tried, row_number() OVER (PARTITION BY doc_id ORDER BY good DESC, CASE WHEN good THEN confidence END DESC NULLS LAST, CASE WHEN good THEN -try_pos ELSE try_pos END) AS k FROM c
+  )
+  SELECT doc_id, type, status, confidence, tried FROM r WHERE k = 1""",
 )
 def resolved(spark, sf_dir):
     docs = co.read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("p"))
