@@ -92,8 +92,19 @@ DUCK_DIGIT = f"""[{", ".join(map(str, VERHOEFF_INV))}][list_reduce(list_prepend(
 DUCK_AADHAAR = AADHAAR_TEXT.replace("FROM numbered", f"FROM (SELECT *, {DUCK_DIGIT} AS digit FROM ({AADHAAR_BASE}))")
 
 
+#: Tables of texts, or of which texts are made, and the column that deals them out.
+TEXTS = {"documents": "doc_id", "customer": "c_custkey"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. Texts that come in fewer pieces than there are cores, as a file of one row group cannot be split, are dealt out first.
+
+    A table of many files has more pieces than that and is read without a shuffle.
+    """
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    if table in TEXTS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, TEXTS[table])
+    return df
 
 
 def _sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
