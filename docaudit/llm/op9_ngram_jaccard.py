@@ -112,18 +112,23 @@ def _verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).filter("7 * o >= 3 * (na + nb)").select("a", "b")
 
 
-def _with_component(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
-    return prefixes.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+def _contested(rows: DataFrame) -> DataFrame:
+    """The rows of tokens that two components hold; a token that one holds alone stays so."""
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    return rows.join(mixed, "token")
+
+
+def _with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
 def _led(rows: DataFrame, k: int) -> DataFrame:
-    """Pairs of each document with the LEADERS leaders that most of its tokens have, of tokens that two components hold.
+    """Pairs of each document with the LEADERS leaders that most of its tokens have; rows are those of contested tokens.
 
     Each round draws others: of each token, the document that a hash puts first in each of LEADERS parts.
     """
     drawn = rows.withColumn("draw", F.xxhash64("id", F.lit(k))).withColumn("part", F.pmod("draw", F.lit(LEADERS)))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    lead = drawn.groupBy("token", "part").agg(F.min(F.struct("draw", "id", "n", "comp")).alias("lead")).join(mixed, "token").select("token", "lead")
+    lead = drawn.groupBy("token", "part").agg(F.min(F.struct("draw", "id", "n", "comp")).alias("lead")).select("token", "lead")
     met = rows.join(lead, "token").filter((F.col("comp") != F.col("lead.comp")) & _linkable(F.col("n"), F.col("lead.n")))
     votes = met.groupBy("id", F.col("lead.id").alias("leader")).agg(F.count("*").alias("votes"))
     top = votes.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "leader")), False), 1, LEADERS).alias("top"))
@@ -137,9 +142,8 @@ def _left(rows: DataFrame) -> int:
 
 
 def _crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, ca, cb, differ): all pairs of different components that share a prefix token and pass the length, positional and bitmap bounds."""
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rows = rows.join(mixed, "token").join(parts.filter("f = 0").select("id", "bits"), "id")
+    """(a, b, ca, cb, differ): all pairs of different components that share a prefix token and pass the length, positional and bitmap bounds; rows are those of contested tokens."""
+    rows = rows.join(parts.filter("f = 0").select("id", "bits"), "id")
     x = rows.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("comp").alias("ca"), F.col("bits").alias("xa"))
     y = rows.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("comp").alias("cb"), F.col("bits").alias("xb"))
     na, nb = F.col("na"), F.col("nb")
@@ -186,9 +190,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = ordered.select("id", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("take"))).alias("k", "x"))
     prefixes = ws.keep(prefixes.select("id", "n", F.col("x.token").alias("token"), (F.col("alone") + F.col("k") + 1).alias("pos")), "prefixes")
 
-    rows = prefixes.withColumn("comp", F.col("id"))
+    # Rows of tokens that are still contested, with their components: written, as each round reads them several times.
+    rows = ws.keep(_contested(prefixes.withColumn("comp", F.col("id"))), "rows-0")
     labels: DataFrame | None = None
     before, size_of, done = None, prefixes.count(), 0
+    ws.drop("prefixes", "alive")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The components of the classes so far, each row of which is a link to its least document, and the links among pairs."""
@@ -200,7 +206,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Rounds of leaders go on while they help and more pairs than prefix tokens would be left.
     while (left := _left(rows)) > size_of and (before is None or left <= 0.9 * before):
         labels, done = linked(_alike(_led(rows, done), parts), str(done)), done + 1
-        rows, before = _with_component(prefixes, labels), left
+        rows, before = ws.keep(_contested(_with_component(rows, labels)), f"rows-{done}"), left
+        ws.drop(f"rows-{done - 1}")
     pairs = ws.keep(_crossing(rows, parts), "pairs")
     first = pairs.groupBy("ca", "cb").agg(F.min(F.struct("differ", "a", "b")).alias("x")).select("x.a", "x.b")
     first = ws.keep(first, "first")
