@@ -50,13 +50,25 @@ def keyword_scores_long(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select(id_col, "s.type", "s.score", F.transform("s.reasons", lambda r: r["message"]).alias("labels"), "s.signals", F.size("s.reasons").alias("match_count"))
 
 
-def keyword_scores_by_table(df: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, type, score, match_count) with the rules as a table (type, pattern, score): a theta join on the pattern.
+#: A table of patterns may have so many rows: each becomes a condition of one projection.
+MOST_RULES = 1_000
 
-    Rules are a few dozen rows and are broadcast; counts combine before the shuffle.
+
+def rule_hits(df: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, and the other columns of rules): a row for each document and each row of rules (pattern, ignore_case, ...) that it matches.
+
+    Rules are a catalogue, not data: its few dozen patterns become literals, compiled once for each task, and documents meet
+    them in one narrow step, without a join. More than MOST_RULES are refused.
     """
-    hits = df.select(id_col, text_col).join(F.broadcast(rules), F.rlike(text_col, F.col("pattern")))
-    return hits.groupBy(id_col, "type").agg(F.least(F.sum("score"), F.lit(100)).cast("int").alias("score"), F.count("*").cast("int").alias("match_count"))
+    known = rules.limit(MOST_RULES + 1).collect()
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    t, also = F.coalesce(F.col(text_col), F.lit("")), [c for c in rules.columns if c not in ("pattern", "ignore_case")]
+    kinds = dict(rules.dtypes)
+    hits = [F.when(has(t, r["pattern"], bool(r["ignore_case"])), F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in also])) for r in known]
+    if not hits:
+        return df.select(id_col, *[F.lit(None).cast(kinds[c]).alias(c) for c in also]).limit(0)
+    return df.select(id_col, F.explode(compact(*hits)).alias("h")).select(id_col, "h.*")
 
 
 def _refused(type_: str, message: str) -> Column:

@@ -143,7 +143,3 @@ def group_summary(results: DataFrame, by: str) -> DataFrame:
     """(by, completed, stopped, error, total)."""
     n = lambda s: F.sum((F.col("status") == s).cast("long"))
     return results.groupBy(by).agg(n("completed").alias("completed"), n("stopped").alias("stopped"), n("error").alias("error"), F.count("*").alias("total"))
-
-
-def passed_share(df: DataFrame, by: str, passed: Column) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.sum(passed.cast("long")).alias("n_passed"))

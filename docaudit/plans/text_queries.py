@@ -65,11 +65,19 @@ def types_in_use(spark, sf_dir):
     + ") v(type, signal, pattern) ON regexp_matches(m.text, v.pattern) GROUP BY type, signal",
 )
 def rule_hits(spark, sf_dir):
-    rules = catalog.identify_rules(spark)
-    from docaudit.functions.patterns import java
+    return cl.rule_hits(co.planted_mix(spark, sf_dir), catalog.identify_rules(spark)).groupBy("type", "signal").agg(F.count("*").alias("n"))
 
-    rows = spark.createDataFrame([(r["type"], r["signal"], java(r["pattern"], r["ignore_case"])) for r in rules.collect()], "type string, signal string, pattern string")
-    return co.planted_mix(spark, sf_dir).join(F.broadcast(rows), F.rlike("text", F.col("pattern"))).groupBy("type", "signal").agg(F.count("*").alias("n"))
+
+@query(
+    "s4_label_hits",
+    f"SELECT type, field, count(DISTINCT doc_id) AS n FROM ({MIX}) m JOIN (VALUES "
+    + ", ".join(f"('{t}', '{f}', {_quote('(?i)' + p)})" for t, fields in catalog.LABELS.items() for f, patterns in fields.items() for p in patterns)
+    + ") v(type, field, pattern) ON regexp_matches(m.text, v.pattern) GROUP BY type, field",
+)
+def label_hits(spark, sf_dir):
+    """Documents with any of a field's labels, by the table of labels."""
+    labels = catalog.field_labels(spark).withColumn("ignore_case", F.lit(True))
+    return cl.rule_hits(co.planted_mix(spark, sf_dir), labels).groupBy("type", "field").agg(F.countDistinct("doc_id").alias("n"))
 
 
 @query(
@@ -370,14 +378,14 @@ def card_scores(spark, sf_dir):
     return cl.classify(mix).select("doc_id", "requested_type", F.col("classification_confidence").alias("score"))
 
 
-# A text without any cue ties at 0, and the first type of the catalogue leads.
+# A text without any cue ties at 0, and the first type of the catalogue leads; so does a card that both types refuse. A card
+# that names income tax and the government but no authority of the other kind is an account card.
 @query(
     "c8_best_types",
-    f"SELECT doc_id, CASE WHEN t = 2 AND k % 10 = 4 THEN 'AADHAAR' ELSE requested_type END AS best FROM (SELECT *, doc_id // 10 AS k, doc_id % 10 AS t FROM ({MIX})) WHERE NOT (t IN (0, 1) AND k % 10 = 5)",
+    f"SELECT doc_id, CASE WHEN t = 2 AND k % 10 = 4 OR t = 1 AND k % 10 = 5 THEN 'AADHAAR' WHEN t = 0 AND k % 10 = 5 THEN 'PAN' ELSE requested_type END AS best FROM (SELECT *, doc_id // 10 AS k, doc_id % 10 AS t FROM ({MIX}))",
 )
 def best_types(spark, sf_dir):
-    mix = co.planted_mix(spark, sf_dir).filter("NOT (doc_id % 10 IN (0, 1) AND floor(doc_id / 10) % 10 = 5)")
-    return cl.type_scores_long(mix).filter("rank = 1").select("doc_id", F.col("type").alias("best"))
+    return cl.type_scores_long(co.planted_mix(spark, sf_dir)).filter("rank = 1").select("doc_id", F.col("type").alias("best"))
 
 
 @query(

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from docaudit.config import Settings
 from docaudit.plans.audit import audit_documents
 from docaudit.plans.stream_queries import ROWS
 from docaudit.sources import corpus as co
@@ -78,3 +79,14 @@ def test_results_read_back(spark, tmp_path):
     rows, counts = co.read_results(spark, str(tmp_path))
     assert rows.filter(F.col("status") == "stopped").count() == 2
     assert sorted(map(tuple, counts.collect())) == [("CIN", "completed", 1), ("CIN", "stopped", 1), ("PAN", "stopped", 1)]
+
+
+def test_files_are_taken_in_by_what_they_are(spark, tmp_path):
+    for name, size in (("a.PDF", 10), ("b.png", 3), ("c.exe", 1), ("deep/d.jpeg", 2), ("noend", 1)):
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_bytes(b"x" * size)
+    got = {r["path"].rsplit("/", 1)[-1]: (r["accepted"], r["reject_reason"]) for r in co.intake_manifest(co.scan_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.PDF": (True, None), "b.png": (True, None), "d.jpeg": (True, None), "c.exe": (False, "unsupported_extension"), "noend": (False, "unsupported_extension")}
+    small = co.intake_manifest(co.scan_files(spark, str(tmp_path)), Settings(max_upload_bytes=5)).filter("reject_reason = 'file_too_large'")
+    assert [r["path"].rsplit("/", 1)[-1] for r in small.collect()] == ["a.PDF"]
