@@ -33,8 +33,12 @@ VERHOEFF_P = (
     (7, 0, 4, 6, 9, 1, 3, 2, 5, 8),
 )
 VERHOEFF_INV = (0, 4, 3, 2, 1, 5, 6, 7, 8, 9)
+# Shapes of numbers; where twelve digits are looked for, in this order; account numbers as they are printed, spaced, misread, and with zeros for letters.
 PAN = r"\A[A-Z]{5}[0-9]{4}[A-Z]\z"
 CIN = r"\A[UL][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\z"
+TWELVE_DIGITS = (r"\b\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}\b", r"\d[\d\s\-.]{10,20}\d", r"\d{12}")
+PAN_PRINTED, PAN_SPACED = r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", r"\b[A-Z]{5}[\s\-.]*[0-9OISB]{4}[\s\-.]*[A-Z]\b"
+PAN_MISREAD, PAN_ZEROS = r"\b[A-Z]{5}[0-9OISB]{4}[A-Z]\b", r"\b[A-Z0]{5}[0-9]{4}[A-Z]\b"
 MRZ_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -59,7 +63,7 @@ def verhoeff_digit(digits: Column) -> Column:
 def aadhaar_candidates(text: Column) -> Column:
     """Digits of 4-4-4 groups, then of loose runs with 12 of them, then each 12 digits of longer runs; distinct."""
     only = lambda a: F.filter(F.transform(a, lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: F.char_length(x) == 12)
-    return F.array_distinct(F.concat(*[only(find_all(text, p)) for p in (r"\b\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}\b", r"\d[\d\s\-.]{10,20}\d", r"\d{12}")]))
+    return F.array_distinct(F.concat(*[only(find_all(text, p)) for p in TWELVE_DIGITS]))
 
 
 def validation(passed: Column, checks: Column, reasons: Column, normalized: Column) -> Column:
@@ -102,18 +106,18 @@ def pan_candidates(text: Column) -> Column:
     """Exact numbers, spaced ones, those with digits read as letters (S is 5 or 8), those with a zero for an O; distinct."""
     u = F.upper(text)
     valid = lambda a: F.filter(a, lambda x: x.rlike(PAN))
-    exact = find_all(u, r"\b[A-Z]{5}[0-9]{4}[A-Z]\b")
-    spaced = F.transform(find_all(u, r"\b[A-Z]{5}[\s\-.]*[0-9OISB]{4}[\s\-.]*[A-Z]\b"), lambda x: normalize_pan(replace(x, r"[\s\-.]", "")))
+    exact = find_all(u, PAN_PRINTED)
+    spaced = F.transform(find_all(u, PAN_SPACED), lambda x: normalize_pan(replace(x, r"[\s\-.]", "")))
     variants = F.flatten(
         F.transform(
-            find_all(u, r"\b[A-Z]{5}[0-9OISB]{4}[A-Z]\b"),
+            find_all(u, PAN_MISREAD),
             lambda x: F.concat(
                 F.array(normalize_pan(x)),
                 F.array_compact(F.array(*[F.when(F.substring(x, k, 1) == "S", normalize_pan(F.concat(F.substring(x, 1, k - 1), F.lit("8"), F.substring(x, k + 1, 10)))) for k in range(6, 10)])),
             ),
         )
     )
-    zero = F.transform(find_all(u, r"\b[A-Z0]{5}[0-9]{4}[A-Z]\b"), normalize_pan)
+    zero = F.transform(find_all(u, PAN_ZEROS), normalize_pan)
     return F.array_distinct(F.concat(exact, valid(spaced), valid(variants), valid(zero)))
 
 

@@ -35,6 +35,12 @@ PAN_SHAPE = r"\b[A-Z]{5}[0-9OISB]{4}[A-Z]\b"
 DOB_SHAPE = r"\d{2}[/\-.]\d{2}[/\-.]\d{4}"
 LABEL = r"(?:^|\n|[^\w])(?:Name|नाम)\s*[:\-/>|.]?\s*([^\n]{0,80})"
 FATHER = r"(?:Father'?s?\s*Name|पिता[^\nA-Z]{0,30}|Name\s*N)\s*[:\-/>]?\s*([A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*){0,4})"
+# Names before a number or date, before a date of birth, after an account number; what ends the lines after one, and what a line's label and another's look like.
+BEFORE_ID = r"\b([A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*){1,4})\s*(?=\d{4}|\d{2}[/\-.]\d{2}|DOB)"
+BEFORE_DOB = r"\b([A-Z](?:\s+[A-Z]{2,}){1,3})\s+(?:[A-Z]{2,}(?:\s+[A-Z]+){0,3}\s+)?(\d{2}[/\-.]\d{2}[/\-.]\d{4})"
+AFTER_NUMBER = PAN_SHAPE + r"([\s\S]{0,220}?)(?:Father|पिता|Date\s*of\s*Birth|DOB|जन्म)"
+NO_MORE, OTHER_LINE = "Father|पिता|DOB|Date|Signature|जन्म", "Father|पिता|DOB|Date"
+OWN_LABEL, OWN_LINE = r"^.*?(?:Name|नाम)\s*[:\-/>|.]?\s*", r"(?:Name|नाम)\b"
 # Points of each source of a candidate beside the 45 of a labelled one.
 SOURCES = {"title-case": 35, "label": 15, "label-title": 35, "label-direct": 15, "before-id": 30, "same-line": 15, "next-line": 20, "after-pan": 30, "after-pan-line": 30, "before-dob": 30, "scan": -15}
 UNLABELLED = ("title-case", "before-id", "scan")
@@ -148,26 +154,26 @@ def _raw(text: Column) -> Column:
 
     def by_line(lines: Column) -> Column:
         def of_line(x: Column, i: Column) -> Column:
-            same, below = replace(x, r"^.*?(?:Name|नाम)\s*[:\-/>|.]?\s*", "", True), F.get(lines, i + 1)
+            same, below = replace(x, OWN_LABEL, "", True), F.get(lines, i + 1)
             own = F.when(~has(same, r"^\s*(?:name)?\s*$"), F.array(same))
-            nxt = F.when((below != "") & ~has(below, "Father|पिता|DOB|Date"), F.array(below))
-            return F.when(has(x, r"(?:Name|नाम)\b") & ~has(x, "Father|पिता"), F.concat(tag(own, "same-line"), tag(nxt, "next-line"))).otherwise(none)
+            nxt = F.when((below != "") & ~has(below, OTHER_LINE), F.array(below))
+            return F.when(has(x, OWN_LINE) & ~has(x, "Father|पिता"), F.concat(tag(own, "same-line"), tag(nxt, "next-line"))).otherwise(none)
 
         return F.flatten(F.transform(lines, of_line))
 
     def after_number(w: Column) -> Column:
         lines = F.slice(F.filter(F.transform(F.split(w, "\n", -1), trim), lambda x: x != ""), 1, 4)
-        ends = F.transform(lines, lambda x, i: F.when(has(x, "Father|पिता|DOB|Date|Signature|जन्म"), i))
+        ends = F.transform(lines, lambda x, i: F.when(has(x, NO_MORE), i))
         return F.concat(tag(find_all(w, CAPITALS), "after-pan"), tag(let(lines, lambda a: F.slice(a, F.lit(1), F.coalesce(F.array_min(ends), F.size(a)))), "after-pan-line"))
 
-    after = find(text, PAN_SHAPE + r"([\s\S]{0,220}?)(?:Father|पिता|Date\s*of\s*Birth|DOB|जन्म)", 1)
+    after = find(text, AFTER_NUMBER, 1)
     return F.concat(
         tag(find_all(text, TITLE, 1), "title-case"),
         F.when(named, labelled).otherwise(none),
-        tag(find_all(text, r"\b([A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*){1,4})\s*(?=\d{4}|\d{2}[/\-.]\d{2}|DOB)", 1), "before-id"),
+        tag(find_all(text, BEFORE_ID, 1), "before-id"),
         F.when(named, let(F.split(text, "\n", -1), by_line)).otherwise(none),
         let(after, lambda w: F.when(w.isNotNull(), after_number(w)).otherwise(none)),
-        tag(find_all(text, r"\b([A-Z](?:\s+[A-Z]{2,}){1,3})\s+(?:[A-Z]{2,}(?:\s+[A-Z]+){0,3}\s+)?(\d{2}[/\-.]\d{2}[/\-.]\d{4})", 1), "before-dob"),
+        tag(find_all(text, BEFORE_DOB, 1), "before-dob"),
         tag(find_all(F.upper(text), CAPITALS), "scan"),
     )
 
