@@ -51,6 +51,18 @@ def completed_results(df: DataFrame) -> DataFrame:
     )
 
 
+def stage_log(results: DataFrame) -> DataFrame:
+    """(doc_id, type, stage, status): an entry for each stage that a document came to; where it stopped, its last one says so.
+
+    It is made from the rows of the audit, so that a funnel of it agrees with them; the risk is a stage of judged types only.
+    """
+    upto = lambda *stages: F.array(*[F.lit(s) for s in stages])
+    came = F.when(F.col("stage") == "ocr", upto("ocr")).when(F.col("stage") == "classification", upto("ocr", "classification"))
+    came = came.when(F.col("risk_score").isNull(), upto("ocr", "classification", "extraction", "validation")).otherwise(upto("ocr", "classification", "extraction", "validation", "risk"))
+    rows = results.select("doc_id", F.col("requested_type").alias("type"), F.col("stage").alias("_last"), F.col("status").alias("_status"), F.explode(came).alias("stage"))
+    return rows.select("doc_id", "type", "stage", F.when((F.col("_status") == "stopped") & (F.col("stage") == F.col("_last")), "stopped").otherwise("completed").alias("status"))
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """(doc_id, status, confidences, stop_reason, codes, key_fields): the first three reason codes, and key fields that are there, of 60 characters."""
     keys = F.map_filter(F.transform_values("fields", lambda k, v: F.substring(v, 1, 60)), lambda k, v: k.isin(*KEY_FIELDS) & v.isNotNull())

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from docaudit.functions.checks import verhoeff_digit
 from docaudit.functions.names import word_map
 from docaudit.operators.extract import extract_fields
+from docaudit.operators.results import stage_log
+from docaudit.operators.score import stage_funnel
 from docaudit.plans import audit
 from docaudit.plans.registry import query
 from docaudit.plans.text_queries import MIX
@@ -56,6 +58,18 @@ def image_audit(spark, sf_dir):
     )
 
 
+@query(
+    "a13_audit_funnel",
+    """WITH r AS (SELECT 'AADHAAR' AS type, c_custkey % 4 = 3 AS stopped FROM customer), l AS (
+    SELECT type, s.stage, CASE WHEN stopped THEN 'stopped' ELSE 'completed' END AS status FROM r, (VALUES ('ocr', 1), ('classification', 2), ('extraction', 3), ('validation', 4), ('risk', 5)) s(stage, pos) WHERE NOT stopped OR pos = 1)
+  SELECT coalesce(type, '*') AS type, coalesce(stage, '*') AS stage, coalesce(status, '*') AS status, count(*) AS n FROM l GROUP BY ROLLUP (type, stage, status)""",
+)
+def audit_funnel(spark, sf_dir):
+    """The funnel of the audit's own log: blurred cards stop at the reading, the others come to the risk."""
+    documents, images, words = cards(spark, sf_dir)
+    return stage_funnel(stage_log(audit.audit_documents(documents, types=("AADHAAR",), images=images, words=words)))
+
+
 @query("n5_names_by_confidence", f"SELECT k AS doc_id, {_NAME} AS name FROM (SELECT c_custkey AS k FROM customer)")
 def names_by_confidence(spark, sf_dir):
     documents, _, words = cards(spark, sf_dir)
