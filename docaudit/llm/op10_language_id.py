@@ -40,8 +40,8 @@ class Model:
     grams: dict[str, int]
     logs: np.ndarray  # a row for each word or n-gram: log frequency in each language
     longest: int
-    #: Words and n-grams seen often enough that the bounds left out.
-    cut: int = 0
+    #: Words and n-grams seen often enough that the bounds left out; None where nobody asked.
+    cut: int | None = None
 
 
 def words(text: Column) -> Column:
@@ -71,12 +71,12 @@ def _counts(rows: DataFrame, key: str, most: int | None, least: int) -> DataFram
     return each.join(best.select(key).distinct(), key).select("lang", F.col(key).alias("key"), "n")
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings(), count_cut: bool = False) -> Model:
     """The model of the rows of df that have a language and a text; the caller leaves held-out rows out.
 
     At most about max_rows rows are learned from, taken by the hash of their id. What reaches the driver is bounded by the
-    words and n-grams of each language, whatever the input; a rare language has as many of them as a frequent one. How many
-    the bounds leave out is counted in Model.cut.
+    words and n-grams of each language, whatever the input; a rare language has as many of them as a frequent one. count_cut
+    has how many the bounds leave out counted in Model.cut, at the cost of counting all words and n-grams once more.
     """
     s = settings
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -109,7 +109,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for key in table.index:
             known[size > 0][key] = len(known[0]) + len(known[1])
         logs.append(np.log(np.maximum(table.to_numpy(float), UNSEEN) / totals))
-    cut = (seen.agg(F.sum("c")).first()[0] or 0) - len(known[0]) - len(known[1]) if n_words is not None or n_grams is not None else 0
+    cut = (seen.agg(F.sum("c")).first()[0] or 0) - len(known[0]) - len(known[1]) if count_cut else None
     return Model(langs, known[0], known[1], np.concatenate(logs), s.longest, cut)
 
 

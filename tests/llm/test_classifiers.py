@@ -226,12 +226,12 @@ def test_held_out_accuracy_by_number_of_languages(spark):
     for n in (4, 40):
         docs = spark.createDataFrame(_invented(n, rng), "doc_id long, text string, lang string")
         settings = language.Settings(max_words=20_000, max_grams=8_000, min_count=1)
-        model = language.train(docs.filter(~language.held_out()), settings=settings)
+        model = language.train(docs.filter(~language.held_out()), settings=settings, count_cut=True)
         got = language.identify(docs, model).filter(language.held_out()).toPandas()
         assert (got.lang == got.lang_pred).mean() > 0.9
         cuts.append(model.cut)
     assert 0 < cuts[0] < cuts[1]
-    every = language.train(docs.limit(200), settings=language.Settings(max_words=None, max_grams=None, min_count=1))
+    every = language.train(docs.limit(200), settings=language.Settings(max_words=None, max_grams=None, min_count=1), count_cut=True)
     assert every.cut == 0 and len(every.words) > 1000
-    tight = language.train(docs.limit(200), settings=language.Settings(max_bytes=40_000, min_count=1))
+    tight = language.train(docs.limit(200), settings=language.Settings(max_bytes=40_000, min_count=1), count_cut=True)
     assert tight.logs.nbytes <= 40_000 and tight.cut > 0
