@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docaudit.functions.patterns import REASONS, compact, find_all, java, let, reason, replace, trim
+from docaudit.functions.patterns import REASONS, compact, empty_strings, find_all, java, let, reason, replace, trim
 
 # Tables of the Verhoeff scheme.
 VERHOEFF_D = (
@@ -38,6 +38,8 @@ PAN = r"\A[A-Z]{5}[0-9]{4}[A-Z]\z"
 CIN = r"\A[UL][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\z"
 TWELVE_DIGITS = (r"\b\d{4}[\s\-.]?\d{4}[\s\-.]?\d{4}\b", r"\d[\d\s\-.]{10,20}\d", r"\d{12}")
 PAN_PRINTED, PAN_SPACED = r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", r"\b[A-Z]{5}[\s\-.]*[0-9OISB]{4}[\s\-.]*[A-Z]\b"
+#: What each of them is at least.
+PAN_ANY = r"[A-Z0]{5}[\s\-.]*[0-9OISB]{4}[\s\-.]*[A-Z]"
 PAN_MISREAD, PAN_ZEROS = r"\b[A-Z]{5}[0-9OISB]{4}[A-Z]\b", r"\b[A-Z0]{5}[0-9]{4}[A-Z]\b"
 MRZ_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -63,7 +65,8 @@ def verhoeff_digit(digits: Column) -> Column:
 def aadhaar_candidates(text: Column) -> Column:
     """Digits of 4-4-4 groups, then of loose runs with 12 of them, then each 12 digits of longer runs; distinct."""
     only = lambda a: F.filter(F.transform(a, lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: F.char_length(x) == 12)
-    return F.array_distinct(F.concat(*[only(find_all(text, p)) for p in TWELVE_DIGITS]))
+    # Groups of four and twelve digits in a row are loose runs as well.
+    return F.when(text.rlike(java(TWELVE_DIGITS[1])), F.array_distinct(F.concat(*[only(find_all(text, p)) for p in TWELVE_DIGITS]))).otherwise(empty_strings())
 
 
 def validation(passed: Column, checks: Column, reasons: Column, normalized: Column) -> Column:
@@ -118,7 +121,7 @@ def pan_candidates(text: Column) -> Column:
         )
     )
     zero = F.transform(find_all(u, PAN_ZEROS), normalize_pan)
-    return F.array_distinct(F.concat(exact, valid(spaced), valid(variants), valid(zero)))
+    return F.when(u.rlike(java(PAN_ANY)), F.array_distinct(F.concat(exact, valid(spaced), valid(variants), valid(zero)))).otherwise(empty_strings())
 
 
 def normalize_cin(number: Column) -> Column:

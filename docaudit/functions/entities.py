@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions.patterns import empty_strings, find, find_all, first_seen, has, java, let, lines, replace, squeeze, trim, unique_ci
+from docaudit.functions.patterns import empty_strings, exploded, find, find_all, first_seen, has, java, let, lines, replace, squeeze, trim, unique_ci
 
 # Shapes of entities.
 EMAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
@@ -169,8 +169,8 @@ def table_list(text: Column) -> Column:
 
 def tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, table_no, row_count, rows): a row for each table of table_list()."""
-    found = df.select(id_col, F.posexplode(table_list(F.col(text_col))).alias("k", "t"))
-    return found.select(id_col, (F.col("k") + 1).alias("table_no"), F.col("t.rowCount").alias("row_count"), F.col("t.rows").alias("rows"))
+    found = exploded(df, table_list(F.col(text_col)), (id_col,))
+    return found.select(id_col, (F.col("pos") + 1).alias("table_no"), F.col("item.rowCount").alias("row_count"), F.col("item.rows").alias("rows"))
 
 
 KINDS = {

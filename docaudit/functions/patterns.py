@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space beyond what Java's \s has.
@@ -10,7 +13,10 @@ MORE_SPACE = r"\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 #: Runs of what is no white space; ASCII signs, nearly all of them, are taken run by run.
 NON_SPACES = rf"(?:[!-~]++|[^\s{MORE_SPACE}])++"
 #: A boundary of ASCII words; Java's own also counts letters beyond ASCII.
-BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+#: What is a word's sign for certain: before or after it, half of a boundary is enough, which goes several times faster.
+_WORD_SIGN = r"(?:(?<!\\)\w|\\[dw]|\[(?:[A-Z]-[A-Z]|[a-z]-[a-z]|\d-\d|\w)+\])"
+_BEFORE_WORD, _AFTER_WORD = re.compile(_WORD_SIGN + r"(?![?*]|\{0)", re.ASCII), re.compile(_WORD_SIGN + r"(?:\{[1-9]\d*\})?\Z", re.ASCII)
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
@@ -19,7 +25,8 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b" and not in_class:
-            out.append(BOUNDARY)
+            rest = pattern[i + 2 :]
+            out.append(r"(?<!\w)" if _BEFORE_WORD.match(rest) else r"(?!\w)" if _AFTER_WORD.search(pattern[:i]) else BOUNDARY)
         elif two == r"\s":
             out.append(rf"\s{MORE_SPACE}" if in_class else rf"[\s{MORE_SPACE}]")
         elif two == r"\S" and not in_class:
@@ -37,8 +44,45 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
-def has(text: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return F.coalesce(text.rlike(java(pattern, ignore_case)), F.lit(False))
+def words_of(pattern: str) -> list[str] | None:
+    """Upper-case words of which a text holds one at least, in any case, if it has the pattern; null where none of two signs or more is sure.
+
+    Escapes, classes, groups and what may be missing count nothing, but for groups that are a choice of plain words.
+    """
+    if re.search(r"\\[^bsSdDwWAz\W]", pattern):
+        return None
+    choices, left = [], re.sub(r"(?<!\\)([^\\\])}])\{([1-9])(?:,\d*)?\}", lambda m: m[1] * int(m[2]) + "()", pattern)
+    left = re.sub(r"\\.|\[\^?(?:\\.|[^\]\\])+\]", "\0", left)
+
+    def group(m: re.Match) -> str:
+        words = m[1].removeprefix("?:").split("|")
+        if m[2] not in ("", "+") or not all(re.fullmatch("[A-Za-z]{2,}", w) for w in words):
+            return "\0"
+        choices.append(words)
+        return chr(0xE000 + len(choices) - 1)
+
+    while "(" in left:
+        left, n = re.subn(r"\(([^()]*)\)([*?+]?|\{[^}]*\})", group, left)
+        if not n:
+            return None
+    out = []
+    for branch in re.sub(r".(?:[*?]|\{[^}]*\})|[.^$+]", "\0", left).split("|"):
+        parts = [choices[ord(x) - 0xE000] if "\uE000" <= x <= "\uF8FF" else [x] for x in re.split("([\uE000-\uF8FF])|\0", branch) if x]
+        out += max(parts, key=lambda words: min(map(len, words)), default=[""])
+    plain = all(len(w) > 1 and all(c.isascii() or c.upper() == c == c.lower() for c in w) for w in out)
+    return list(dict.fromkeys(w.upper() for w in out)) if plain else None
+
+
+def has(text: Column, pattern: str, ignore_case: bool = True, upper: Column | None = None) -> Column:
+    """Whether text has the pattern, false for null. Texts without its words, which are most, are not matched: a plain search goes many times faster.
+
+    upper: a column of the text in upper case, where many patterns share it.
+    """
+    found, words = text.rlike(java(pattern, ignore_case)), words_of(pattern)
+    if words:
+        upper = F.upper(text) if upper is None else upper
+        found = F.when(reduce(Column.__or__, [F.contains(upper, F.lit(w)) for w in words]), found)
+    return F.coalesce(found, F.lit(False))
 
 
 def find_all(text: Column, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:
@@ -68,6 +112,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(df: DataFrame, items: Column, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys of df, pos and item: a row for each item of an array column whose items are never null.
+
+    A plain explode() gets a filter on the array's size, which is put before the projection that makes the array, and so
+    makes it, and the texts below it, once more; an outer one does not, and leaves a null item for an empty array.
+    """
+    return df.select(*keys, F.posexplode_outer(items).alias("pos", "item")).filter(F.col("item").isNotNull())
+
+
 def half_up(x: Column) -> Column:
     """Nearest integer, halves upwards."""
     return F.floor(x + 0.5).cast("int")

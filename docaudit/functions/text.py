@@ -50,9 +50,9 @@ def text_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("symbol_ratio", F.col("symbol_count") / F.greatest("trimmed_length", F.lit(1))).drop("_t")
 
 
-def cues(text: Column) -> dict[str, Column]:
+def cues(text: Column, upper: Column | None = None) -> dict[str, Column]:
     """The cues that text alone gives; the timestamp is a cue of a screenshot as well."""
-    flags = {name: has(text, pattern) for name, pattern in CUES.items()}
+    flags = {name: has(text, pattern, upper=upper) for name, pattern in CUES.items()}
     flags["hasScreenshotCues"] = flags.pop("hasScreenshotWords") | flags["hasTimestampCue"]
     return flags
 

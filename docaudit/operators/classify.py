@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
 from docaudit.functions import checks, entities
-from docaudit.functions.patterns import REASONS, compact, empty_strings, half_up, has, let, reason
+from docaudit.functions.patterns import REASONS, compact, empty_strings, exploded, half_up, has, let, reason
 from docaudit.functions.text import cues
 from docaudit.sources.catalog import POSITION, RULES, TYPES
 
@@ -37,16 +37,25 @@ def _texts(hits: Column) -> Column:
     return F.transform(hits, lambda h: h["text"])
 
 
-def keyword_scores(text: Column, type_: str) -> Column:
+def _cased(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with _t, the text without null, and _u, that in upper case, once for all patterns."""
+    return df.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_u", F.upper("_t"))
+
+
+def _has(t: Column, pattern: str, ignore_case: bool = True) -> Column:
+    return has(t, pattern, ignore_case, F.col("_u"))
+
+
+def keyword_scores(text: Column, type_: str, upper: Column | None = None) -> Column:
     """Each rule of the type that matches adds its points once, to 100 at most."""
-    hits = _hits([(signal, has(text, pattern, fold), points, label) for signal, pattern, points, label, fold in RULES[type_]])
+    hits = _hits([(signal, has(text, pattern, fold, upper), points, label) for signal, pattern, points, label, fold in RULES[type_]])
     return let(hits, lambda h: _score(type_, _total(h), _signals(h), _texts(h)))
 
 
 def keyword_scores_long(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, type, score, labels, signals, match_count) for each document and type with rules."""
-    each = F.array(*[keyword_scores(F.coalesce(F.col(text_col), F.lit("")), t) for t in RULES])
-    out = df.select(id_col, F.explode(each).alias("s"))
+    each = F.array(*[keyword_scores(F.col("_t"), t, F.col("_u")) for t in RULES])
+    out = _cased(df, text_col).select(id_col, F.explode(each).alias("s"))
     return out.select(id_col, "s.type", "s.score", F.transform("s.reasons", lambda r: r["message"]).alias("labels"), "s.signals", F.size("s.reasons").alias("match_count"))
 
 
@@ -63,12 +72,12 @@ def rule_hits(df: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col:
     known = rules.limit(MOST_RULES + 1).collect()
     if len(known) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    t, also = F.coalesce(F.col(text_col), F.lit("")), [c for c in rules.columns if c not in ("pattern", "ignore_case")]
+    also = [c for c in rules.columns if c not in ("pattern", "ignore_case")]
     kinds = dict(rules.dtypes)
-    hits = [F.when(has(t, r["pattern"], bool(r["ignore_case"])), F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in also])) for r in known]
+    hits = [F.when(has(F.col("_t"), r["pattern"], bool(r["ignore_case"]), F.col("_u")), F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in also])) for r in known]
     if not hits:
         return df.select(id_col, *[F.lit(None).cast(kinds[c]).alias(c) for c in also]).limit(0)
-    return df.select(id_col, F.explode(compact(*hits)).alias("h")).select(id_col, "h.*")
+    return exploded(_cased(df, text_col), compact(*hits), (id_col,)).select(id_col, "item.*")
 
 
 def _refused(type_: str, message: str) -> Column:
@@ -76,9 +85,9 @@ def _refused(type_: str, message: str) -> Column:
 
 
 def _aadhaar(t: Column, c: dict[str, Column], qr: Column) -> Column:
-    other = has(t, r"\bPASSPORT\b|P<[A-Z]{3}|SURNAME|GIVEN\s*NAME|DATE\s*OF\s*EXPIRY|<{3,}|\bPERMANENT\s*ACCOUNT|\bPAN\b|INCOME\s*TAX")
-    keyword = c["hasAadhaarLabel"] | has(t, r"AADHA+R|AADHAR")
-    uidai = c["hasUidai"] | has(t, r"UNIQUE\s*ID")
+    other = _has(t, r"\bPASSPORT\b|P<[A-Z]{3}|SURNAME|GIVEN\s*NAME|DATE\s*OF\s*EXPIRY|<{3,}|\bPERMANENT\s*ACCOUNT|\bPAN\b|INCOME\s*TAX")
+    keyword = c["hasAadhaarLabel"] | _has(t, r"AADHA+R|AADHAR")
+    uidai = c["hasUidai"] | _has(t, r"UNIQUE\s*ID")
 
     def judged(numbers: Column) -> Column:
         valid = F.exists(numbers, lambda n: n.rlike(r"\A[^01]") & checks.verhoeff_ok(n))
@@ -88,8 +97,8 @@ def _aadhaar(t: Column, c: dict[str, Column], qr: Column) -> Column:
             ("goi", c["hasGovernmentOfIndia"], 20, "Matched Government of India"),
             ("validAadhaar", valid, 45, "Valid Aadhaar number pattern + Verhoeff checksum"),
             ("aadhaarCandidate", ~valid & (F.size(numbers) > 0) & (keyword | uidai), 20, "12-digit candidate near Aadhaar keywords"),
-            (None, has(t, r"DOB|DATE\s*OF\s*BIRTH|YOB|\d{2}[/\-.]\d{2}[/\-.]\d{4}"), 10, "Matched DOB / YOB field"),
-            (None, has(t, r"MALE|FEMALE|TRANSGENDER"), 5, "Matched gender token"),
+            (None, _has(t, r"DOB|DATE\s*OF\s*BIRTH|YOB|\d{2}[/\-.]\d{2}[/\-.]\d{4}"), 10, "Matched DOB / YOB field"),
+            (None, _has(t, r"MALE|FEMALE|TRANSGENDER"), 5, "Matched gender token"),
             ("qrLike", qr, 5, "QR-like region detected"),
         ]
         return let(_hits(rules), lambda h: _score("AADHAAR", F.when(valid, F.greatest(_total(h), F.lit(40))).otherwise(_total(h)), _signals(h), _texts(h)))
@@ -98,17 +107,17 @@ def _aadhaar(t: Column, c: dict[str, Column], qr: Column) -> Column:
 
 
 def _pan(t: Column, c: dict[str, Column], qr: Column, photo: Column) -> Column:
-    other = has(t, r"\bPASSPORT\b|P<[A-Z]{3}|SURNAME|GIVEN\s*NAME|<{3,}|\bAADHA+R\b|आधार|UIDAI")
+    other = _has(t, r"\bPASSPORT\b|P<[A-Z]{3}|SURNAME|GIVEN\s*NAME|<{3,}|\bAADHA+R\b|आधार|UIDAI")
 
     def judged(pans: Column) -> Column:
         found = F.size(pans) > 0
         rules = [
-            ("panKeyword", c["hasPanLabel"] | has(t, r"PERMANENT\s*ACCOUNT|P[A4]N\b|PERM[A4]NENT"), 35, "Matched Permanent Account Number / PAN keyword"),
-            ("incomeTax", c["hasIncomeTax"] | has(t, r"INC[O0]ME|1NC[O0]ME"), 30, "Matched Income Tax Department"),
+            ("panKeyword", c["hasPanLabel"] | _has(t, r"PERMANENT\s*ACCOUNT|P[A4]N\b|PERM[A4]NENT"), 35, "Matched Permanent Account Number / PAN keyword"),
+            ("incomeTax", c["hasIncomeTax"] | _has(t, r"INC[O0]ME|1NC[O0]ME"), 30, "Matched Income Tax Department"),
             ("goi", c["hasGovernmentOfIndia"], 15, "Matched Government of India"),
             ("panRegex", found, 50, "Matched PAN regex"),
-            ("panFuzzy", ~found & has(t, r"[A-Z]{5}\s*[0-9OISB]{4}\s*[A-Z]"), 30, "Matched fuzzy PAN pattern"),
-            (None, has(t, r"FATHE|पिता"), 10, "Matched Father's Name field"),
+            ("panFuzzy", ~found & _has(t, r"[A-Z]{5}\s*[0-9OISB]{4}\s*[A-Z]"), 30, "Matched fuzzy PAN pattern"),
+            (None, _has(t, r"FATHE|पिता"), 10, "Matched Father's Name field"),
             (None, qr | photo, 10, "Photo / QR-like region detected"),
             (None, c["hasCamScanner"] & found, 10, "CamScanner + PAN pattern"),
         ]
@@ -133,10 +142,10 @@ def _noted(s: Column, when: Column, text: str | Column, points: Column | None =
 
 
 def _passport(t: Column) -> Column:
-    layout = (has(F.upper(t), r"\bP<[A-Z]{3}", False) | has(t, r"\b[PO]\s+IND\b"))
-    base = keyword_scores(t, "PASSPORT")
+    layout = (has(F.col("_u"), r"\bP<[A-Z]{3}", False, F.col("_u")) | _has(t, r"\b[PO]\s+IND\b"))
+    base = keyword_scores(t, "PASSPORT", F.col("_u"))
     one = lambda s: _noted(s, layout & ~F.array_contains(s["signals"], "mrzHeader"), "Matched passport type / IND layout cue", s["score"] + 15, "indLayout")
-    two = lambda s: _noted(s, has(t, r"Sumame|Surname|Given\s*Name") & ~F.array_contains(s["signals"], "fieldLabels"), "Matched surname / given name layout", s["score"] + 10)
+    two = lambda s: _noted(s, _has(t, r"Sumame|Surname|Given\s*Name") & ~F.array_contains(s["signals"], "fieldLabels"), "Matched surname / given name layout", s["score"] + 10)
     few = lambda n: lambda s: _noted(s, (n < 2) & (s["score"] < 40), "Insufficient independent passport signals")
     return let(base, lambda b: let(let(let(b, one), two), few(F.size(b["reasons"]))))
 
@@ -146,7 +155,7 @@ def _cin(t: Column) -> Column:
         first = F.concat(F.lit("Matched CIN number ("), F.get(found, F.lit(0)), F.lit(")"))
         one = lambda s: _noted(s, F.size(found) > 0, first, F.greatest(s["score"], F.lit(40)), "cinNumber")
         few = lambda n: lambda s: _noted(s, (n < 2) & ~F.arrays_overlap(s["signals"], F.array(F.lit("cinRegex"), F.lit("cinNumber"))), "Fewer than 2 independent CIN signals")
-        return let(keyword_scores(t, "CIN"), lambda b: let(let(b, one), few(F.size(b["reasons"]))))
+        return let(keyword_scores(t, "CIN", F.col("_u")), lambda b: let(let(b, one), few(F.size(b["reasons"]))))
 
     return let(entities.cins(t), judged)
 
@@ -201,19 +210,19 @@ def score_types(df: DataFrame, settings: Settings = DEFAULT, text_col: str = "te
     column of points, which come after the catalogue's.
     """
     t = F.col("_t")
-    c = cues(t)
+    c = cues(t, F.col("_u"))
     photo, qr = _flag(df, "hasPhotoLikeRegion"), _flag(df, "hasQrLikeRegion")
-    base = [_aadhaar(t, c, qr), _pan(t, c, qr, photo), _passport(t), _cin(t), *[keyword_scores(t, x) for x in ("SECURITY_CLEARANCE", "SECURITY_PROGRAMME", "AUTHORITY_LETTER")]]
+    base = [_aadhaar(t, c, qr), _pan(t, c, qr, photo), _passport(t), _cin(t), *[keyword_scores(t, x, F.col("_u")) for x in ("SECURITY_CLEARANCE", "SECURITY_PROGRAMME", "AUTHORITY_LETTER")]]
     base += [score_only(name, label, points, len(TYPES) + k) for k, (name, (label, points)) in enumerate((more or {}).items())]
     adjusted = let(_context_hits(df, settings), lambda a: F.transform(F.array(*base), lambda s: context_adjust(s, a)))
     order = F.array_sort(F.transform(adjusted, lambda s: F.struct((-s["score"]).alias("o"), s["position"].alias("p"), s.alias("s"))))
-    return df.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("type_scores", F.transform(order, lambda x: x["s"])).drop("_t")
+    return _cased(df, text_col).withColumn("type_scores", F.transform(order, lambda x: x["s"])).drop("_t", "_u")
 
 
 def type_scores_long(df: DataFrame, id_col: str = "doc_id", settings: Settings = DEFAULT) -> DataFrame:
     """(id_col, type, score, rank) for every type."""
-    out = score_types(df, settings).select(id_col, F.posexplode("type_scores").alias("k", "s"))
-    return out.select(id_col, "s.type", "s.score", (F.col("k") + 1).alias("rank"))
+    out = exploded(score_types(df, settings), F.col("type_scores"), (id_col,))
+    return out.select(id_col, "item.type", "item.score", (F.col("pos") + 1).alias("rank"))
 
 
 def classify(df: DataFrame, settings: Settings = DEFAULT, more: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
@@ -270,7 +279,7 @@ def matched_signals(df: DataFrame, id_col: str = "doc_id", settings: Settings =
         F.transform(own, lambda x: F.struct(x.alias("id"), F.lit(1.0).alias("weight"), F.coalesce(named(x), x).alias("detail"))),
         F.transform(context, lambda s: F.struct(s["signal"].alias("id"), s["points"].cast("double").alias("weight"), s["detail"].alias("detail"))),
     )
-    return df.select(id_col, F.posexplode(rows).alias("pos", "s")).select(id_col, "pos", "s.id", "s.weight", F.lit(True).alias("matched"), "s.detail")
+    return exploded(df, rows, (id_col,)).select(id_col, "pos", "item.id", "item.weight", F.lit(True).alias("matched"), "item.detail")
 
 
 def matched_keywords(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -280,8 +289,8 @@ def matched_keywords(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def top_reasons(df: DataFrame, id_col: str = "doc_id", most: int = 5) -> DataFrame:
     """(id_col, type, reasons): the first reasons of each type's score."""
-    out = df.select(id_col, F.explode("type_scores").alias("s"))
-    return out.select(id_col, "s.type", F.slice("s.reasons", 1, most).alias("reasons"))
+    out = exploded(df, F.col("type_scores"), (id_col,))
+    return out.select(id_col, "item.type", F.slice("item.reasons", 1, most).alias("reasons"))
 
 
 #: Types that a document without one is tried as, in order, and the confidence at which a completed try ends the search.

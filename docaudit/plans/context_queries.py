@@ -69,7 +69,7 @@ _POINTS = "CASE WHEN k % 7 <> 0 THEN k * 3 % 130 ELSE 0 END"
 )
 def context_scores(spark, sf_dir):
     scored = cl.score_types(_rows(spark, sf_dir), more={"CUSTOM": ("Custom card", F.col("points"))})
-    out = scored.select("doc_id", F.explode("type_scores").alias("s")).filter("s.type IN ('SECURITY_CLEARANCE', 'CUSTOM')")
+    out = scored.select("doc_id", F.explode_outer("type_scores").alias("s")).filter("s.type IN ('SECURITY_CLEARANCE', 'CUSTOM')")
     return out.select("doc_id", "s.type", "s.score", F.array_join(F.transform("s.reasons", lambda r: r["message"]), ";").alias("messages"))
 
 

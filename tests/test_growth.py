@@ -1,7 +1,10 @@
 """Queries over more, or larger, keys than the given tables have."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from docaudit.functions.patterns import exploded, has, java, words_of
+from docaudit.operators import classify as cl
 from docaudit.operators import raster as ra
 from docaudit.plans.all_queries import QUERIES
 
@@ -34,3 +37,33 @@ def test_pixels_are_never_broadcast(spark):
 def test_addresses_of_keys_with_six_digits(spark, tmp_path):
     got = {r["doc_id"]: r["coded"] for r in QUERIES["e10_addresses"](spark, _customers(spark, tmp_path, 7, 123456)).collect()}
     assert got == {k: f"Registered Office: {k} High Street, Ward Five, Bengaluru 560{k % 1000:03}" for k in (7, 123456)}
+
+
+def test_scores_are_made_once_where_they_are_exploded(spark):
+    """A filter on an array's size would make all scores, and the texts below them, once more."""
+    rows = spark.createDataFrame([(1, "INCOME TAX", 80), (2, None, 80)], "doc_id long, text string, ocr_confidence int").withColumn("text", F.concat("text", F.lit("")))
+    plan = cl.type_scores_long(rows).filter("rank = 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in "".join(x for x in plan.split("\n") if x.strip().startswith(("Filter", "+- Filter")))
+    assert {r["doc_id"] for r in cl.type_scores_long(rows).filter("rank = 1").collect()} == {1, 2}
+    listed = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "doc_id long, l array<string>")
+    assert sorted(tuple(r) for r in exploded(listed, F.col("l")).collect()) == [(1, 0, "a"), (1, 1, "b")]
+
+
+@pytest.mark.parametrize(
+    "pattern, words",
+    [(r"MEETING\s*NOTES|COPY", ["MEETING", "COPY"]), (r"\b(MALE|FEMALE)\b", ["MALE", "FEMALE"]), (r"\b\d{4}[\s\-]?\d{4}\b", None), (r"<{3,}|ab", ["<<<", "AB"]), (r"(?:(?:ab|c)de)?fgh", ["FGH"]), (r"colou?r", ["COLO"]), (r"(?:xyz)*ab?c", None), (r"\u00A0abc", None), ("stra\u00dfe", None)],
+)
+def test_words_that_a_pattern_needs(pattern, words):
+    assert words_of(pattern) == words
+
+
+def test_patterns_match_as_without_their_words(spark):
+    from docaudit.functions.text import CUES, READ_BONUS
+    from docaudit.sources.catalog import LABELS, RULES
+
+    patterns = {(p, True) for p in CUES.values()} | {(p, fold) for p, _, fold in READ_BONUS} | {(r[1], r[4]) for rules in RULES.values() for r in rules} | {(p, True) for f in LABELS.values() for ps in f.values() for p in ps}
+    texts = ["", None, "govt. of india \u092d\u093e\u0930\u0924 \u0938\u0930\u0915\u093e\u0930", "\u0130ncome tax, m\u0131nistry of corporate affairs", "Male, 12 May, then 2021 p<IND<<<<", "A1234567 U12345AB2020PTC123456 x", "on 12 May in 2021 at 9:15", "security  programme\nvalid until\nref no", "\u00e9PAN name_x NAME MALEx", "\u017fignature stra\u00dfe Signed sd/-"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [F.coalesce(F.col("t").rlike(java(p, fold)), F.lit(False)).alias(f"p{k}") for k, (p, fold) in enumerate(sorted(patterns))]
+    quick = [has(F.col("t"), p, fold).alias(f"p{k}") for k, (p, fold) in enumerate(sorted(patterns))]
+    assert df.select(*plain).collect() == df.select(*quick).collect()
