@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
-from docaudit.functions.patterns import MORE_SPACE, NON_SPACES, REASONS, compact, find_all, has, let, reason, replace, trim
+from docaudit.functions.patterns import MORE_SPACE, NON_SPACES, REASONS, compact, has, reason, replace, trim
 
 # Cues; each has a pattern, and case is ignored.
 CUES = {
@@ -90,21 +90,28 @@ MARKED_ID = r"[A-Z]{5}[0-9OISB]{4}[A-Z]|\d{4}[\s\-]?\d{4}[\s\-]?\d{4}|INCOME|AAD
 READABLE = r"SECURITY|PROGRAMME|PROGRAM|CLEARANCE|CERTIFICATE|COMPANY|AUTHORITY|ORGANI[SZ]ATION|DOCUMENT|VERSION|EMPLOYEE|VALID"
 
 
-def _shape(text: Column) -> Column:
-    """(alnum, letters, symbols, tokens, short, long) of a text: counts, and the shares of symbols and of short tokens."""
-    tokens = find_all(text, r"\S+")
+#: Tokens of three signs or more, and tokens from four letters in a row on: one match each.
+_SIGN, _REST = rf"(?:[!-~]|[^\s{MORE_SPACE}])", rf"(?:[!-~]++|[^\s{MORE_SPACE}])*+"
+WIDE_TOKEN = rf"(?:[!-~]{{3,}}+|{_SIGN}{{3}}){_REST}"
+LONG_TOKEN = rf"[A-Za-z]{{4}}{_REST}"
 
-    def shaped(w: Column) -> Column:
-        return F.struct(
-            F.regexp_count(text, F.lit("[A-Za-z0-9]")).alias("alnum"),
-            F.regexp_count(text, F.lit("[A-Za-z]")).alias("letters"),
-            (F.char_length(replace(text, r"[A-Za-z0-9\s]", "")) / F.greatest(F.char_length(text), F.lit(1))).alias("symbols"),
-            F.size(w).alias("tokens"),
-            (F.size(F.filter(w, lambda x: F.char_length(x) <= 2)) / F.greatest(F.size(w), F.lit(1))).alias("short"),
-            F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]{4,}"))).alias("long"),
-        )
 
-    return let(tokens, shaped)
+def _without(text: Column, signs: str) -> Column:
+    """How many signs of a class a text has: what its runs leave when they go."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"{signs}+", ""))
+
+
+def _shape(text: Column) -> dict[str, Column]:
+    """alnum, letters, symbols, tokens, short, long of a text, as columns: counts, and the shares of symbols and of short tokens."""
+    signs, tokens = _signs(text), F.regexp_count(text, F.lit(NON_SPACES))
+    return {
+        "alnum": signs["alnum_count"],
+        "letters": _without(text, "[A-Za-z]"),
+        "symbols": signs["symbol_count"] / F.greatest(signs["trimmed_length"], F.lit(1)),
+        "tokens": tokens,
+        "short": (tokens - F.regexp_count(text, F.lit(WIDE_TOKEN))) / F.greatest(tokens, F.lit(1)),
+        "long": F.regexp_count(text, F.lit(LONG_TOKEN)),
+    }
 
 
 def _points(when: Column, points: float) -> Column:
@@ -113,28 +120,28 @@ def _points(when: Column, points: float) -> Column:
 
 def ocr_read_score(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with read_score: a share of the confidence, what the patterns add, and deductions for marks, symbols, sparse and choppy text."""
-    t, x = _text(text_col), F.col("_x")
-    marked = has(t, CUES["hasCamScanner"])
+    t, u, x = _text(text_col), F.col("_u"), _shape(_text(text_col))
+    marked = has(t, CUES["hasCamScanner"], upper=u)
     score = 0.4 * F.coalesce(F.col("ocr_confidence"), F.lit(0))
     for pattern, points, fold in READ_BONUS:
-        score = score + _points(has(t, pattern, fold), points)
-    score = score - F.when(marked, F.when(has(t, MARKED_ID), 10).otherwise(80)).otherwise(0)
+        score = score + _points(has(t, pattern, fold, u), points)
+    score = score - F.when(marked, F.when(has(t, MARKED_ID, upper=u), 10).otherwise(80)).otherwise(0)
     for when, points in ((x["symbols"] > 0.25, 40), (x["alnum"] < 20, 30), ((x["short"] > 0.55) & (x["tokens"] > 30), 35)):
         score = score - _points(when, points)
-    return df.withColumn("_x", _shape(t)).withColumn("read_score", score).drop("_x")
+    return df.withColumn("_u", F.upper(t)).withColumn("read_score", score).drop("_u")
 
 
 def readability_score(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with readability: half the confidence, letters and digits, long words and document words, less what garbles a text."""
-    t, x = _text(text_col), F.col("_x")
+    t, x = _text(text_col), _shape(_text(text_col))
     score = 0.5 * F.coalesce(F.col("ocr_confidence"), F.lit(0)) + 0.15 * F.least(x["alnum"], F.lit(400)) + 2 * x["long"]
     score = score - _points(x["symbols"] > 0.2, 50) - _points((x["short"] > 0.5) & (x["tokens"] > 20), 60) - _points(x["letters"] < 40, 25)
-    return df.withColumn("_x", _shape(t)).withColumn("readability", score + _points(has(t, READABLE), 35)).drop("_x")
+    return df.withColumn("readability", score + _points(has(t, READABLE), 35))
 
 
 def weak_reads(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df (with read_score) with weak_read and needs_retry."""
-    alnum, conf = F.regexp_count(_text(text_col), F.lit("[A-Za-z0-9]")), F.coalesce(F.col("ocr_confidence"), F.lit(0))
+    alnum, conf = _signs(_text(text_col))["alnum_count"], F.coalesce(F.col("ocr_confidence"), F.lit(0))
     return df.withColumns({"weak_read": (alnum < 40) | (F.col("read_score") < 50) | (conf < 45), "needs_retry": (alnum < 40) | ((conf < 20) & (alnum < 80))})
 
 

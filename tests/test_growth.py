@@ -1,5 +1,7 @@
 """Queries over more, or larger, keys than the given tables have."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,18 @@ def test_patterns_match_as_without_their_words(spark):
     plain = [F.coalesce(F.col("t").rlike(java(p, fold)), F.lit(False)).alias(f"p{k}") for k, (p, fold) in enumerate(sorted(patterns))]
     quick = [has(F.col("t"), p, fold).alias(f"p{k}") for k, (p, fold) in enumerate(sorted(patterns))]
     assert df.select(*plain).collect() == df.select(*quick).collect()
+
+
+def test_read_scores_count_without_arrays_of_tokens(spark):
+    """Counts of tokens of all lengths, at every kind of space, without a function called for each token."""
+    from docaudit.functions import text as tx
+
+    texts = ["", "a bb ccc dddd e", "éab éé ééé x1 ab,cd efgh-ij", "abcde1fghij   12 345 हिन्दी \U0001f600\U0001f600 z\U0001f600z", " \n\t ", "abcd　abc﻿abcdabcd"]
+    rows = [(t, re.findall(r"[^\s   -     　﻿]+", t)) for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(*[x.alias(n) for n, x in tx._shape(F.col("text")).items()]).collect()
+    for (t, tokens), r in zip(rows, got):
+        assert (r.tokens, r.short, r.long) == (len(tokens), sum(len(x) <= 2 for x in tokens) / max(len(tokens), 1), sum(bool(re.search("[A-Za-z]{4,}", x)) for x in tokens)), t
+        assert (r.alnum, r.letters) == (len(re.findall("[A-Za-z0-9]", t)), len(re.findall("[A-Za-z]", t)))
+    both = tx.readability_score(tx.ocr_read_score(df.withColumn("ocr_confidence", F.lit(80))))
+    assert "lambdafunction" not in both._jdf.queryExecution().optimizedPlan().toString()
