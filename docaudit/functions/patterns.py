@@ -16,7 +16,43 @@ NON_SPACES = rf"(?:[!-~]++|[^\s{MORE_SPACE}])++"
 BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 #: What is a word's sign for certain: before or after it, half of a boundary is enough, which goes several times faster.
 _WORD_SIGN = r"(?:(?<!\\)\w|\\[dw]|\[(?:[A-Z]-[A-Z]|[a-z]-[a-z]|\d-\d|\w)+\])"
-_BEFORE_WORD, _AFTER_WORD = re.compile(_WORD_SIGN + r"(?![?*]|\{0)", re.ASCII), re.compile(_WORD_SIGN + r"(?:\{[1-9]\d*\})?\Z", re.ASCII)
+_BEFORE_WORD, _AFTER_WORD = re.compile(_WORD_SIGN + r"(?![?*]|\{0)", re.ASCII), re.compile(_WORD_SIGN + r"(?:\+|\{[1-9]\d*(?:,\d*)?\})?\Z", re.ASCII)
+
+
+def _group(pattern: str) -> tuple[list[str], str] | None:
+    """The choices of the plain group that pattern starts with, and what follows it."""
+    body = re.match(r"\((?:\?:|(?!\?))", pattern)
+    if not body:
+        return None
+    out, depth, start = [], 1, body.end()
+    for m in re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|[()|]", pattern[start:], re.DOTALL):
+        at = body.end() + m.start()
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if depth == 0 or (depth == 1 and m[0] == "|"):
+            out.append(pattern[start:at])
+            start = at + 1
+        if depth == 0:
+            return out, pattern[at + 1 :]
+    return None
+
+
+def _before_word(rest: str) -> bool:
+    """Whether what rest matches starts with a word's sign."""
+    group = _group(rest)
+    if group:
+        return not re.match(r"[?*]|\{0", group[1]) and all(map(_before_word, group[0]))
+    return bool(_BEFORE_WORD.match(rest))
+
+
+def _after_word(before: str) -> bool:
+    """Whether what before matches ends with a word's sign: by itself, or in each choice of a last group."""
+    if not before.endswith(")"):
+        return bool(_AFTER_WORD.search(before))
+    for at in reversed([m.start() for m in re.finditer(r"\\.|\(", before) if m[0] == "("]):
+        group = _group(before[at:])
+        if group and group[1] == "":
+            return all(_AFTER_WORD.search(x) for x in group[0])
+    return False
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
@@ -25,8 +61,7 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b" and not in_class:
-            rest = pattern[i + 2 :]
-            out.append(r"(?<!\w)" if _BEFORE_WORD.match(rest) else r"(?!\w)" if _AFTER_WORD.search(pattern[:i]) else BOUNDARY)
+            out.append(r"(?<!\w)" if _before_word(pattern[i + 2 :]) else r"(?!\w)" if _after_word(pattern[:i]) else BOUNDARY)
         elif two == r"\s":
             out.append(rf"\s{MORE_SPACE}" if in_class else rf"[\s{MORE_SPACE}]")
         elif two == r"\S" and not in_class:
@@ -44,19 +79,31 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
-def words_of(pattern: str) -> list[str] | None:
-    """Upper-case words of which a text holds one at least, in any case, if it has the pattern; null where none of two signs or more is sure.
+def _pieces(branch: str) -> list[str]:
+    """Runs of signs that surely occur, of a branch whose escapes and classes are blanked."""
+    return re.split("\0", re.sub(r".(?:[*?]|\{[^}]*\})|[.^$+]", "\0", branch))
+
+
+def _plain(word: str) -> bool:
+    return all(c.isascii() or c.upper() == c == c.lower() for c in word)
 
-    Escapes, classes, groups and what may be missing count nothing, but for groups that are a choice of plain words.
+
+def needs_of(pattern: str) -> list[list[list[str]]]:
+    """What a text with the pattern holds in any case: of one branch each of its parts, of a part one of its upper-case words; empty where a branch has no sure part.
+
+    The part with the longest words comes first. Escapes, classes, groups and what may be missing count nothing, but for
+    groups that are a choice of words. Single signs count only beside words, and if they are no letters.
     """
     if re.search(r"\\[^bsSdDwWAz\W]", pattern):
-        return None
-    choices, left = [], re.sub(r"(?<!\\)([^\\\])}])\{([1-9])(?:,\d*)?\}", lambda m: m[1] * int(m[2]) + "()", pattern)
+        return []
+    choices, out = [], []
+    left = re.sub(r"(?<!\\)([^\\\])}])\{([1-9])(?:,\d*)?\}", lambda m: m[1] * int(m[2]) + "()", pattern)
     left = re.sub(r"\\.|\[\^?(?:\\.|[^\]\\])+\]", "\0", left)
 
     def group(m: re.Match) -> str:
-        words = m[1].removeprefix("?:").split("|")
-        if m[2] not in ("", "+") or not all(re.fullmatch("[A-Za-z]{2,}", w) for w in words):
+        body = m[1].removeprefix("?:")
+        words = [max(re.split("[\uE000-\uF8FF]", "\uE000".join(_pieces(w))), key=len) for w in body.split("|")]
+        if m[2] not in ("", "+") or body.startswith("?") or not all(re.fullmatch("[A-Za-z]{2,}", w) for w in words):
             return "\0"
         choices.append(words)
         return chr(0xE000 + len(choices) - 1)
@@ -64,13 +111,20 @@ def words_of(pattern: str) -> list[str] | None:
     while "(" in left:
         left, n = re.subn(r"\(([^()]*)\)([*?+]?|\{[^}]*\})", group, left)
         if not n:
-            return None
-    out = []
-    for branch in re.sub(r".(?:[*?]|\{[^}]*\})|[.^$+]", "\0", left).split("|"):
-        parts = [choices[ord(x) - 0xE000] if "\uE000" <= x <= "\uF8FF" else [x] for x in re.split("([\uE000-\uF8FF])|\0", branch) if x]
-        out += max(parts, key=lambda words: min(map(len, words)), default=[""])
-    plain = all(len(w) > 1 and all(c.isascii() or c.upper() == c == c.lower() for c in w) for w in out)
-    return list(dict.fromkeys(w.upper() for w in out)) if plain else None
+            return []
+    for branch in left.split("|"):
+        parts = [choices[ord(x) - 0xE000] if "\uE000" <= x <= "\uF8FF" else [x] for y in _pieces(branch) for x in re.split("([\uE000-\uF8FF])", y) if x]
+        parts = sorted((ws for ws in parts if all(map(_plain, ws))), key=lambda ws: -min(map(len, ws)))
+        if not parts or min(map(len, parts[0])) < 2:
+            return []
+        parts = [list(dict.fromkeys(w.upper() for w in ws)) for ws in parts if all(len(w) > 1 or not w.isalpha() for w in ws)]
+        out.append([ws for k, ws in enumerate(parts) if ws not in parts[:k]])
+    return out
+
+
+def words_of(pattern: str) -> list[str] | None:
+    """Upper-case words of which a text holds one at least, in any case, if it has the pattern; null where none of two signs or more is sure."""
+    return list(dict.fromkeys(w for parts in needs_of(pattern) for w in parts[0])) or None
 
 
 def has(text: Column, pattern: str, ignore_case: bool = True, upper: Column | None = None) -> Column:
@@ -78,10 +132,11 @@ def has(text: Column, pattern: str, ignore_case: bool = True, upper: Column | No
 
     upper: a column of the text in upper case, where many patterns share it.
     """
-    found, words = text.rlike(java(pattern, ignore_case)), words_of(pattern)
-    if words:
+    found, needs = text.rlike(java(pattern, ignore_case)), needs_of(pattern)
+    if needs:
         upper = F.upper(text) if upper is None else upper
-        found = F.when(reduce(Column.__or__, [F.contains(upper, F.lit(w)) for w in words]), found)
+        any_of = lambda xs: reduce(Column.__or__, xs)
+        found = F.when(any_of([reduce(Column.__and__, [any_of([F.contains(upper, F.lit(w)) for w in words]) for words in parts]) for parts in needs]), found)
     return F.coalesce(found, F.lit(False))
 
 

@@ -59,10 +59,10 @@ def cues(text: Column, upper: Column | None = None) -> dict[str, Column]:
 
 def text_signals(df: DataFrame, text_col: str = "text", dark_ui: str | None = None) -> DataFrame:
     """df with a boolean column for each cue; a dark screen, where dark_ui names it, is a cue of a screenshot."""
-    flags = cues(_text(text_col))
+    flags = cues(_text(text_col), F.col("_u"))
     if dark_ui:
         flags["hasScreenshotCues"] = flags["hasScreenshotCues"] | F.coalesce(F.col(dark_ui), F.lit(False))
-    return df.withColumns(flags)
+    return df.withColumn("_u", F.upper(_text(text_col))).withColumns(flags).drop("_u")
 
 
 def presence_flags(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docaudit.functions.patterns import exploded, has, java, words_of
+from docaudit.functions.patterns import BOUNDARY, exploded, has, java, needs_of, words_of
 from docaudit.operators import classify as cl
 from docaudit.operators import raster as ra
 from docaudit.plans.all_queries import QUERIES
@@ -84,3 +84,28 @@ def test_read_scores_count_without_arrays_of_tokens(spark):
         assert (r.alnum, r.letters) == (len(re.findall("[A-Za-z0-9]", t)), len(re.findall("[A-Za-z]", t)))
     both = tx.readability_score(tx.ocr_read_score(df.withColumn("ocr_confidence", F.lit(80))))
     assert "lambdafunction" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_signals_share_one_upper_case_text(spark):
+    from docaudit.functions import text as tx
+
+    df = spark.createDataFrame([("Pan card, seen on 12 May 2021",), (None,)], "text string")
+    out = tx.text_signals(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    assert [(r.hasPanLabel, r.hasTimestampCue, r.hasJunkWords) for r in out.collect()] == [(True, True, False), (False, False, False)]
+
+
+@pytest.mark.parametrize(
+    "pattern, needs",
+    [
+        (r"\bat\s+\d{1,2}:\d{2}", [[["AT"], [":"]]]), (r"\b(APPLE|HELLO\s*THIS)\b", [[["APPLE", "HELLO"]]]), (r"(?:ab|c)d", []), (r"(?!abc)de", [[["DE"]]]), (r"a(?:bc)?d|ef", []),
+        (r"(?:JAN|FEB)[A-Z]*\b.*\b20\d{2}", [[["JAN", "FEB"], ["20"]]]),
+    ],
+)
+def test_all_parts_that_a_pattern_needs(pattern, needs):
+    assert needs_of(pattern) == needs
+
+
+@pytest.mark.parametrize("pattern, halves", [(r"\b(?:REF|NO\.?)x", 1), (r"(A|B)\b", 1), (r"\b(?:a|-)b", 0), (r"(?:a|b?)\b", 0), (r"[A-Z]{2,}\b", 1), (r"\b(?:ab)?-", 0)])
+def test_boundaries_at_groups_of_words(pattern, halves):
+    assert (BOUNDARY not in java(pattern)) == bool(halves)
