@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions.patterns import empty_strings, exploded, find, find_all, first_seen, has, java, let, lines, replace, squeeze, trim, unique_ci
+from docaudit.sources.shared import keep
 
 # Shapes of entities.
 EMAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
@@ -24,7 +25,7 @@ ORGANIZATION_STOP = r"\b(THE|AND|OF|FOR|PRIVATE|LIMITED|LTD|PVT|INC|LLC|CORPORAT
 
 def _some(text: Column, needs: str, pattern: str, group: int = 0, ignore_case: bool = True) -> Column:
     """find_all() of texts that hold what every match needs; most texts are left after that plain search."""
-    return F.when(text.rlike(needs), find_all(text, pattern, group, ignore_case)).otherwise(empty_strings())
+    return F.when(text.rlike(java(needs)), find_all(text, pattern, group, ignore_case)).otherwise(empty_strings())
 
 
 def emails(text: Column) -> Column:
@@ -34,7 +35,7 @@ def emails(text: Column) -> Column:
 
 def phones(text: Column) -> Column:
     """Numbers of 8 to 15 digits."""
-    found = F.transform(_some(text, r"\d{3}", PHONE, 0, False), squeeze)
+    found = F.transform(_some(text, r"\d{3}[\s\-.]?\d{4}", PHONE, 0, False), squeeze)
     return unique_ci(F.filter(found, lambda p: F.regexp_count(p, F.lit("[0-9]")).between(8, 15)))
 
 
@@ -185,16 +186,21 @@ KINDS = {
 }
 
 
-def entity_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, kind, pos, value): a row for each entity of each document."""
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), f(F.col(text_col)).alias("v")) for k, f in KINDS.items()])
+def entity_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """(id_col, kind, pos, value): a row for each entity of each document, of the kinds that are wanted; others are not looked for."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), KINDS[k](F.col(text_col)).alias("v")) for k in kinds])
     return df.select(id_col, F.explode(each).alias("e")).select(id_col, "e.kind", F.posexplode("e.v").alias("pos", "value"))
 
 
 def entity_stats(entities: DataFrame, top: int = 3) -> DataFrame:
-    """(kind, n, n_docs, n_values, top_values): counts, and the most frequent values of each kind, ties in value order."""
-    counts = entities.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("value").alias("n_values"))
-    ranked = entities.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    """(kind, n, n_docs, n_values, top_values): counts, and the most frequent values of each kind, ties in value order.
+
+    Entities are written to the shared folder first, as documents and values are counted apart and texts are searched once.
+    """
+    rows = keep(entities.select("kind", "doc_id", "value"), "entities")
+    ranked = rows.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    docs = rows.groupBy("kind").agg(F.countDistinct("doc_id").alias("n_docs"))
+    counts = ranked.groupBy("kind").agg(F.sum("n").alias("n"), F.count("value").alias("n_values")).join(docs, "kind").select("kind", "n", "n_docs", "n_values")
     # The best of each partition first, so that a kind with a third of all values does not meet whole in one task.
     best = ranked.withColumn("part", F.pmod(F.hash("value"), F.lit(64)))
     for keys in (("kind", "part"), ("kind",)):

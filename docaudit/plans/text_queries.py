@@ -190,7 +190,7 @@ _TEXTS = f"SELECT doc_id, text FROM ({MIX}) UNION ALL SELECT -1 - doc_id, coales
 )
 def entity_counts(spark, sf_dir):
     docs = co.read_table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
-    rows = en.entity_table(co.planted_mix(spark, sf_dir).select("doc_id", "text").unionByName(docs)).filter("kind <> 'date'")
+    rows = en.entity_table(co.planted_mix(spark, sf_dir).select("doc_id", "text").unionByName(docs), kinds=tuple(_ENTITY))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -203,7 +203,7 @@ def entity_counts(spark, sf_dir):
 )
 def entity_stats(spark, sf_dir):
     docs = co.read_table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
-    rows = en.entity_table(co.planted_mix(spark, sf_dir).select("doc_id", "text").unionByName(docs)).filter("kind <> 'date'")
+    rows = en.entity_table(co.planted_mix(spark, sf_dir).select("doc_id", "text").unionByName(docs), kinds=tuple(_ENTITY))
     return en.entity_stats(rows.withColumn("value", F.upper("value")))
 
 

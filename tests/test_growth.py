@@ -109,3 +109,15 @@ def test_all_parts_that_a_pattern_needs(pattern, needs):
 @pytest.mark.parametrize("pattern, halves", [(r"\b(?:REF|NO\.?)x", 1), (r"(A|B)\b", 1), (r"\b(?:a|-)b", 0), (r"(?:a|b?)\b", 0), (r"[A-Z]{2,}\b", 1), (r"\b(?:ab)?-", 0)])
 def test_boundaries_at_groups_of_words(pattern, halves):
     assert (BOUNDARY not in java(pattern)) == bool(halves)
+
+
+def test_entities_are_searched_once_and_only_as_asked(spark):
+    from docaudit.functions import entities as en
+
+    df = spark.createDataFrame([(1, "a@b.example 12/03/2020, tel 0123 456789"), (2, "A@B.example, 020 7946 0018 at 01/02/2021"), (3, None)], "doc_id long, text string")
+    rows = en.entity_table(df, kinds=("email", "phone"))
+    assert "date" not in {r.kind for r in rows.collect()}
+    out = en.entity_stats(rows.withColumn("value", F.upper("value")))
+    assert not any(x in _plan(out).lower() for x in ("regexp", "rlike"))
+    got = {r.kind: (r.n, r.n_docs, r.n_values, r.top_values) for r in out.collect()}
+    assert got == {"email": (2, 2, 1, "A@B.EXAMPLE"), "phone": (2, 2, 2, "0123 456789, 020 7946 0018")}
