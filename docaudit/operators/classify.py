@@ -52,9 +52,9 @@ def keyword_scores(text: Column, type_: str, upper: Column | None = None) -> Col
     return let(hits, lambda h: _score(type_, _total(h), _signals(h), _texts(h)))
 
 
-def keyword_scores_long(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, type, score, labels, signals, match_count) for each document and type with rules."""
-    each = F.array(*[keyword_scores(F.col("_t"), t, F.col("_u")) for t in RULES])
+def keyword_scores_long(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", types: tuple[str, ...] = tuple(RULES)) -> DataFrame:
+    """(id_col, type, score, labels, signals, match_count) for each document and each of types; the rules of others are not tried."""
+    each = F.array(*[keyword_scores(F.col("_t"), t, F.col("_u")) for t in types])
     out = _cased(df, text_col).select(id_col, F.explode(each).alias("s"))
     return out.select(id_col, "s.type", "s.score", F.transform("s.reasons", lambda r: r["message"]).alias("labels"), "s.signals", F.size("s.reasons").alias("match_count"))
 

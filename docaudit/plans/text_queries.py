@@ -341,7 +341,7 @@ def keyword_scores(spark, sf_dir):
     f"SELECT type, count(*) FILTER (WHERE score >= 35) AS fits, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{t}{chr(39)} AS type, {_duck_keyword(t)[0]} AS score FROM documents' for t in ('SECURITY_CLEARANCE', 'SECURITY_PROGRAMME', 'AUTHORITY_LETTER'))}) GROUP BY type",
 )
 def keyword_fits(spark, sf_dir):
-    rows = cl.keyword_scores_long(co.read_corpus(spark, sf_dir)).filter(F.col("type").isin("SECURITY_CLEARANCE", "SECURITY_PROGRAMME", "AUTHORITY_LETTER"))
+    rows = cl.keyword_scores_long(co.read_corpus(spark, sf_dir), types=("SECURITY_CLEARANCE", "SECURITY_PROGRAMME", "AUTHORITY_LETTER"))
     return rows.groupBy("type").agg(F.sum((F.col("score") >= 35).cast("int")).alias("fits"), F.count("*").alias("n"))
 
 

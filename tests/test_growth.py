@@ -121,3 +121,9 @@ def test_entities_are_searched_once_and_only_as_asked(spark):
     assert not any(x in _plan(out).lower() for x in ("regexp", "rlike"))
     got = {r.kind: (r.n, r.n_docs, r.n_values, r.top_values) for r in out.collect()}
     assert got == {"email": (2, 2, 1, "A@B.EXAMPLE"), "phone": (2, 2, 2, "0123 456789, 020 7946 0018")}
+
+
+def test_keyword_scores_of_the_types_asked(spark):
+    df = spark.createDataFrame([(1, "SECURITY CLEARANCE")], "doc_id long, text string")
+    out = cl.keyword_scores_long(df, types=("SECURITY_CLEARANCE",))
+    assert [r.type for r in out.collect()] == ["SECURITY_CLEARANCE"] and "PASSPORT" not in _plan(out)
