@@ -25,9 +25,14 @@ def read_stream(spark: SparkSession, path: str, schema: str = DOCUMENTS, files:
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def _dealt(stream: DataFrame) -> DataFrame:
+    """The rows of a stream, dealt out by id: a file of one row group, however large, would come as one task."""
+    return stream.repartition(stream.sparkSession.sparkContext.defaultParallelism, "doc_id") if stream.isStreaming else stream
+
+
 def audit_stream(stream: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Gate and classification of each row (doc_id, requested_type, text, ocr_confidence); no state, so batch and stream agree."""
-    out = classify(ocr_gate(stream, settings), settings)
+    out = classify(ocr_gate(_dealt(stream), settings), settings)
     return out.select("doc_id", "requested_type", "gate_passed", F.when(F.col("gate_passed"), F.col("document_type")).alias("document_type"), F.when(F.col("gate_passed"), F.col("classification_confidence")).alias("classification_confidence"))
 
 
@@ -53,7 +58,7 @@ def audit_sink(stream: DataFrame, path: str, checkpoint: str, settings: Settings
     It starts where its checkpoint ends. read_sink() gives the rows; sources.corpus.summarize_results() counts them.
     """
     each = _into(path, lambda batch: audit_documents(batch, settings, types=types))
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return _dealt(stream).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
 def funnel_sink(log: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", width: str = "5 minutes") -> DataStreamWriter:

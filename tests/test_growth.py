@@ -127,3 +127,14 @@ def test_keyword_scores_of_the_types_asked(spark):
     df = spark.createDataFrame([(1, "SECURITY CLEARANCE")], "doc_id long, text string")
     out = cl.keyword_scores_long(df, types=("SECURITY_CLEARANCE",))
     assert [r.type for r in out.collect()] == ["SECURITY_CLEARANCE"] and "PASSPORT" not in _plan(out)
+
+
+def test_a_stream_of_one_file_is_dealt_out(spark, tmp_path):
+    from docaudit.streaming import streams
+
+    spark.range(200).selectExpr("id AS doc_id", "'INCOME TAX DEPARTMENT' AS text", "'PAN' AS requested_type", "80 AS ocr_confidence").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = streams.read_stream(spark, f"{tmp_path}/in", "doc_id long, text string, requested_type string, ocr_confidence int")
+    out = streams.audit_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 200
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
