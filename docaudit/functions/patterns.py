@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 #: White space beyond what Java's \s has.
 MORE_SPACE = r"\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-#: Runs of what is no white space; ASCII signs, nearly all of them, are taken run by run.
-NON_SPACES = rf"(?:[!-~]++|[^\s{MORE_SPACE}])++"
+#: White space, and what is none. Printable ASCII, nearly all signs, is told by its range alone, as Java asks the members of a class one by one.
+SPACE, NON_SPACE = rf"[[^!-~]&&[\s[{MORE_SPACE}]]]", rf"[!-~[^\s{MORE_SPACE}]]"
+_SPACE_IN_CLASS = rf"\s[[^\x00-\x7F]&&[{MORE_SPACE}]]"
+NON_SPACES = NON_SPACE + "++"
 #: A boundary of ASCII words; Java's own also counts letters beyond ASCII.
 BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 #: What is a word's sign for certain: before or after it, half of a boundary is enough, which goes several times faster.
@@ -63,9 +65,9 @@ def java(pattern: str, ignore_case: bool = False) -> str:
         if two == r"\b" and not in_class:
             out.append(r"(?<!\w)" if _before_word(pattern[i + 2 :]) else r"(?!\w)" if _after_word(pattern[:i]) else BOUNDARY)
         elif two == r"\s":
-            out.append(rf"\s{MORE_SPACE}" if in_class else rf"[\s{MORE_SPACE}]")
+            out.append(_SPACE_IN_CLASS if in_class else SPACE)
         elif two == r"\S" and not in_class:
-            out.append(rf"[^\s{MORE_SPACE}]")
+            out.append(NON_SPACE)
         elif two[0] == "\\":
             out.append(two)
         elif two[0] == "$" and not in_class:
@@ -154,7 +156,7 @@ def replace(text: Column, pattern: str, by: str, ignore_case: bool = False) -> C
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[\s{MORE_SPACE}]++|(?<![\s{MORE_SPACE}])[\s{MORE_SPACE}]++\z", "")
+    return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def squeeze(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
-from docaudit.functions.patterns import MORE_SPACE, NON_SPACES, REASONS, compact, has, reason, replace, trim
+from docaudit.functions.patterns import NON_SPACE, NON_SPACES, REASONS, compact, has, reason, replace, trim
 
 # Cues; each has a pattern, and case is ignored.
 CUES = {
@@ -34,7 +34,7 @@ def _text(col: str = "text") -> Column:
 
 def n_lines(text: Column) -> Column:
     """Lines with more than white space: one match each, from the first sign on."""
-    return F.regexp_count(text, F.lit(rf"(?:[!-~]|[^\s{MORE_SPACE}])[^\n]*+"))
+    return F.regexp_count(text, F.lit(rf"{NON_SPACE}[^\n]*+"))
 
 
 def _signs(t: Column) -> dict[str, Column]:
@@ -91,9 +91,7 @@ READABLE = r"SECURITY|PROGRAMME|PROGRAM|CLEARANCE|CERTIFICATE|COMPANY|AUTHORITY|
 
 
 #: Tokens of three signs or more, and tokens from four letters in a row on: one match each.
-_SIGN, _REST = rf"(?:[!-~]|[^\s{MORE_SPACE}])", rf"(?:[!-~]++|[^\s{MORE_SPACE}])*+"
-WIDE_TOKEN = rf"(?:[!-~]{{3,}}+|{_SIGN}{{3}}){_REST}"
-LONG_TOKEN = rf"[A-Za-z]{{4}}{_REST}"
+WIDE_TOKEN, LONG_TOKEN = f"{NON_SPACE}{{3}}{NON_SPACE}*+", f"[A-Za-z]{{4}}{NON_SPACE}*+"
 
 
 def _without(text: Column, signs: str) -> Column:

@@ -138,3 +138,16 @@ def test_a_stream_of_one_file_is_dealt_out(spark, tmp_path):
     out.trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 200
     assert len(list((tmp_path / "out").glob("part-*"))) > 1
+
+
+def test_spaces_are_told_from_printable_signs_by_their_range(spark):
+    """The classes of white space, alone, negated and among others, hold what they held, and ask for the range of printable signs first."""
+    from docaudit.functions.patterns import MORE_SPACE
+
+    assert java(r"\s").startswith("[[^!-~]&&") and java(r"\S").startswith("[!-~[")
+    signs = [chr(k) for k in (*range(1, 0x250), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), 0xFEFF, 0xFF21, 0x1F600)]
+    plain = {r"\s": rf"[\s{MORE_SPACE}]", r"\S": rf"[^\s{MORE_SPACE}]", r"[\d\s.]": rf"[\d\s{MORE_SPACE}.]", r"[^A\s\-]": rf"[^A\s{MORE_SPACE}\-]"}
+    df = spark.createDataFrame([(x,) for x in signs], "x string")
+    for pattern, same in plain.items():
+        for fold in ("", "(?i)"):
+            assert df.filter(F.col("x").rlike(fold + java(pattern)) != F.col("x").rlike(fold + same)).count() == 0, pattern
