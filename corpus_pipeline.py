@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import op2_quality_classifier, op3_byte_bpe, op5_line_dedup, op6_decontaminate, op9_ngram_jaccard
-from docaudit.llm.common import WORD, Workspace, key128, read
-from docaudit.llm.components import components
+from docaudit.llm.common import Workspace, read
 
 #: A part of the driver's contract; not expressible in SQL, as the first stage learns a model.
 ORACLE_SQL = None
@@ -30,18 +29,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and all documents without an id.
 
-    Sets are built from the texts of the documents table, as they were before line dedup, which leaves other parts of copies
-    that share lines with others; documents whose texts have become equal are copies as well. That with most text left is
-    kept, as of a shared line only one document still has it; of equals that with the smallest id.
+    Documents are near copies if their texts are as line dedup left them, or were in the documents table: it leaves other
+    parts of copies that share lines with others. What the join over the texts before has linked, that over the texts as
+    they are now does not compare again. That with most text left is kept, as of a shared line only one document still
+    has it; of equals that with the smallest id.
     """
     ws = Workspace(spark, "groups")
     first = read(spark, sf_dir, "documents").select("doc_id", "text").join(docs.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    near = op9_ngram_jaccard.jaccard_components(first).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD)).select("doc_id", *[k.alias(f"k{i}") for i, k in enumerate(key128(F.col("text")))])
-    keyed = ws.keep(keyed, "keys")
-    least = keyed.groupBy("k0", "k1").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    equal = keyed.join(ws.keep(least, "equal"), ["k0", "k1"]).select(F.col("doc_id").alias("a"), "b")
-    groups = components(ws, near.unionByName(equal), "groups")
+    before = op9_ngram_jaccard.jaccard_components(first).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    near = op9_ngram_jaccard.jaccard_components(docs.select("doc_id", "text"), known=before)
+    groups = near.select(F.col("doc_id").alias("id"), F.col("component_id").alias("comp"))
     sized = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("size"))
     sized = sized.join(groups, sized["doc_id"] == groups["id"], "left").withColumn("grp", F.coalesce("comp", "doc_id"))
     best = sized.groupBy("grp").agg(F.max(F.struct(F.col("size"), -F.col("doc_id"))).alias("b")).select((-F.col("b.col2")).alias("doc_id"))

@@ -22,6 +22,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return below.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each node is tied to one node below that is itself tied to none below; e has u > v and each edge once."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0").isEmpty()
+
+
 def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     """(id, comp) of each node that is not the smallest of its component, from links (a, b); self-links and nulls count for nothing.
 
@@ -29,11 +35,9 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     rounds grow with the logarithm of the longest chain.
     """
     edges = ws.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    before, k = None, 0
-    while True:
-        sums = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums[0] == 0 or sums == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-        before, k = sums, k + 1
+    k = 0
+    while not _are_stars(edges):
+        k += 1
         edges = ws.keep(_small_star(_large_star(edges)), f"{name}-{k}")
         ws.drop(f"{name}-{k - 1}")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))

@@ -112,10 +112,14 @@ def _verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).filter("7 * o >= 3 * (na + nb)").select("a", "b")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The tokens that two components hold."""
+    return rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+
+
 def _contested(rows: DataFrame) -> DataFrame:
     """The rows of tokens that two components hold; a token that one holds alone stays so."""
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    return rows.join(mixed, "token")
+    return rows.join(_mixed(rows), "token")
 
 
 def _with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,11 +167,12 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, known: DataFrame | None = None) -> DataFrame:
     """One row for each distinct non-null id: id_col, n_shingles, component_id (smallest id reachable by links).
 
     A text of fewer than `size` words is one shingle; null, empty and blank texts have none and link with nothing. Of rows
-    that repeat an id, that with the greatest text counts. An empty table gives an empty result.
+    that repeat an id, that with the greatest text counts. An empty table gives an empty result. Links known (a, b) hold
+    beside those of the texts, also for ids without words or a row; what they already tie together is not compared.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "jaccard")
@@ -176,8 +181,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     base = ws.keep(docs.mapInArrow(_regions(size), f"id {kind}, n int, c1 long, c2 long, region array<long>"), "base")
     reps = base.filter("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    tokens = base.select("id", "n", F.explode("region").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+    labels: DataFrame | None = None
+    if known is None:
+        tokens = base.select("id", "n", F.explode("region").alias("token"))
+        shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+    else:
+        reps = ws.keep(reps, "reps")
+        equal = base.filter("n > 0").select("id", "c1", "c2").join(reps, ["c1", "c2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        labels = components(ws, known.select("a", "b").unionByName(equal), "labels-known")
+        # Linked documents of different components share region tokens that two components hold.
+        tokens = _with_component(base.select("id", "n", "region"), labels).select("id", "n", "comp", F.explode("region").alias("token"))
+        shared, tokens = _mixed(tokens), tokens.drop("comp")
     held = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("id", "n").agg(F.count("*").alias("k"))
     least = 1 + F.floor(F.ceil(0.75 * F.col("n")) / 8)
     alive = ws.keep(held.filter(F.col("k") >= least).join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id"), "alive")
@@ -191,8 +205,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = ws.keep(prefixes.select("id", "n", F.col("x.token").alias("token"), (F.col("alone") + F.col("k") + 1).alias("pos")), "prefixes")
 
     # Rows of tokens that are still contested, with their components: written, as each round reads them several times.
-    rows = ws.keep(_contested(prefixes.withColumn("comp", F.col("id"))), "rows-0")
-    labels: DataFrame | None = None
+    start = prefixes.withColumn("comp", F.col("id"))
+    rows = ws.keep(_contested(start if labels is None else _with_component(start, labels)), "rows-0")
     before, size_of, done = None, prefixes.count(), 0
     ws.drop("prefixes", "alive")
 
@@ -217,6 +231,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = reps.join(labels, reps["rep"] == labels["id"], "left").select("c1", "c2", F.coalesce("comp", "rep").alias("component_id"))
     # Written, so that the join can be split where one text has very many copies.
     out = base.select("id", "n", "c1", "c2").join(ws.keep(named, "named"), ["c1", "c2"], "left")
+    if known is not None:
+        out = out.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "comp"))
     out = out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return ws.only(out, "classes")
 

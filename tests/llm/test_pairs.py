@@ -65,6 +65,19 @@ def test_jaccard_of_empty_and_repeated(spark):
     assert near.jaccard_components(docs.unionByName(docs)).count() == 3
 
 
+def test_classes_with_known_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = {1: "another text", 2: " ".join(words), 3: " ".join(words[:-1]), 4: " ".join(words), 5: None, 6: "", 8: " ".join(reversed(words)), 9: "x y z"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    known = spark.createDataFrame([(4, 1), (6, 5), (9, 7), (7, 0), (8, 8)], "a long, b long")
+    classes = lambda **given: {r.doc_id: (r.n_shingles, r.component_id) for r in near.jaccard_components(df, **given).collect()}
+    alone, tied = classes(), classes(known=known)
+    assert {k: c for k, (_, c) in alone.items()} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6, 8: 8, 9: 9}
+    assert {k: c for k, (_, c) in tied.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 8: 8, 9: 0}
+    assert {k: n for k, (n, _) in alone.items()} == {k: n for k, (n, _) in tied.items()}
+    assert classes(known=known.filter("false")) == alone
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(5, 5), (None, 3)], "a long, b long")
     got = components(Workspace(spark, "test"), links, "c").collect()

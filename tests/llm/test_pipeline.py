@@ -36,3 +36,18 @@ def test_near_copies_are_found_as_they_were_before_lines_went(spark, tmp_path):
     left = corpus_pipeline.drop_repeated_lines(spark, documents_, str(tmp_path))
     kept = {r.doc_id: r.text for r in corpus_pipeline.keep_one_of_near_copies(spark, left, str(tmp_path)).collect()}
     assert sorted(kept) == [1, 8, 9] and kept[8] == copies[8]
+
+
+def test_near_copies_that_line_dedup_makes_are_found(spark, tmp_path):
+    """Two texts that differ in one word, each under lines of others: alike, not equal, and only once those lines are gone."""
+    own = " ".join(f"own{k}" for k in range(60))
+    heads = ["\n".join(f"head {h} line {k} with some words that only head {h} has in line {k}" for k in range(12)) for h in "pq"]
+    rest = {k: " ".join(f"text{k}word{n}" for n in range(400)) for k in (21, 22, 31, 32)}
+    texts = {2: f"{heads[0]}\n{own} end", 4: f"{heads[1]}\n{own} ending", 7: f"{own.replace('own', 'other')} end"} | {k: f"{heads[k > 30]}\n{t}" for k, t in rest.items()}
+    documents_ = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    documents_.write.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus_pipeline.drop_repeated_lines(spark, documents_, str(tmp_path))
+    kept = {r.doc_id: r.text for r in corpus_pipeline.keep_one_of_near_copies(spark, left, str(tmp_path)).collect()}
+    assert sorted(kept) == [4, 7, 21, 22, 31, 32] and kept[4] == f"{own} ending"
+    # The join alone, over the texts before, does not link them: that is the work of line dedup.
+    assert len(corpus_pipeline.keep_one_of_near_copies(spark, documents_, str(tmp_path)).collect()) == len(texts)
