@@ -230,29 +230,44 @@ def type_scores_long(df: DataFrame, id_col: str = "doc_id", settings: Settings =
     return out.select(id_col, "item.type", "item.score", (F.col("pos") + 1).alias("rank"))
 
 
+def _verdict(asked: Column, wanted: Column, best: Column, s: Settings) -> dict[str, Column]:
+    """How the score of the type asked for stands beside the best one: enough signals, a better type, a mismatch, refused outright, and whether it fits."""
+    score = wanted["score"]
+    enough = (F.size(F.filter(F.array_distinct(wanted["signals"]), lambda x: x != "wrongDocType")) >= s.min_signals) | (score >= s.decisive_score)
+    fits = (score >= s.type_fit) & enough
+    other = (best["type"] != asked) & (best["score"] >= s.type_fit)
+    mismatch = fits & other & (best["score"] >= score + s.mismatch_margin)
+    wrong = F.array_contains(wanted["signals"], "wrongDocType")
+    return {"enough": enough, "other": other, "mismatch": mismatch, "wrong": wrong, "fits": fits & ~mismatch & ~wrong}
+
+
+def _score_of(asked: Column) -> Column:
+    """The score of a type among type_scores, null without one."""
+    return F.get(F.filter("type_scores", lambda x: x["type"] == asked), F.lit(0))
+
+
 def classify(df: DataFrame, settings: Settings = DEFAULT, more: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """df (with requested_type) with type_scores, classified, document_type, classification_confidence, class_reasons, signals, best_type.
 
     An unknown requested type scores 0 and never fits. more: further types, as for score_types().
     """
+    return judge_type(score_types(df, settings, more=more), settings, tuple(more or {}))
+
+
+def judge_type(out: DataFrame, settings: Settings = DEFAULT, more: tuple[str, ...] = ()) -> DataFrame:
+    """classify() of rows that have type_scores; more: names of further types."""
     s = settings
-    out = score_types(df, settings, more=more)
     none = F.struct(F.col("requested_type").alias("type"), F.lit(99).alias("position"), F.lit(0).alias("score"), empty_strings().alias("signals"), F.array().cast(REASONS).alias("reasons")).cast(SCORE)
-    wanted = F.coalesce(F.get(F.filter("type_scores", lambda x: x["type"] == F.col("requested_type")), F.lit(0)), none)
-    out = out.withColumn("_r", wanted).withColumn("_b", F.get("type_scores", F.lit(0)))
+    out = out.withColumn("_r", F.coalesce(_score_of(F.col("requested_type")), none)).withColumn("_b", F.get("type_scores", F.lit(0)))
     score, best = F.col("_r.score"), F.col("_b.score")
-    distinct = F.size(F.filter(F.array_distinct("_r.signals"), lambda x: x != "wrongDocType"))
-    enough = (distinct >= s.min_signals) | (score >= s.decisive_score)
-    fits = (score >= s.type_fit) & enough
-    other = (F.col("_b.type") != F.col("requested_type")) & (best >= s.type_fit)
-    mismatch = fits & other & (best >= score + s.mismatch_margin)
-    wrong = F.array_contains("_r.signals", "wrongDocType")
-    out = out.withColumn("classified", fits & ~mismatch & ~wrong)
+    v = _verdict(F.col("requested_type"), F.col("_r"), F.col("_b"), s)
+    enough, other, mismatch, wrong = (v[k] for k in ("enough", "other", "mismatch", "wrong"))
+    out = out.withColumn("classified", v["fits"])
     failed = ~F.col("classified")
     # What was said before decides whether the threshold is mentioned as well.
     said = F.exists("_r.reasons", lambda r: has(r["message"], r"below threshold|mismatch|rejected|INSUFFICIENT|LAYOUT|WRONG")) | ((score >= s.type_fit) & ~enough) | mismatch
-    names = [*[t[0] for t in TYPES], *(more or {})]
-    more = compact(
+    names = [*[t[0] for t in TYPES], *more]
+    said_more = compact(
         reason("INSUFFICIENT_SIGNALS", f"Classification rejected: fewer than {s.min_signals} independent signals (avoid single-keyword guess)", STAGE, (score >= s.type_fit) & ~enough),
         reason("LAYOUT_MISMATCH", F.format_string("Document type mismatch: stronger match for %s (score %d) than requested %s (%d)", F.col("_b.type"), best, F.col("requested_type"), score), STAGE, mismatch),
         reason("WRONG_DOC_TYPE", "Hard negative signals indicate a different document type", STAGE, wrong),
@@ -264,7 +279,7 @@ def classify(df: DataFrame, settings: Settings = DEFAULT, more: dict[str, tuple[
         {
             "document_type": F.when(F.col("classified") & F.col("requested_type").isin(names), F.col("requested_type")).otherwise("UNKNOWN"),
             "classification_confidence": score,
-            "class_reasons": F.concat("_r.reasons", more.cast(REASONS)),
+            "class_reasons": F.concat("_r.reasons", said_more.cast(REASONS)),
             "signals": F.col("_r.signals"),
             "best_type": F.col("_b.type"),
         }
@@ -302,6 +317,19 @@ def top_reasons(df: DataFrame, id_col: str = "doc_id", most: int = 5) -> DataFra
 TRIES, SETTLED = ("PASSPORT", "PAN", "AADHAAR", "CIN"), 50
 
 
+def _settle(a: Column) -> Column:
+    """struct<x, tried>: the attempt that is taken of an array of them (try_pos, type, status, confidence) in their order, and how many were made."""
+    done = lambda x: x["status"] == "completed"
+
+    def taken(t: Column) -> Column:
+        first = F.get(t, F.lit(0))
+        best = F.array_max(F.transform(F.filter(t, lambda x: done(x) & (x["confidence"] >= first["confidence"])), lambda x: F.struct(x["confidence"].alias("c"), x["try_pos"].alias("t"), x.alias("x"))))
+        return F.struct(F.coalesce(best["x"], first).alias("x"), F.size(t).alias("tried"))
+
+    stop = F.filter(F.transform(a, lambda x, i: F.when(done(x) & (x["confidence"] >= SETTLED), i + 1)), lambda x: x.isNotNull())
+    return let(F.slice(a, F.lit(1), F.coalesce(F.get(stop, F.lit(0)), F.size(a))), taken)
+
+
 def resolve_unknown_type(attempts: DataFrame) -> DataFrame:
     """(doc_id, type, status, confidence, tried) chosen from attempts (doc_id, try_pos, type, status, confidence) in their order.
 
@@ -311,9 +339,18 @@ def resolve_unknown_type(attempts: DataFrame) -> DataFrame:
     """
     said = F.struct("try_pos", "type", "status", F.coalesce("confidence", F.lit(0)).alias("confidence"))
     rows = attempts.groupBy("doc_id").agg(F.array_sort(F.collect_list(said)).alias("a"))
-    done = lambda x: x["status"] == "completed"
-    stop = F.filter(F.transform("a", lambda x, i: F.when(done(x) & (x["confidence"] >= SETTLED), i + 1)), lambda x: x.isNotNull())
-    rows = rows.withColumn("t", F.slice("a", F.lit(1), F.coalesce(F.get(stop, F.lit(0)), F.size("a"))))
-    first = F.get("t", F.lit(0))
-    best = F.array_max(F.transform(F.filter("t", lambda x: done(x) & (x["confidence"] >= first["confidence"])), lambda x: F.struct(x["confidence"].alias("c"), x["try_pos"].alias("t"), x.alias("x"))))
-    return rows.withColumn("x", F.coalesce(best["x"], first)).select("doc_id", "x.type", "x.status", "x.confidence", F.size("t").alias("tried"))
+    return rows.withColumn("s", _settle(F.col("a"))).select("doc_id", "s.x.type", "s.x.status", "s.x.confidence", "s.tried")
+
+
+def try_types(df: DataFrame, readable: Column, tries: tuple[str, ...] = TRIES, settings: Settings = DEFAULT) -> DataFrame:
+    """df (with type_scores) with requested_type, the type that resolve_unknown_type() takes when a row is tried as one type after the other, and tried. No shuffle.
+
+    An attempt completes where the row is readable and fits the type; one that is not readable has no confidence.
+    """
+
+    def attempt(k: int, t: str) -> Column:
+        fits = let(_score_of(F.lit(t)), lambda r: _verdict(F.lit(t), r, F.get("type_scores", F.lit(0)), settings)["fits"])
+        return F.struct(F.lit(k).alias("try_pos"), F.lit(t).alias("type"), F.when(readable & fits, "completed").otherwise("stopped").alias("status"), F.coalesce(F.when(readable, _score_of(F.lit(t))["score"]), F.lit(0)).alias("confidence"))
+
+    out = df.withColumn("_a", F.array(*[attempt(k, t) for k, t in enumerate(tries)])).withColumn("_s", _settle(F.col("_a")))
+    return out.withColumns({"requested_type": F.col("_s.x.type"), "tried": F.col("_s.tried")}).drop("_a", "_s")

@@ -22,22 +22,22 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def stopped_results(df: DataFrame, stage: str, reasons: str) -> DataFrame:
-    """Rows that a gate turned back: nothing later is known, the first reason is why, and warnings gather what was said."""
+def stopped_results(df: DataFrame, stage: str, reasons: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that a gate turned back: nothing later is known, the first reason is why, and warnings gather what was said. also: further columns of df."""
     said = F.transform(F.col(reasons), lambda r: r["message"])
     typed = F.lit(None).cast("string") if stage == "ocr" else F.lit("UNKNOWN")
     conf = F.col("classification_confidence") if "classification_confidence" in df.columns else _null("int")
     return df.select(
         "doc_id", "requested_type", F.lit("stopped").alias("status"), F.lit(stage).alias("stage"), F.coalesce(F.get(said, F.lit(0)), F.lit("Processing stopped")).alias("stop_reason"),
         F.col(reasons).cast(REASONS).alias("reasons"), typed.alias("document_type"), F.col("ocr_confidence").cast("int").alias("ocr_confidence"), conf.alias("classification_confidence"), F.lit(0).alias("extraction_confidence"),
-        F.array_distinct(F.concat("gate_warnings", said)).alias("warnings"), _null("map<string,string>").alias("fields"), _null("map<string,array<string>>").alias("lists"), _null("boolean").alias("validation_passed"), _null("int").alias("risk_score"), _null(DECISION).alias("risk_assessment"), _null(MIRROR).alias("authenticity"), _null(REASONS).alias("risk_reasoning"), F.lit(False).alias("overall_passed"),
+        F.array_distinct(F.concat("gate_warnings", said)).alias("warnings"), _null("map<string,string>").alias("fields"), _null("map<string,array<string>>").alias("lists"), _null("boolean").alias("validation_passed"), _null("int").alias("risk_score"), _null(DECISION).alias("risk_assessment"), _null(MIRROR).alias("authenticity"), _null(REASONS).alias("risk_reasoning"), F.lit(False).alias("overall_passed"), *also,
     )
 
 
-def completed_results(df: DataFrame) -> DataFrame:
+def completed_results(df: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Rows that came through: of types that are only extracted there is no risk, and validation decides (null where there is none).
 
-    Verified types have the risk block: the decision, its older mirror and what was said; soft signs are warnings.
+    Verified types have the risk block: the decision, its older mirror and what was said; soft signs are warnings. also: further columns of df.
     """
     judged = "risk_score" in df.columns
     risk = F.col("risk_score") if judged else _null("int")
@@ -47,7 +47,7 @@ def completed_results(df: DataFrame) -> DataFrame:
     return df.select(
         "doc_id", "requested_type", F.lit("completed").alias("status"), F.lit("completed").alias("stage"), _null("string").alias("stop_reason"),
         F.concat("class_reasons", "extraction_reasons", "validation.reasons").cast(REASONS).alias("reasons"), F.col("document_type"), F.col("ocr_confidence").cast("int").alias("ocr_confidence"), F.col("classification_confidence"), F.col("extraction_confidence"),
-        warnings.alias("warnings"), F.col("fields"), F.col("lists"), F.when(~F.col("validation_skipped"), F.col("validation.passed")).alias("validation_passed"), risk.alias("risk_score"), *block, overall.alias("overall_passed"),
+        warnings.alias("warnings"), F.col("fields"), F.col("lists"), F.when(~F.col("validation_skipped"), F.col("validation.passed")).alias("validation_passed"), risk.alias("risk_score"), *block, overall.alias("overall_passed"), *also,
     )
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.config import DEFAULT, Settings
 from docaudit.functions.names import word_map
 from docaudit.functions.text import cues, n_lines, ocr_gate
-from docaudit.operators.classify import SETTLED, TRIES, classify, resolve_unknown_type
+from docaudit.operators.classify import TRIES, classify, judge_type, score_types, try_types
 from docaudit.operators.detectors import run_detectors, word_stats
 from docaudit.operators.extract import extract, long_fields, validate
 from docaudit.operators.raster import visual_flags
@@ -48,39 +46,49 @@ def audit_documents(df: DataFrame, settings: Settings = DEFAULT, blur_col: str |
     the gate, the classification and the detectors use. words: (doc_id, text, confidence, y0, y1) of what was read; how it was
     read counts for names and for the font detector. Tables stored by store_by_document() are joined without a shuffle.
     """
+    rows, blur_col = _with_images_and_words(df, blur_col, images, words)
+    return _results(classify(_gated(rows, settings, blur_col), settings), settings, types, bag)
+
+
+def _with_images_and_words(df: DataFrame, blur_col: str | None, images: DataFrame | None, words: DataFrame | None) -> tuple[DataFrame, str | None]:
+    """df with what is known of its images and words, and the column of the blur."""
     if images is not None:
         stats = visual_flags(images)
         df = df.join(stats.select("doc_id", *[c for c in stats.columns if c not in df.columns]), "doc_id", "left")
         blur_col = blur_col or "blur"
     if words is not None:
         df = df.join(word_stats(words), "doc_id", "left").join(word_map(words), "doc_id", "left")
-    rows = ocr_gate(df, settings, blur_col=blur_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = classify(rows, settings).drop("type_scores", "signals", "best_type")
+    return df, blur_col
+
+
+def _gated(df: DataFrame, settings: Settings, blur_col: str | None) -> DataFrame:
+    return ocr_gate(df, settings, blur_col=blur_col).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _results(rows: DataFrame, settings: Settings, types: tuple[str, ...], bag: bool, also: tuple[str, ...] = ()) -> DataFrame:
+    """Result rows of gated and classified ones, with further columns of theirs."""
+    rows = rows.drop("type_scores", "signals", "best_type")
     fits = F.col("classified") & F.col("requested_type").isin(*types)
     known = keep(rows.withColumn("branch", F.when(~F.col("gate_passed"), "ocr").when(fits, F.col("requested_type")).otherwise("classification")), "classified", "branch")
-    out = stopped_results(known.filter("branch = 'ocr'").drop("classification_confidence"), "ocr", "gate_reasons")
-    out = out.unionByName(stopped_results(known.filter("branch = 'classification'"), "classification", "class_reasons"))
+    out = stopped_results(known.filter("branch = 'ocr'").drop("classification_confidence"), "ocr", "gate_reasons", also)
+    out = out.unionByName(stopped_results(known.filter("branch = 'classification'"), "classification", "class_reasons", also))
     for t in types:
         done = validate(extract(known.filter(F.col("branch") == t), t, settings, bag), t, settings)
         if t in VERIFIED:
             done = verified(keep(done, f"extracted-{t}"), t, settings)
-        out = out.unionByName(completed_results(long_fields(done, t)))
+        out = out.unionByName(completed_results(long_fields(done, t), also))
     return out
 
 
-def audit_unknown(df: DataFrame, settings: Settings = DEFAULT, tries: tuple[str, ...] = TRIES, **more) -> DataFrame:
+def audit_unknown(
+    df: DataFrame, settings: Settings = DEFAULT, tries: tuple[str, ...] = TRIES, blur_col: str | None = None, bag: bool = False, images: DataFrame | None = None, words: DataFrame | None = None
+) -> DataFrame:
     """One result row, and tried, for each row of df (doc_id, text, ocr_confidence) whose type nobody named: audited as one type after the other.
 
-    Each round audits the documents that no earlier one has settled, and is a written table; so is what is left after it,
-    so that rounds read ever fewer rows. Which attempt is taken is up to resolve_unknown_type(). more goes to audit_documents().
+    Gate and scores do not depend on the type that is tried, and they decide how an attempt ends: they are made once, the
+    attempts are judged inside the row (try_types()), and each document is extracted as the type that is taken only.
+    Further arguments are those of audit_documents().
     """
-    left, attempts = df, []
-    for k, t in enumerate(tries):
-        out = keep(audit_documents(left.withColumn("requested_type", F.lit(t)), settings, types=(t,), **more), f"attempt-{k}")
-        attempts.append(out.withColumn("try_pos", F.lit(k)))
-        settled = out.filter((F.col("status") == "completed") & (F.col("classification_confidence") >= SETTLED)).select("doc_id")
-        if k + 1 < len(tries):
-            left = keep(left.join(settled, "doc_id", "left_anti"), f"left-{k}")
-    every = reduce(DataFrame.unionByName, attempts)
-    chosen = resolve_unknown_type(every.select("doc_id", "try_pos", F.col("requested_type").alias("type"), "status", F.col("classification_confidence").alias("confidence")))
-    return every.drop("try_pos").join(chosen.select("doc_id", F.col("type").alias("requested_type"), "tried"), ["doc_id", "requested_type"])
+    rows, blur_col = _with_images_and_words(df, blur_col, images, words)
+    rows = try_types(score_types(_gated(rows, settings, blur_col), settings), F.col("gate_passed"), tries, settings)
+    return _results(judge_type(rows, settings), settings, tries, bag, ("tried",))

@@ -53,6 +53,33 @@ def test_letters_of_an_account_number_are_no_label_of_a_zone(spark, tmp_path):
     assert scores == {1: 15, 2: 15, 3: 0}
 
 
+def test_types_are_tried_over_scores_that_are_made_once(spark, tmp_path, monkeypatch):
+    from docaudit.plans import audit
+
+    written, keep = [], audit.keep
+    monkeypatch.setattr(audit, "keep", lambda df, name, by=None: written.append(name) or keep(df, name, by))
+    keys = (15, 24, 33, *MRZ_CARDS)
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["c11_types_by_trying"](spark, _customers(spark, tmp_path, *keys)).collect()}
+    assert written.count("classified") == 1 and len(written) == 3
+    assert len(got) == 3 * len(keys)
+    for k in MRZ_CARDS:
+        conf = 30 + k * 37 % 70
+        assert got[10 * k + 1] == ("PASSPORT", "stopped", 4, None if conf < 40 else 5 if conf >= 70 else 0)
+
+
+def test_types_tried_in_a_row_are_those_of_single_attempts(spark):
+    texts = ["", None, "INCOME TAX DEPARTMENT\nGOVT. OF INDIA", "PERMANENT ACCOUNT NUMBER\nABCDE1234F", "UIDAI\nAADHAAR\n2345 6789 0124", "P<INDROE<<SAM<<<<<<\nPASSPORT A1234567", "CERTIFICATE OF INCORPORATION\nCIN: U12345AB1990PTC123456", "PASSPORT\nCERTIFICATE OF INCORPORATION\nMinistry of Corporate Affairs", "Surname Given Name CIN"]
+    df = spark.createDataFrame([(k, t, conf) for k, t in enumerate(t for t in texts for _ in range(3)) for conf in [(20, 50, 80)[k % 3]]], "doc_id long, text string, ocr_confidence int").withColumn("readable", F.col("ocr_confidence") > 30)
+    single = None
+    for k, t in enumerate(cl.TRIES):
+        one = cl.classify(df.withColumn("requested_type", F.lit(t)))
+        one = one.select("doc_id", F.lit(k).alias("try_pos"), F.lit(t).alias("type"), F.when(F.col("readable") & F.col("classified"), "completed").otherwise("stopped").alias("status"), F.when(F.col("readable"), F.col("classification_confidence")).alias("confidence"))
+        single = one if single is None else single.unionByName(one)
+    want = {r["doc_id"]: (r["type"], r["tried"]) for r in cl.resolve_unknown_type(single).collect()}
+    got = {r["doc_id"]: (r["requested_type"], r["tried"]) for r in cl.try_types(cl.score_types(df), F.col("readable")).collect()}
+    assert got == want and len({t for t, _ in got.values()}) == 4
+
+
 def test_scores_are_made_once_where_they_are_exploded(spark):
     """A filter on an array's size would make all scores, and the texts below them, once more."""
     rows = spark.createDataFrame([(1, "INCOME TAX", 80), (2, None, 80)], "doc_id long, text string, ocr_confidence int").withColumn("text", F.concat("text", F.lit("")))
