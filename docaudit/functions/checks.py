@@ -110,17 +110,19 @@ def pan_candidates(text: Column) -> Column:
     u = F.upper(text)
     valid = lambda a: F.filter(a, lambda x: x.rlike(PAN))
     exact = find_all(u, PAN_PRINTED)
-    spaced = F.transform(find_all(u, PAN_SPACED), lambda x: normalize_pan(replace(x, r"[\s\-.]", "")))
+    # Exact ones are found by the other shapes as well, and are what they would be made into.
+    others = lambda pattern: F.filter(find_all(u, pattern), lambda x: ~x.rlike(PAN))
+    spaced = F.transform(others(PAN_SPACED), lambda x: normalize_pan(replace(x, r"[\s\-.]", "")))
     variants = F.flatten(
         F.transform(
-            find_all(u, PAN_MISREAD),
+            others(PAN_MISREAD),
             lambda x: F.concat(
                 F.array(normalize_pan(x)),
                 F.array_compact(F.array(*[F.when(F.substring(x, k, 1) == "S", normalize_pan(F.concat(F.substring(x, 1, k - 1), F.lit("8"), F.substring(x, k + 1, 10)))) for k in range(6, 10)])),
             ),
         )
     )
-    zero = F.transform(find_all(u, PAN_ZEROS), normalize_pan)
+    zero = F.transform(others(PAN_ZEROS), normalize_pan)
     return F.when(u.rlike(java(PAN_ANY)), F.array_distinct(F.concat(exact, valid(spaced), valid(variants), valid(zero)))).otherwise(empty_strings())
 
 

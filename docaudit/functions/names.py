@@ -53,8 +53,8 @@ def is_garbage(token: Column) -> Column:
     n = F.char_length(token)
     letters = F.array_distinct(F.split(token, ""))
     most = F.array_max(F.transform(letters, lambda c: n - F.char_length(F.replace(token, c, F.lit("")))))
-    # A letter that fills three quarters leaves few others; most tokens are done with that.
-    same = F.when((n >= 3) & (F.size(letters) <= n / 4 + 2), most / n >= 0.75).otherwise(False)
+    # A letter that fills three quarters stands beside itself, and leaves few others; most tokens are done with that.
+    same = F.when((n >= 3) & token.rlike(r"(?s)(.)\1") & (F.size(letters) <= n / 4 + 2), most / n >= 0.75).otherwise(False)
     return F.when((n == 0) | (n > 18), True).otherwise(token.isin(*GARBAGE) | token.rlike(FUSED) | ((n <= 3) & token.rlike(r"\A[AEIOU]+\z")) | ((n >= 4) & ~token.rlike("[AEIOU]")) | same)
 
 

@@ -156,12 +156,13 @@ def replace(text: Column, pattern: str, by: str, ignore_case: bool = False) -> C
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    # A sign is asked first whether it is a space, and only then whether a run starts there: most are none.
+    return F.regexp_replace(text, rf"\A{SPACE}++|{SPACE}(?<!{SPACE}{SPACE}){SPACE}*+\z", "")
 
 
 def squeeze(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return trim(replace(text, r"\s+", " "))
+    return F.trim(replace(text, r"\s+", " "))
 
 
 def let(value: Column, body) -> Column:

@@ -80,6 +80,41 @@ def test_types_tried_in_a_row_are_those_of_single_attempts(spark):
     assert got == want and len({t for t, _ in got.values()}) == 4
 
 
+def test_lists_of_the_bag_that_nobody_asks_for_are_not_made(spark, tmp_path):
+    out = QUERIES["e17_a7_letter_bag"](spark, _customers(spark, tmp_path, 10, 11))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "title-case" not in plan and "Registered" not in plan
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[105]["emails"] == "a10@acme.example" and got[105]["headers"].startswith("AUTHORITY LETTER;") and got[105]["signature"] == "false"
+
+
+def test_trimmed_as_by_both_ends(spark):
+    from docaudit.functions.patterns import squeeze, trim
+
+    texts = ["", " ", "a", " a", "a ", " \t a  b\u00a0 \n", "\u3000\ufeff", "a\u2003\u2003", "a  b", "\u00e9 ", "\U0001f600 \n", "x" + " " * 2000 + "y" + " " * 2000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", trim(F.col("t")).alias("a"), squeeze(F.col("t")).alias("b"))
+    space = " \t\n\r\x0b\x0c\u00a0\u2003\u3000\ufeff"
+    for r in df.collect():
+        assert r["a"] == r["t"].strip(space)
+        assert r["b"] == re.sub(f"[{space}]+", " ", r["t"]).strip(" ")
+
+
+def test_leftovers_of_one_letter_and_repaired_numbers(spark):
+    from docaudit.functions.checks import pan_candidates
+    from docaudit.functions.names import FUSED, GARBAGE, is_garbage
+
+    def plain(x):
+        most = max(x.count(c) for c in x)
+        return len(x) > 18 or x in GARBAGE or re.search(FUSED, x) is not None or (len(x) <= 3 and set(x) <= set("AEIOU")) or (len(x) >= 4 and not set(x) & set("AEIOU")) or (len(x) >= 3 and most / len(x) >= 0.75)
+
+    tokens = ["A", "BA", "AAA", "ABA", "AABA", "ABAA", "BAAAA", "ABABA", "ABCA", "OOOOXOOX", "OXOOXOOO", "SAMUEL", "XYZW", "TAXES", "AAAAAAAAAAAAAAAAAAA"]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", is_garbage(F.col("t"))).collect()}
+    assert got == {t: plain(t) for t in tokens}
+    texts = {"ABCDE1234F": ["ABCDE1234F"], "ABCDE 1234 F, ABCDE1234F": ["ABCDE1234F"], "abcdeS23OF": ["ABCDE5230F", "ABCDE8230F"], "AB0DE1234F ZZZZZ9999Z": ["ZZZZZ9999Z", "ABODE1234F"], "none": []}
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", pan_candidates(F.col("t"))).collect()}
+    assert got == texts
+
+
 def test_scores_are_made_once_where_they_are_exploded(spark):
     """A filter on an array's size would make all scores, and the texts below them, once more."""
     rows = spark.createDataFrame([(1, "INCOME TAX", 80), (2, None, 80)], "doc_id long, text string, ocr_confidence int").withColumn("text", F.concat("text", F.lit("")))
